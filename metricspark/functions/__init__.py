@@ -1,0 +1 @@
+"""Part of the metrics engine; see the package README."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +130,52 @@ class Forest:
         return True
 
 
-def texts_of(batch, name: str) -> Iterator[str]:
-    """A column of an Arrow batch as strings; null becomes empty."""
-    for x in batch.column(name).to_pylist():
-        yield x or ""
+def by_group(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """Apply ``run(key, table) -> record batch or None`` to every group of long keys.
+
+    Groups must be bounded. Unlike a grouped map this costs little for each group:
+    a task reads its sorted rows as a stream and cuts it where a key changes.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = run(last, pa.Table.from_batches(held))
+                if out is not None and out.num_rows:
+                    yield out
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                key = tuple(c[a] for c in columns)
+                if key != last:
+                    yield from flush()
+                    last = key
+                held.append(batch.slice(a, b - a))
+        yield from flush()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+def blocks(members: DataFrame, group: str, n_blocks: str, node: str) -> DataFrame:
+    """Rows of every group dealt into its blocks, repeated for each pair of blocks.
+
+    Adds ``pair`` (a long for the two blocks) and ``block`` (the row's own). All pairs of
+    a group's rows meet in exactly one pair of blocks, or in each block's pair with
+    itself.
+    """
+    n = F.col(n_blocks).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(33), F.col(node)), n).cast("int")
+    rows = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
+    return rows.withColumn("pair", low * F.lit(1 << 31) + high).drop("other")

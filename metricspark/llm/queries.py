@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.llm import encode, packing, token_counts
+from metricspark.llm import encode, exact_dedup, language, packing, pii, quality, set_join, token_counts, toxicity
 from metricspark.llm.bpe import tokenizer_path
-from metricspark.llm.common import table
+from metricspark.llm.common import bucket, labelled_sample, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,62 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+  FROM documents
+), g AS (
+  SELECT doc_id, t,
+         first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY t) AS group_size
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Ranking | None:
+    """Learned from at most about 20,000 labelled rows of the learning part."""
+    labels = table(spark, sf_dir, "labels")
+    sample = labelled_sample(labels, bucket(F.col("doc_id"), 4) != 2, "quality", max_rows=20_000)
+    return quality.fit(table(spark, sf_dir, "documents"), sample)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return rows.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    profiles = language.fit(documents, bucket(F.col("doc_id"), 5) != 0, max_rows=20_000)
+    rows = language.predict(documents, profiles)
+    return rows.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"
+    )
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = labelled_sample(labels, bucket(F.col("doc_id"), 5) != 0, "toxic", max_rows=16_000)
+    rows = toxicity.score(documents, toxicity.fit(documents, sample))
+    return rows.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -41,6 +97,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
+    "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_exact_dedup": OP3_SQL}

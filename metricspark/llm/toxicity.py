@@ -25,14 +25,18 @@ TOXIC = 0.5
 
 @dataclass(frozen=True)
 class Rates:
-    """Parameters of FTRL-proximal; ``positive`` weighs toxic rows."""
+    """Parameters of FTRL-proximal.
 
-    alpha: float = 0.5
+    The L1 term is ``l1`` times the square root of a shard's toxic rows, so a coordinate
+    needs more than a few of them to get a weight. ``positive`` weighs toxic rows.
+    """
+
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
-    positive: float = 2.0
-    epochs: int = 3
+    l1: float = 0.36
+    l2: float = 0.1
+    positive: float = 3.0
+    epochs: int = 2
 
 
 def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +63,16 @@ def distinct(row: np.ndarray, coordinate: np.ndarray) -> tuple[np.ndarray, np.nd
 class Ftrl:
     """The learner's state: sums of adjusted gradients and of squared gradients."""
 
-    def __init__(self, rates: Rates):
+    def __init__(self, rates: Rates, toxic_rows: int):
         self.rates = rates
+        self.l1 = rates.l1 * max(1, toxic_rows) ** 0.5
         self.z = np.zeros((1 << BITS) + 1)
         self.n = np.zeros((1 << BITS) + 1)
 
     def weights(self, i: np.ndarray) -> np.ndarray:
         r, z = self.rates, self.z[i]
-        w = -(z - np.sign(z) * r.l1) / ((r.beta + np.sqrt(self.n[i])) / r.alpha + r.l2)
-        return np.where(np.abs(z) <= r.l1, 0.0, w)
+        w = -(z - np.sign(z) * self.l1) / ((r.beta + np.sqrt(self.n[i])) / r.alpha + r.l2)
+        return np.where(np.abs(z) <= self.l1, 0.0, w)
 
     def learn(self, i: np.ndarray, label: float) -> None:
         w = self.weights(i)
@@ -96,13 +101,13 @@ def fit(
     df: DataFrame,
     sample: DataFrame,
     rates: Rates = Rates(),
-    shards: int = 4,
+    shards: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
     """Learn from the documents of ``sample`` (id, label 0.0 or 1.0), which is bounded.
 
-    The sample is dealt over ``shards``; each learns on its own, in an order set by a hash
+    The sample is dealt over ``shards``, one unless it is made larger; each learns on its own, in an order set by a hash
     of the id, and the shards' weights are averaged. Only weights other than zero leave
     a shard.
     """
@@ -124,7 +129,7 @@ def fit(
             ends = np.searchsorted(row, np.arange(j - i + 1))
             for k in range(j - i):
                 examples.append((np.append(c[ends[k] : ends[k + 1]], 1 << BITS).astype(np.int32), labels[i + k]))
-        learner = Ftrl(rates)
+        learner = Ftrl(rates, sum(x > 0.5 for x in labels))
         for _ in range(rates.epochs):
             for c, label in examples:
                 learner.learn(c, label)

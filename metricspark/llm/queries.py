@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.llm import encode, exact_dedup, language, packing, pii, quality, set_join, token_counts, toxicity
+from metricspark.llm import encode, exact_dedup, language, neighbours, packing, pii, quality, set_join, token_counts, toxicity
 from metricspark.llm.bpe import tokenizer_path
 from metricspark.llm.common import bucket, labelled_sample, table
 
@@ -53,6 +53,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Ranking | None:
     """Learned from at most about 20,000 labelled rows of the learning part."""
     labels = table(spark, sf_dir, "labels")
@@ -98,6 +102,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_neighbours": op4_neighbours,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_pii": op7_pii,

@@ -16,18 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a
-    temporary one is made, on a local master only.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary one is made, on a local master only.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="metricspark-"))
-    return df.checkpoint(eager=True)
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 8) -> DataFrame:

@@ -168,3 +168,18 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     counts = ", ".join(f"n_{k} long" for k in BASE)
     return source.mapInArrow(run, f"`{id_col}` {id_type}, {counts}, base string, spans string, redacted string")
+
+
+def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with personal data in ``text_col`` replaced by its kind, all columns kept.
+
+    Texts without any, null and empty ones stay as they are; no rows give none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            clean = [t and redacted(t, spans(t)) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and go on from there.
+
+    Unlike a checkpoint, which keeps the size estimate of its plan, the table has its
+    real size. Estimates of joins are products; in a loop they grow to numbers whose
+    arithmetic takes longer than the work.
+    """
+    place = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def shared_folder(spark: SparkSession) -> str:

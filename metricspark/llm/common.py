@@ -75,12 +75,17 @@ def labelled_sample(
     return rows.filter(F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(steps)) < int(steps * max_rows / n))
 
 
+#: Edges that one task contracts at once.
+FEW_EDGES = 16_000
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components of undirected edges of longs: (node, component).
 
     ``component`` is the smallest node of the component. Each round sends every node
     to the neighbour that comes first in a hashed order of that round and contracts
-    the edges; the expected number of rounds is logarithmic. Self links and null ends
+    the edges; the expected number of rounds is logarithmic. The last FEW_EDGES are
+    contracted by one task, which saves the many small rounds at the end. Self links and null ends
     are ignored; no edges give an empty result.
     """
     a, b = F.col(u), F.col(v)
@@ -88,8 +93,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     rest = cut(rest.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
     found: DataFrame | None = None
     turn = 0
-    while not rest.isEmpty():
+    while n := rest.count():
         turn += 1
+        if n <= FEW_EDGES:
+            moved = cut(rest.coalesce(1).mapInArrow(_contract, "node long, to long"))
+            found = moved if found is None else _followed(found, moved)
+            break
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)
         ends = rest.select("u", "v").unionByName(rest.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = ends.groupBy("u").agg(F.min(order(F.col("v"))).alias("m"))
@@ -106,19 +115,30 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         rest = cut(
             left.filter("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
         )
-        if found is None:
-            found = moved
-        else:
-            step = moved.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            found = cut(
-                join_salted(found, step, ["to"], "left").select("node", F.coalesce("next", "to").alias("to"))
-            )
+        found = moved if found is None else _followed(found, moved)
     if found is None:
         return rest.select(F.col("u").alias("node"), F.col("v").alias("component"))
     least = found.groupBy("to").agg(F.least(F.min("node"), F.first("to")).alias("component"))
     return join_salted(found, least, ["to"], "inner").select("node", "component")
 
 
+def _followed(found: DataFrame, moved: DataFrame) -> DataFrame:
+    step = moved.select(F.col("node").alias("to"), F.col("to").alias("next"))
+    return cut(join_salted(found, step, ["to"], "left").select("node", F.coalesce("next", "to").alias("to")))
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node that each node's edges (u, v) reach."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if ends:
+        nodes, place = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        forest = Forest(len(nodes))
+        for i, j in place.reshape(2, -1).T.tolist():
+            forest.join(i, j)
+        roots = np.array([forest.root(i) for i in range(len(nodes))])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "to"])
+
+
 class Forest:
     """Union of small integer ranges inside one task."""
 

@@ -33,16 +33,18 @@ class Join:
 
     leaf: sets of a bucket that are compared by brute force. alike: equal coordinates from
     which a pair is a candidate; core: from which all partners of a set are candidates of
-    the same pivot. block, block_tokens: sets and tokens of a verification block.
+    the same pivot. steps: tokens sampled before a bucket's parts are looked at again, at
+    most ``depth`` times. block, block_tokens: sets and tokens of a verification block.
     """
 
     words: int = 5
     over: tuple[int, int] = (4, 5)
     recall: float = 0.999
-    leaf: int = 256
+    leaf: int = 1024
     alike: int = 36
-    core: int = 62
-    depth: int = 10
+    core: int = 58
+    steps: int = 2
+    depth: int = 5
     block: int = 1024
     block_tokens: int = 1_000_000
 
@@ -53,9 +55,11 @@ class Join:
     @property
     def runs(self) -> int:
         """Runs after which a pair at the limit has been missed with 1 - recall, if its bucket
-        is split once: then both paths go on together with about half the chance."""
-        missed = math.exp(-1.0)
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - missed) ** 2)))
+        is split once. A pair's common paths branch with a mean of one at every step."""
+        together = 1.0
+        for _ in range(1 + self.steps):
+            together = 1 - math.exp(-together)
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - together)))
 
 
 def shingles(texts: list[str], size: int) -> list[np.ndarray]:
@@ -78,9 +82,9 @@ def shingles(texts: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDINATES minimum hashes of two bytes for each set; zeros for an empty one."""
-    out = np.zeros((len(sets), COORDINATES), dtype=np.uint16)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """COORDINATES minimum hashes of four bytes for each set; zeros for an empty one."""
+    out = np.zeros((len(sets), COORDINATES), dtype=np.uint32)
     some = [i for i, s in enumerate(sets) if len(s)]
     if not some:
         return out
@@ -91,11 +95,16 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     for c in range(COORDINATES):
         np.multiply(tokens, factors[c], out=work)
         np.right_shift(work, np.uint64(32), out=work)
-        least = np.minimum.reduceat(work.astype(np.uint32), starts)
-        out[some, c] = (mix(least.astype(np.uint64) + np.uint64(c << 32)) >> np.uint64(48)).astype(np.uint16)
+        out[some, c] = np.minimum.reduceat(work.astype(np.uint32), starts)
     return out
 
 
+def sketches(least: np.ndarray) -> np.ndarray:
+    """Two bytes for each of the minimum hashes, enough for comparing sets of one bucket."""
+    places = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
+    return (mix(least.astype(np.uint64) + places) >> np.uint64(48)).astype(np.uint16)
+
+
 def first_keys(runs: int, similarity: float) -> list[tuple[int, int]]:
     """(run, coordinate) of the first step: 1 / similarity coordinates a run on average."""
     order = np.random.default_rng(8).permutation(COORDINATES)
@@ -106,7 +115,7 @@ def first_keys(runs: int, similarity: float) -> list[tuple[int, int]]:
 def path_keys(keys: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Keys of the next step of paths, as signed 64-bit."""
     x = mix(keys.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    return mix(x ^ (coordinate.astype(np.uint64) << np.uint64(16) | value.astype(np.uint64))).view(np.int64)
+    return mix(x ^ (coordinate.astype(np.uint64) << np.uint64(32) | value.astype(np.uint64))).view(np.int64)
 
 
 def sketch_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -126,64 +135,66 @@ def joined(sketch: np.ndarray, alike: int) -> Iterator[tuple[int, int]]:
 def candidates(sets: DataFrame, p: Join) -> DataFrame:
     """Edges (u, v) whose components hold every pair of sets that may be similar.
 
-    sets: node, sketch.
+    sets: node, sketch, and least, the whole minimum hashes that the runs start from: two
+    bytes would let strangers meet in numbers that grow with the square of the input.
     """
     steps = first_keys(p.runs, p.similarity)
     c = np.array([x for _, x in steps])
+    back = np.unique(c, return_inverse=True)[1]
     roots = mix(np.array([r for r, _ in steps], dtype=np.uint64) + np.uint64(1))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = sketch_rows(batch.column(1))[:, c]
+            raw = b"".join(batch.column(1).to_pylist())
+            s = np.frombuffer(raw, dtype=np.uint32).reshape(batch.num_rows, -1)[:, back]
             keys = path_keys(np.broadcast_to(roots, s.shape).ravel(), np.broadcast_to(c, s.shape).ravel(), s.ravel())
             node = np.repeat(batch.column(0).to_numpy(), len(c))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], names=["key", "node"])
 
-    paths = sets.select("node", "sketch").mapInArrow(start, "key long, node long")
+    paths = sets.select("node", "least").mapInArrow(start, "key long, node long")
     sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # Sketches travel only with paths that meet others, one row for each set and its keys.
     met = join_salted(paths, sizes.select("key"), ["key"], "inner", 4)
     met = met.groupBy("node").agg(F.collect_list("key").alias("keys")).join(sets.select("node", "sketch"), "node")
     level = cut(met.select(F.explode("keys").alias("key"), "node", "sketch"))
 
-    found: DataFrame | None = None
+    # What small buckets hold is compared in one go at the end.
+    leaves: DataFrame | None = None
+    edges: DataFrame | None = None
     for depth in range(p.depth + 1):
         sizes = cut(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         small = sizes.filter(F.col("size") <= p.leaf)
-        leaves = level.join(small.select("key"), "key").select("key", F.lit(0).cast("long").alias("pair"), "node", "sketch")
+        few = level.join(small.select("key"), "key").select("key", F.lit(0).cast("long").alias("pair"), "node", "sketch")
         large = sizes.filter(F.col("size") > p.leaf)
         if depth == p.depth:
             # The last large buckets are compared whole, in pairs of bounded blocks.
             rest = join_salted(level, large, ["key"], "inner")
             rest = blocks(rest.withColumn("n", F.ceil(F.col("size") / p.leaf)), "key", "n", "node")
-            leaves = leaves.unionByName(rest.select("key", "pair", "node", "sketch"))
-            large = large.limit(0)
-        edges = by_group(leaves, ["key", "pair"], lambda _, t: _leaf(t, p.alike), "u long, v long")
-        done = large.isEmpty()
-        if not done:
-            pivots = (
-                level.join(large.select("key"), "key")
-                .groupBy("key")
-                .agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "sketch")).alias("p"))
-                .select("key", F.col("p.node").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
-            )
-            compared = cut(join_salted(level, pivots, ["key"], "inner").mapInArrow(
-                lambda b: _compare(b), "key long, node long, sketch binary, pivot long, same int"
-            ))
-            linked = compared.filter((F.col("same") >= p.alike) & (F.col("node") != F.col("pivot")))
-            edges = edges.unionByName(linked.select(F.col("pivot").alias("u"), F.col("node").alias("v")))
-            # Sets as close to the pivot as that have all their partners linked to it; a bucket in
-            # which all are linked is connected already.
-            open_keys = compared.groupBy("key").agg(F.min("same").alias("least")).filter(F.col("least") < p.alike)
-            going = compared.filter((F.col("same") < p.core) & (F.col("node") != F.col("pivot")))
-            going = join_salted(going.select("key", "node", "sketch"), open_keys.select("key"), ["key"], "inner")
-            share = 1 / (p.similarity * COORDINATES)
-            level = cut(going.mapInArrow(lambda b: _descend(b, share), "key long, node long, sketch binary"))
-        edges = cut(edges.distinct())
-        found = edges if found is None else found.unionByName(edges)
-        if done:
+            few = few.unionByName(rest.select("key", "pair", "node", "sketch"))
+        leaves = few if leaves is None else leaves.unionByName(few)
+        if depth == p.depth or large.isEmpty():
             break
-    return found
+        pivots = (
+            level.join(large.select("key"), "key")
+            .groupBy("key")
+            .agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "sketch")).alias("p"))
+            .select("key", F.col("p.node").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
+        )
+        compared = cut(join_salted(level, pivots, ["key"], "inner").mapInArrow(
+            lambda b: _compare(b), "key long, node long, sketch binary, pivot long, same int"
+        ))
+        linked = compared.filter((F.col("same") >= p.alike) & (F.col("node") != F.col("pivot")))
+        linked = linked.select(F.col("pivot").alias("u"), F.col("node").alias("v"))
+        edges = linked if edges is None else edges.unionByName(linked)
+        # Sets as close to the pivot as that have all their partners linked to it; a bucket in
+        # which all are linked is connected already.
+        open_keys = compared.groupBy("key").agg(F.min("same").alias("least")).filter(F.col("least") < p.alike)
+        going = compared.filter((F.col("same") < p.core) & (F.col("node") != F.col("pivot")))
+        going = join_salted(going.select("key", "node", "sketch"), open_keys.select("key"), ["key"], "inner")
+        share = 1 / (p.similarity * COORDINATES)
+        level = cut(going.mapInArrow(lambda b: _descend(b, share, p.steps), "key long, node long, sketch binary"))
+    near = by_group(leaves, ["key", "pair"], lambda _, t: _leaf(t, p.alike), "u long, v long")
+    return cut((near if edges is None else near.unionByName(edges)).distinct())
 
 
 def _leaf(t: pa.Table, alike: int) -> pa.RecordBatch | None:
@@ -205,21 +216,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _descend(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+def _descend(batches: Iterator[pa.RecordBatch], share: float, steps: int) -> Iterator[pa.RecordBatch]:
     """Next steps of paths: every coordinate is sampled with ``share``, alike for all sets of a key."""
     limit = np.uint64(int(share * 2**64))
+    each = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
     for b in batches:
         if not b.num_rows:
             continue
-        keys = b.column("key").to_numpy().view(np.uint64)
-        each = np.arange(COORDINATES, dtype=np.uint64)
-        take = mix(mix(keys)[:, None] + each * np.uint64(0x9FB21C651E98DF25)) < limit
-        row, c = np.nonzero(take)
+        keys, row = b.column("key").to_numpy(), np.arange(b.num_rows)
         s = sketch_rows(b.column("sketch"))
+        for _ in range(steps):
+            keys = keys.view(np.uint64)
+            path, c = np.nonzero(mix(mix(keys)[:, None] + each) < limit)
+            row = row[path]
+            keys = path_keys(keys[path], c, s[row, c])
         rows = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(path_keys(keys[row], c, s[row, c])), b.column("node").take(rows), b.column("sketch").take(rows)],
-            names=["key", "node", "sketch"],
+            [pa.array(keys), b.column("node").take(rows), b.column("sketch").take(rows)], names=["key", "node", "sketch"]
         )
 
 
@@ -304,6 +317,7 @@ def jaccard_join(df: DataFrame, p: Join = Join(), id_col: str = "doc_id", text_c
     columns are left out; no rows give none.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    started = np.unique([c for _, c in first_keys(p.runs, p.similarity)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,22 +325,26 @@ def jaccard_join(df: DataFrame, p: Join = Join(), id_col: str = "doc_id", text_c
             for i, j in slices(texts):
                 sets = shingles(texts[i:j], p.words)
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                least = minima(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array(names, pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([x.tobytes() for x in sketches(sets)], pa.binary()),
+                        pa.array([x.tobytes() for x in sketches(least)], pa.binary()),
+                        pa.array([x.tobytes() for x in least[:, started]], pa.binary()),
                     ],
-                    names=["id", "name", "size", "sketch"],
+                    names=["id", "name", "size", "sketch", "least"],
                 )
 
-    rows = cut(source.mapInArrow(describe, "id long, name binary, size long, sketch binary"))
+    rows = cut(source.mapInArrow(describe, "id long, name binary, size long, sketch binary, least binary"))
     linkable = rows.filter(F.col("name").isNotNull() & F.col("id").isNotNull())
     # Rows with an equal set are one node from here on.
     sets = cut(
         linkable.groupBy("name").agg(
-            F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch")
+            F.min("id").alias("node"),
+            F.count(F.lit(1)).alias("copies"),
+            *(F.first(c).alias(c) for c in ("size", "sketch", "least")),
         )
     )
     groups = components(candidates(sets, p)).select("node", F.col("component").alias("group"))

@@ -31,7 +31,9 @@ def metric(d: Definition) -> Column:
     """Struct of one metric's result; the first condition that refuses wins."""
     hits = [F.when((c := condition(k, f)).isNotNull(), F.struct(c.alias("code"), F.lit(i).alias("at"))) for i, (k, f) in enumerate(d.conditions)]
     refusal = F.coalesce(*hits)
-    value = F.expr(f"({d.formula}) / nullif({d.over}, 0)" if d.over else d.formula).cast("decimal(38,10)")
+    # Operands of 24 digits leave a quotient 14 places; wider ones would round it to fewer.
+    top = F.expr(d.formula).cast("decimal(24,6)")
+    value = (top / F.expr(f"cast(nullif({d.over}, 0) as decimal(24,6))") if d.over else top).cast("decimal(38,10)")
     flag = F.when(F.expr(d.flag[1]), F.lit(d.flag[0])) if d.flag else F.lit(None).cast("string")
     return F.struct(
         F.lit(d.metric_id).alias("metric_id"),
@@ -64,7 +66,7 @@ def metric_sql(d: Definition) -> str:
     value = f"CAST(({d.formula}) AS DOUBLE) / CAST({d.over} AS DOUBLE)" if d.over else f"CAST({d.formula} AS DOUBLE)"
     flag = f"CASE WHEN {d.flag[1]} THEN '{d.flag[0]}' END" if d.flag else "CAST(NULL AS VARCHAR)"
     return (
-        f"SELECT suppkey, entity, period, '{d.metric_id}' AS metric_id, CASE WHEN {case(1)} IS NULL THEN round({value}, 6) END AS value,"
+        f"SELECT suppkey, entity, period, '{d.metric_id}' AS metric_id, CASE WHEN {case(1)} IS NULL THEN CAST(round(CAST({value} AS DECIMAL(28,10)), 6) AS DOUBLE) END AS value,"
         f" {case(1)} AS refusal_code, {case(2)} AS condition_index, {flag} AS flag FROM st"
     )
 

@@ -19,13 +19,13 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of all entities and periods: value or typed refusal, and the flag."""
-    return values(spark, sf_dir).drop("suppkey").withColumn("value", F.round(F.col("value").cast("double"), 6))
+    return values(spark, sf_dir).drop("suppkey").withColumn("value", F.round("value", 6).cast("double"))
 
 
 def debt_to_asset_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = tuple(d for d in DEFINITIONS if d.metric_id == "debt_to_asset_ratio")
     out = metrics.metric_values(statements(spark, sf_dir), one)
-    return out.select("entity", "period", F.round(F.col("value").cast("double"), 6).alias("value"), "refusal_code", "condition_index")
+    return out.select("entity", "period", F.round("value", 6).cast("double").alias("value"), "refusal_code", "condition_index")
 
 
 def statement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     for d in chosen:
         name = F.when(F.col("metric_id") == d.metric_id, d.display).otherwise(name)
         alias = F.when(F.col("metric_id") == d.metric_id, d.aliases[0]).otherwise(alias)
-    k, number = F.col("suppkey"), F.round("value", 2).cast("decimal(20,2)")
+    k, number = F.col("suppkey"), F.round(F.round("value", 6), 2).cast("decimal(20,2)")
     number = F.when(k % 5 == 0, number + F.lit("0.05").cast("decimal(4,2)")).otherwise(number).cast("decimal(20,2)").cast("string")
     year = F.when(k % 7 == 0, F.col("period") + 50).otherwise(F.col("period")).cast("string")
     said = F.concat("entity", F.lit(" "), year, F.lit("年 "), F.when(k % 3 == 0, alias).otherwise(name), F.when(k % 4 == 0, F.lit(" is fine")).otherwise(F.concat(F.lit(" is "), number)))
@@ -153,7 +153,7 @@ CLAIMS_SQL = f"""{METRICS}, {NAMES_SQL}, chosen AS (
   SELECT suppkey, entity, period, metric_id, value FROM mv WHERE metric_id IN {CLAIMED} AND value IS NOT NULL
 ), told AS (
   SELECT *, concat_ws('/', entity, period, metric_id) AS claim_id, suppkey % 4 = 0 AS silent, suppkey % 7 = 0 AS shifted, suppkey % 3 = 0 AS other_name,
-    CAST(round(value, 2) + CASE WHEN suppkey % 5 = 0 THEN 0.05 ELSE 0 END AS DECIMAL(20,2)) AS said FROM chosen
+    CAST(round(CAST(value AS DECIMAL(28,6)), 2) + CASE WHEN suppkey % 5 = 0 THEN 0.05 ELSE 0.00 END AS DECIMAL(20,2)) AS said FROM chosen
 ), verdicts AS (
   SELECT claim_id, told.metric_id, CASE WHEN silent THEN 'NOT_CHECKABLE' WHEN shifted AND later.value IS NULL THEN 'NOT_COVERED' WHEN other_name THEN 'AMBIGUOUS_BASIS'
     WHEN abs(told.value - CAST(said AS DOUBLE)) <= 0.005 + 1e-9 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS verdict

@@ -81,3 +81,25 @@ def inherited(turns: DataFrame, group: str, order: str, value: str) -> DataFrame
     """``value`` of a row, or where it is null the first that an earlier row of the group gave."""
     earlier = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("context", F.coalesce(value, F.first(value, ignorenulls=True).over(earlier)))
+
+
+def near_misses(texts: DataFrame, names: DataFrame, text_col: str) -> DataFrame:
+    """Rows of ``named`` with ``near``: another metric's alias of which the found one is only the end.
+
+    ``near`` is null unless the text also has some of what that alias has before, up to
+    where the found alias begins; blanks alone don't count. The alias of which the text
+    shows most wins, then the first by name. Names are broadcast; texts aren't shuffled.
+    """
+    listed = names.agg(F.sort_array(F.collect_list(F.struct(F.col("alias").alias("other"), F.col("metric_id").alias("other_id")))).alias("others"))
+    text, alias = F.col(text_col), F.col("alias")
+    before = F.substring(text, F.lit(1), F.instr(text, alias) - 1)
+
+    def shown(x: Column) -> Column:
+        extra = F.substring(x["other"], F.lit(1), F.length(x["other"]) - F.length(alias))
+        ends = F.filter(F.sequence(F.lit(1), F.length(extra)), lambda k: F.endswith(before, F.right(extra, k)) & (F.trim(F.right(extra, k)) != ""))
+        return F.struct(F.coalesce(F.array_max(ends), F.lit(0)).alias("n"), x["other"].alias("other"))
+
+    apart = lambda x: F.endswith(x["other"], alias) & (x["other"] != alias) & (x["other_id"] != F.col("metric_id"))
+    found = F.filter(F.transform(F.filter("others", apart), shown), lambda x: x["n"] > 0)
+    most = F.filter(found, lambda x: x["n"] == F.array_max(F.transform(found, lambda y: y["n"])))
+    return texts.crossJoin(F.broadcast(listed)).withColumn("near", F.try_element_at(most, F.lit(1))["other"]).drop("others")

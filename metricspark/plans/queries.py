@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.operators import checks, evaluation, layout, metrics, text
+from metricspark.operators import checks, evaluation, layout, metrics, rules, text
 from metricspark.plans.definitions import DEFINITIONS
 from metricspark.sources.statements import FIELDS, STATEMENTS_SQL, statements, table
 
@@ -216,12 +216,95 @@ def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.lines(placed)
 
 
+TERMS = rules.Terms(("entity", "period_type"), ("annual", "quarter"), ("flow", "stock"), ("positive", "negative"), ("restated",), ("stale",))
+
+
+def definition_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic definitions, one for each part, with faults by rule, and what the rules find in them."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    by = lambda n, *values: F.element_at(F.array(*values), (F.least(k % n, F.lit(len(values) - 1)) + 1).cast("int"))
+    word = F.lit
+    field = lambda i, sign, missing: F.struct(word(i).alias("id"), sign.alias("sign"), missing.alias("missing"))
+    flag = F.struct(by(7, word("homemade"), word("stale"), word("restated")).alias("name"), F.array(word("f1"), by(8, word("f9"), word("f2"))).alias("refs"))
+    basis = F.struct(word("std").alias("name"), by(11, word(" "), word("1")).alias("version"))
+    pitfall = F.struct(by(2, word("flags"), none).alias("enforced_by"), (k % 3 == 0).alias("advisory"))
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(word("m"), k.cast("string")).alias("metric_id"),
+        F.when(k % 9 != 0, k % 4).cast("int").alias("version"),
+        F.create_map(word("entity"), word("supplier"), word("period_type"), by(5, none, word("week"), word("annual"))).alias("grain"),
+        by(6, word("flux"), word("flow")).alias("semantics"),
+        word("f1 - f2").alias("formula"),
+        F.array(field("f1", by(3, none, word("odd"), word("positive")), word("null")), field("f2", word("negative"), by(6, none, word("null"))), field("f3", none, word("null"))).alias("fields"),
+        F.when(k % 14 != 0, F.struct(F.when(k % 15 != 0, F.lit(True)).alias("allow"), by(16, word(""), word("n")).alias("note"))).alias("derivation"),
+        F.when(k % 17 != 0, F.array(flag)).alias("flags"),
+        F.when(k % 10 == 0, F.array().cast("array<struct<name:string,version:string>>")).otherwise(F.array(basis)).alias("basis"),
+        F.when(k % 12 != 0, F.array(F.struct(word("f2 == 0").alias("expr"), by(13, word(""), word("r")).alias("reason")))).alias("conditions"),
+        F.array_repeat(pitfall, (k % 5 + 1).cast("int")).alias("pitfalls"),
+    )
+    return rules.findings(rows, TERMS)
+
+
+RULED = (  # code, place, test on k
+    ("R1.MISSING_GRAIN", "'period_type'", "k % 5 = 0"),
+    ("R1.BAD_PERIOD_TYPE", "'period_type'", "k % 5 = 1"),
+    ("R1.BAD_PERIOD_TYPE", "'semantics'", "k % 6 = 0"),
+    ("R2.NO_SIGN_CONVENTION", "'f1'", "k % 3 = 0"),
+    ("R2.BAD_SIGN_CONVENTION", "'f1'", "k % 3 = 1"),
+    ("R3.DERIVATION_MISSING", "''", "k % 14 = 0"),
+    ("R3.DERIVATION_NOT_BOOLEAN", "''", "k % 14 <> 0 AND k % 15 = 0"),
+    ("R3.DERIVATION_NOTE_EMPTY", "''", "k % 14 <> 0 AND k % 16 = 0"),
+    ("R4.FLAGS_KEY_MISSING", "''", "k % 17 = 0"),
+    ("R4.FLAG_NOT_IN_VOCABULARY", "'homemade'", "k % 17 <> 0 AND k % 7 = 0"),
+    ("R4.SYSTEM_SCOPE_FLAG_DECLARED", "'stale'", "k % 17 <> 0 AND k % 7 = 1"),
+    ("R4.TRIGGER_UNDECLARED_FIELD", "CASE k % 7 WHEN 0 THEN 'homemade' WHEN 1 THEN 'stale' ELSE 'restated' END || ':f9'", "k % 17 <> 0 AND k % 8 = 0"),
+    ("R5.BASIS_NOT_STRUCTURED", "''", "k % 10 = 0"),
+    ("R5.BASIS_FIELD_EMPTY", "'version'", "k % 10 <> 0 AND k % 11 = 0"),
+    ("R6.NO_MISSING_REPRESENTATION", "'f2'", "k % 6 = 0"),
+    ("R7.NO_UNDEFINED_CONDITIONS", "''", "k % 12 = 0"),
+    ("R7.REASON_EMPTY", "'f2 == 0'", "k % 12 <> 0 AND k % 13 = 0"),
+    ("R8.TOO_FEW_PITFALLS", "''", "k % 5 < 2"),
+    ("R9.VERSION_NOT_INT", "''", "k % 9 = 0"),
+    ("R9.VERSION_TOO_LOW", "''", "k % 9 <> 0 AND k % 4 < 2"),
+)
+FINDINGS_SQL = "WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey AS metric_id FROM part) " + " UNION ALL ".join(
+    [f"SELECT metric_id, '{code}' AS code, {place} AS place FROM p WHERE {test}" for code, place, test in RULED]
+    + [
+        f"SELECT metric_id, '{code}' AS code, {place} AS place FROM (SELECT *, unnest(range(k % 5 + 1)) FROM p) WHERE {test}"
+        for code, place, test in (("R8.BOTH_ENFORCED_AND_ADVISORY", "'flags'", "k % 2 = 0 AND k % 3 = 0"), ("R8.PITFALL_UNBACKED", "''", "k % 2 = 1 AND k % 3 <> 0"))
+    ]
+)
+
+
+def near_miss_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on suppliers that name a metric wholly, in part, with other words, or not at all."""
+    k = F.col("s_suppkey")
+    said = F.when(k % 4 == 0, "interest bearing debt ratio").when(k % 4 == 1, "bearing debt ratio").when(k % 4 == 2, "net debt ratio").otherwise("weather")
+    asked = table(spark, sf_dir, "supplier").select(k.alias("suppkey"), F.concat(F.lit("show "), said, F.lit(" of "), "s_name").alias("question"))
+    names = text.aliases(spark)
+    return text.near_misses(text.named(asked, names, "question", ["suppkey"]), names, "question").select("suppkey", "alias", "near")
+
+
+NEAR_SQL = f"""WITH {NAMES_SQL}, q AS (
+  SELECT s_suppkey AS suppkey, 'show ' || CASE s_suppkey % 4 WHEN 0 THEN 'interest bearing debt ratio' WHEN 1 THEN 'bearing debt ratio' WHEN 2 THEN 'net debt ratio' ELSE 'weather' END || ' of ' || s_name AS question FROM supplier
+), hit AS (
+  SELECT suppkey, any_value(question) AS question, arg_min(alias, (-length(alias), alias)) AS alias, arg_min(metric_id, (-length(alias), alias)) AS metric_id FROM q LEFT JOIN names ON contains(question, alias) GROUP BY suppkey
+), tried AS (
+  SELECT suppkey, question, hit.alias, o.alias AS other, unnest(range(1, length(o.alias) - length(hit.alias) + 1)) AS n
+  FROM hit JOIN names o ON ends_with(o.alias, hit.alias) AND o.alias <> hit.alias AND o.metric_id <> hit.metric_id
+), near_ AS (
+  SELECT suppkey, arg_min(other, (-n, other)) AS near FROM tried
+  WHERE ends_with(substr(question, 1, instr(question, alias) - 1), substr(other, length(other) - length(alias) - n + 1, n)) AND trim(substr(other, length(other) - length(alias) - n + 1, n)) <> '' GROUP BY suppkey
+)
+SELECT hit.suppkey, alias, near FROM hit LEFT JOIN near_ USING (suppkey)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         metric_values, debt_to_asset_ratio, statement_records, refusal_summary, comparability, reconciliation, cross_source,
         cross_source_summary, text_segments, named_metrics, claim_verdicts, claim_counts, conversation_context, first_source,
         settled_names, evidence_completeness, evaluation_rollup, section_spans, word_columns, word_lines,
+        definition_findings, near_miss_names,
     )
 }
 
@@ -251,6 +334,8 @@ SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey NOT IN (SELECT s_suppk
 SELECT source, CASE WHEN text IS NULL OR trim(text, ' ') IN ('', 'UNKNOWN') THEN 0 ELSE 1 END + CASE WHEN lang IS NULL OR lang = 'en' OR trim(lang, ' ') IN ('', 'UNKNOWN') THEN 0 ELSE 1 END + CASE WHEN n_chars IS NULL THEN 0 ELSE 1 END AS f FROM documents) GROUP BY 1""",
     "evaluation_rollup": """SELECT c AS category, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed,
 count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS void FROM (SELECT unnest(['1', '2', '3', '4', '5', '9']) AS c) LEFT JOIN orders ON substr(o_orderpriority, 1, 1) = c GROUP BY 1""",
+    "definition_findings": FINDINGS_SQL,
+    "near_miss_names": NEAR_SQL,
     "section_spans": """SELECT doc, page, y, lead(page) OVER w AS next_page, lead(y) OVER w AS next_y FROM (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS page, l_partkey AS y FROM lineitem)
 WINDOW w AS (PARTITION BY doc ORDER BY page, y)""",
     "word_columns": """WITH c(role, c0, c1) AS (VALUES ('item', 0.0, 20.0), ('current', 30.0, 60.0), ('prior', 65.0, 90.0)), p AS (SELECT p_partkey AS cell_id, p_partkey % 97 AS x0, p_partkey % 97 + p_size AS x1 FROM part)

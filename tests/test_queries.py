@@ -10,9 +10,9 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from metricspark.operators import checks, layout, metrics
+from metricspark.operators import checks, layout, metrics, rules
 from metricspark.plans.definitions import DEFINITIONS
-from metricspark.plans.queries import ORACLES, QUERIES
+from metricspark.plans.queries import ORACLES, QUERIES, TERMS
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,14 @@ def test_tolerance_and_reasons(spark):
     theirs = spark.sql("SELECT * FROM VALUES (1, true, 1.01, '元'), (2, true, 1.02, '元'), (3, true, 1.00, 'x'), (5, true, 1.00, '元') AS t(key, present, value, unit)")
     got = [(r["verdict"], r["reason"]) for r in checks.compared(ours, theirs, ["key"]).orderBy("key").collect()]
     assert got == [("AGREE", None), ("DISAGREE", None), ("INCOMPARABLE", "UNIT"), ("INCOMPARABLE", "ABSENT"), ("INCOMPARABLE", "OUR_VALUE")]
+
+
+def test_rules_of_an_empty_definition(spark):
+    """What is absent is found once; a rule on items of an absent list finds nothing."""
+    row = ("m", *[None] * 10)
+    got = [r["code"] for r in rules.findings(spark.createDataFrame([row], rules.SCHEMA), TERMS).collect()]
+    assert sorted(got) == [
+        "R1.BAD_PERIOD_TYPE", "R1.MISSING_GRAIN", "R1.MISSING_GRAIN", "R3.DERIVATION_MISSING", "R4.FLAGS_KEY_MISSING",
+        "R5.BASIS_NOT_STRUCTURED", "R7.NO_UNDEFINED_CONDITIONS", "R8.TOO_FEW_PITFALLS", "R9.VERSION_NOT_INT",
+    ]
+    assert rules.findings(spark.createDataFrame([], rules.SCHEMA), TERMS).count() == 0

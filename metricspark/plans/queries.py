@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricspark.operators import checks, evaluation, layout, metrics, rules, text
+from metricspark.plans import more
 from metricspark.plans.definitions import DEFINITIONS
 from metricspark.sources.statements import FIELDS, STATEMENTS_SQL, statements, table
 
@@ -341,3 +342,6 @@ WINDOW w AS (PARTITION BY doc ORDER BY page, y)""",
     "word_columns": """WITH c(role, c0, c1) AS (VALUES ('item', 0.0, 20.0), ('current', 30.0, 60.0), ('prior', 65.0, 90.0)), p AS (SELECT p_partkey AS cell_id, p_partkey % 97 AS x0, p_partkey % 97 + p_size AS x1 FROM part)
 SELECT cell_id, arg_max(role, (least(x1, c1) - greatest(x0, c0), -c0)) AS role FROM p LEFT JOIN c ON least(x1, c1) - greatest(x0, c0) > 0 GROUP BY 1""",
 }
+
+QUERIES |= more.QUERIES
+ORACLES |= more.ORACLES

@@ -4,7 +4,9 @@ Leaves of random-projection trees give every vector a first list of neighbours.
 neighbours-of-neighbours joins then refine the lists. A list that is full of links is too
 short to show them all: the components that such vectors lie in are compared whole, in
 blocks. An audit against brute force for a sample of vectors measures the recall of
-links; while it is below the target, further trees and rounds follow.
+links; while it is below the target, further trees and rounds follow, twice as many trees
+each time. Where they would cost more than all pairs, or have been tried often enough,
+all pairs are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -26,23 +28,37 @@ from metricspark.llm.common import Forest, blocks, by_group, components, cut, jo
 class Descent:
     """Parameters.
 
-    neighbours: length of a list; trees: trees of one attempt; leaf: vectors of a leaf on
-    average; rounds: refinements of one attempt; audited: vectors of the audit; recall: its
-    target; attempts: at most; block: vectors of a block; hub: incoming neighbours that
-    meet at once.
+    neighbours: length of a list; trees: trees of the first attempt at least; reach: share
+    of the pairs at the threshold that its trees bring together; leaf: vectors of a leaf on
+    average; rounds: refinements of one attempt; audited: vectors that the audit begins
+    with; enough: vectors with links, outside groups compared whole, until which it goes
+    on; recall: its target; attempts: at most, before all pairs are compared; block:
+    vectors of a block; hub: incoming neighbours that meet at once.
     """
 
     threshold: float = 0.9
     neighbours: int = 10
     trees: int = 6
+    reach: float = 0.85
     leaf: int = 512
     rounds: int = 2
     audited: int = 512
+    enough: int = 128
     recall: float = 0.97
     attempts: int = 3
     block: int = 1024
     hub: int = 64
 
+    def depth(self, n: int) -> int:
+        """Planes of a tree over n vectors."""
+        return max(0, math.ceil(math.log2(max(1, n / self.leaf))))
+
+    def trees_of(self, n: int, attempt: int) -> int:
+        """Trees of an attempt: a plane parts vectors with their angle over pi, so they follow the depth."""
+        together = (1 - math.acos(self.threshold) / math.pi) ** self.depth(n)
+        needed = math.log(1 - self.reach) / math.log1p(-together) if together < 1 else 1
+        return max(self.trees, math.ceil(needed)) << attempt
+
 
 def matrix(column) -> np.ndarray:
     """Rows of doubles from a column of packed vectors of one length."""
@@ -83,7 +99,7 @@ EDGES = "u long, v long, s double"
 
 def tree_edges(vectors: DataFrame, n: int, p: Descent, attempt: int) -> DataFrame:
     """Nearest neighbours within the leaves of random-projection trees."""
-    depth = max(0, math.ceil(math.log2(max(1, n / p.leaf))))
+    depth, trees = p.depth(n), p.trees_of(n, attempt)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +107,7 @@ def tree_edges(vectors: DataFrame, n: int, p: Descent, attempt: int) -> DataFram
             for places in by_length(column):
                 part = batch.take(pa.array(places))
                 v = matrix(part.column("v"))
-                for t in range(p.trees):
+                for t in range(trees):
                     planes = np.random.default_rng([4, attempt, t, v.shape[1]]).standard_normal((v.shape[1], depth))
                     bits = ((v @ planes) > 0) @ (1 << np.arange(depth, dtype=np.int64))
                     key = mix(bits.astype(np.uint64) + np.uint64(v.shape[1] << 40) + np.uint64((t + 1) << 56))
@@ -151,6 +167,10 @@ def refine(near: DataFrame, vectors: DataFrame, p: Descent) -> DataFrame:
     return known.unionByName(found)
 
 
+#: Vectors that are compared with a block at once.
+STRIP = 512
+
+
 def crowd(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
     """Links of the vectors of one pair of blocks: (u, null, links) and edges (u, v, 0)."""
     block, node, copies = (t.column(c).to_numpy() for c in ("block", "node", "copies"))
@@ -161,30 +181,36 @@ def crowd(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
     v = matrix(t.column("v"))
     ia = np.flatnonzero(low)
     ib = ia if first == second else np.flatnonzero(~low)
-    link = v[ia] @ v[ib].T >= threshold
-    if ib is ia:
-        np.fill_diagonal(link, False)
-    totals = [(node[ia], link @ copies[ib])] + ([] if ib is ia else [(node[ib], link.T @ copies[ia])])
-    u = np.concatenate([n for n, _ in totals])
-    links = np.concatenate([c for _, c in totals])
+    total = np.zeros(len(node), dtype=np.int64)
     forest, edges = Forest(len(node)), []
-    for i in range(len(ia)):
-        for j in np.flatnonzero(link[i]).tolist():
-            if forest.join(int(ia[i]), int(ib[j])):
-                edges.append((ia[i], ib[j]))
+    for at in range(0, len(ia), STRIP):
+        own = ia[at : at + STRIP]
+        link = v[own] @ v[ib].T >= threshold
+        if ib is ia:
+            link[np.arange(len(own)), at + np.arange(len(own))] = False
+        total[own] += link @ copies[ib]
+        if ib is not ia:
+            total[ib] += link.T @ copies[own]
+        for i, j in np.argwhere(link).tolist():
+            if forest.join(int(own[i]), int(ib[j])):
+                edges.append((own[i], ib[j]))
+    u, links = node[total > 0], total[total > 0]
     x, y = np.array(edges, dtype=np.int64).reshape(-1, 2).T
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([u, node[x]])),
             pa.array([None] * len(u) + node[y].tolist(), pa.int64()),
-            pa.array(np.concatenate([links, np.zeros(len(edges), dtype=np.int64)]).astype(np.int64)),
+            pa.array(np.concatenate([links, np.zeros(len(edges), dtype=np.int64)])),
         ],
         names=["u", "v", "links"],
     )
 
 
 def linked(near: DataFrame, vectors: DataFrame, p: Descent) -> DataFrame:
-    """Facts on links: (u, null, links) to be summed for each vector, and edges (u, v, 0)."""
+    """Facts on links: (u, null, links) to be summed for each vector, and edges (u, v, 0).
+
+    ``whole`` tells those of components that were compared whole.
+    """
     seen = near.select("u", F.explode("near").alias("x")).filter(-F.col("x.d") >= p.threshold)
     seen = cut(seen.select(F.least("u", F.col("x.v")).alias("u"), F.greatest("u", F.col("x.v")).alias("v")).distinct())
     full = near.filter((F.size("near") >= p.neighbours) & (-F.element_at("near", -1)["d"] >= p.threshold))
@@ -199,37 +225,86 @@ def linked(near: DataFrame, vectors: DataFrame, p: Descent) -> DataFrame:
     ends = few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
     ends = join_salted(ends, vectors.select(F.col("node").alias("v"), "copies"), ["v"], "inner")
     none = F.lit(None).cast("long")
-    return cut(
-        whole.unionByName(ends.select("u", none.alias("v"), F.col("copies").alias("links"))).unionByName(
-            few.select("u", "v", F.lit(0).cast("long").alias("links"))
-        )
+    ordinary = ends.select("u", none.alias("v"), F.col("copies").alias("links")).unionByName(
+        few.select("u", "v", F.lit(0).cast("long").alias("links"))
     )
+    return cut(whole.withColumn("whole", F.lit(True)).unionByName(ordinary.withColumn("whole", F.lit(False))))
+
+
+def all_linked(vectors: DataFrame, p: Descent) -> DataFrame:
+    """The facts of ``linked`` from all pairs of vectors of one length, in larger blocks."""
+    rows = vectors.withColumn("group", F.length("v").cast("long"))
+    size = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (8 * p.block)).alias("n"))
+    rows = blocks(join_salted(rows, size, ["group"], "inner"), "group", "n", "node")
+    rows = rows.select("group", "pair", "block", "node", "copies", "v")
+    facts = by_group(rows, ["group", "pair"], lambda _, t: crowd(t, p.threshold), "u long, v long, links long")
+    return cut(facts.withColumn("whole", F.lit(True)))
 
 
 def audit(vectors: DataFrame, links: DataFrame, p: Descent) -> float:
-    """Share of the links of ``audited`` vectors, chosen by a hash, that were found."""
-    picked = vectors.orderBy(F.xxhash64(F.lit(46), "node")).limit(p.audited)
-    queries = picked.select("node", "v").collect()  # bounded by p.audited
+    """Share of links found, on average over sampled vectors that have any.
+
+    Vectors in components that were compared whole have most of the links and miss few,
+    so they are averaged by themselves and the worse of the two averages counts. Vectors
+    follow in the order of a hash until ``p.enough`` of the others have links; if there
+    are not so many, all vectors are compared.
+    """
+    found = links.filter("v IS NULL").groupBy("u").agg(F.sum("links").alias("links"), F.max("whole").alias("whole"))
+    found = cut(found)
+    keyed = vectors.select(F.xxhash64(F.lit(46), "node").alias("h"), "node", "v")
+    linked_n = {True: 0, False: 0}
+    share = {True: 0.0, False: 0.0}
+    size, last = p.audited, None
+    while linked_n[False] < p.enough:
+        rest = keyed if last is None else keyed.filter(F.col("h") > last)
+        queries = rest.orderBy("h").limit(size).collect()  # bounded by MOST_AUDITED
+        if not queries:
+            break
+        row = _true_links(vectors, queries, p.threshold).join(found, "u", "left").filter("n > 0")
+        part = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
+        whole = F.coalesce("whole", F.lit(False)).alias("whole")
+        for r in row.groupBy(whole).agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("share")).collect():
+            linked_n[r["whole"]] += r["n"]
+            share[r["whole"]] += r["share"]
+        if len(queries) < size:
+            break
+        size, last = min(4 * size, MOST_AUDITED), queries[-1]["h"]
+    return min((share[k] / linked_n[k] for k in share if linked_n[k]), default=1.0)
+
+
+#: Vectors that come to the driver at once for the audit.
+MOST_AUDITED = 8192
+
+
+def _true_links(vectors: DataFrame, queries: list, threshold: float) -> DataFrame:
+    """(u, n): the links of the queried vectors, by brute force."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(queries), dtype=np.int64)
+        held = {}
+        for size in {len(q["v"]) for q in queries}:
+            mine = np.array([i for i, q in enumerate(queries) if len(q["v"]) == size])
+            v = np.array([np.frombuffer(queries[i]["v"]) for i in mine])
+            held[size] = mine, v, np.array([queries[i]["node"] for i in mine])
         for batch in batches:
             for places in by_length(batch.column("v")):
                 part = batch.take(pa.array(places))
                 v = matrix(part.column("v"))
-                mine = [i for i, q in enumerate(queries) if len(q["v"]) == 8 * v.shape[1]]
-                if mine:
-                    q = np.array([np.frombuffer(queries[i]["v"]) for i in mine])
-                    close = (v @ q.T >= p.threshold) & (
-                        part.column("node").to_numpy()[:, None] != np.array([queries[i]["node"] for i in mine])
-                    )
-                    total[mine] += part.column("copies").to_numpy() @ close
-        yield pa.RecordBatch.from_arrays([pa.array([q["node"] for q in queries], pa.int64()), pa.array(total)], names=["u", "n"])
+                if 8 * v.shape[1] not in held:
+                    continue
+                mine, q, own = held[8 * v.shape[1]]
+                node, copies = part.column("node").to_numpy(), part.column("copies").to_numpy()
+                for i in range(0, len(v), STRIP):
+                    j = slice(i, i + STRIP)
+                    close = (v[j] @ q.T >= threshold) & (node[j, None] != own)
+                    total[mine] += copies[j] @ close
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([queries[i]["node"] for i in some], pa.int64()), pa.array(total[some])], names=["u", "n"]
+        )
 
-    true = vectors.select("node", "v", "copies").mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    found = links.filter("v IS NULL").groupBy("u").agg(F.sum("links").alias("links"))
-    row = true.join(found, "u", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return row["f"] / row["n"] if row["n"] else 1.0
+    true = vectors.select("node", "v", "copies").mapInArrow(count, "u long, n long")
+    return true.groupBy("u").agg(F.sum("n").alias("n"))
 
 
 def usable(vector: Column) -> Column:
@@ -247,7 +322,8 @@ def near_dedup(df: DataFrame, p: Descent = Descent(), id_col: str = "vec_id", ve
     non-finite components are linked with nothing, and so are vectors of different
     lengths with each other. An id belongs to one vector; rows that repeat both count as
     copies. A null id is linked with nothing and is kept. No link is found that isn't
-    one; ``audited_recall`` is the audit's share of links found (1 if it had none).
+    one; ``audited_recall`` is the audit's share of links found (see ``audit``): 1 if there
+    are none at all, or if all pairs were compared.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     fit = usable(F.col("x")) & F.col("id").isNotNull()
@@ -265,7 +341,12 @@ def near_dedup(df: DataFrame, p: Descent = Descent(), id_col: str = "vec_id", ve
     vectors = cut(rows.groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
     n = vectors.count()
     edges, links, recall = None, None, 0.0
-    for attempt in range(p.attempts):
+    attempt = spent = 0
+    while recall < p.recall:
+        spent += p.trees_of(n, attempt)
+        if attempt == p.attempts or (attempt and spent * p.leaf > n / 2):
+            links, recall = all_linked(vectors, p), 1.0
+            break
         new = tree_edges(vectors, n, p, attempt)
         near = lists(new if edges is None else edges.unionByName(new), p.neighbours)
         for _ in range(p.rounds):
@@ -273,8 +354,7 @@ def near_dedup(df: DataFrame, p: Descent = Descent(), id_col: str = "vec_id", ve
         edges = near.select("u", F.explode("near").alias("x")).select("u", F.col("x.v").alias("v"), (-F.col("x.d")).alias("s"))
         links = linked(near, vectors, p)
         recall = audit(vectors, links, p)
-        if recall >= p.recall:
-            break
+        attempt += 1
     classes = components(links.filter("v IS NOT NULL").select("u", "v"))
     counts = links.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node")
     nodes = vectors.join(classes, "node", "left").join(counts, "node", "left").filter("copies > 1 OR links > 0")

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,37 @@ def test_stages(spark, odd):
         assert stage(spark, docs, SMALL).columns == odd.columns
         assert stage(spark, docs.limit(0), SMALL).count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.exact(spark, docs, SMALL).collect()} == {1, 4, 5, 6, 7}
+
+
+def crowded(spark, pairs=150, group=600, alone=3000, hot=0):
+    """Vectors with planted pairs of cosine 0.91 to 0.95, one group of near copies, strangers; ``hot``: of them in one topic."""
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic = unit(r.standard_normal(64))
+    base = unit(r.standard_normal((alone + pairs, 64)))
+    base[:hot] = unit(0.84 * topic + 0.54 * base[:hot])
+    twins = unit(base[:pairs] + r.uniform(0.33, 0.45, (pairs, 1)) * unit(r.standard_normal((pairs, 64))))
+    near = unit(unit(r.standard_normal(64)) + 0.1 * unit(r.standard_normal((group, 64))))
+    v = np.concatenate([base, twins, near])
+    place = r.permutation(len(v))
+    d = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(place, v)], "vec_id long, embedding array<double>")
+    return d.repartition(4), v, place, alone + pairs
+
+
+def test_lost_pairs_beside_a_large_group(spark):
+    """Trees that lose most planted pairs: the links of a large group don't hide it, nor does a sample without links."""
+    d, v, place, first = crowded(spark)
+    want = np.zeros(len(v), dtype=int)
+    want[place] = (v @ v.T >= 0.9).sum(axis=1) - 1
+    for audited in (512, 2):
+        p = neighbours.Descent(trees=1, reach=0.01, rounds=0, leaf=32, audited=audited, attempts=1)
+        rows = neighbours.near_dedup(d, p).toPandas().set_index("vec_id").sort_index()
+        assert (rows.n_links.to_numpy() <= want).all()
+        lone = want < 100
+        assert rows.n_links[lone].sum() >= 0.97 * want[lone].sum() > 0
+        assert (rows.audited_recall >= 0.97).all()
+
+
+def test_trees_follow_depth():
+    p = neighbours.Descent()
+    assert p.trees_of(50_000, 0) == 6 < p.trees_of(50_000_000, 0) < p.trees_of(50_000_000, 1)

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricspark.llm.arrays import mix
 from metricspark.llm.common import Forest, blocks, by_group, components, cut, join_salted
 
 
@@ -97,32 +96,57 @@ def edge_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch | None:
 EDGES = "u long, v long, s double"
 
 
+#: Planes of a tree at most; so many leave only near copies together.
+PLANES = 60
+
+
 def tree_edges(vectors: DataFrame, n: int, p: Descent, attempt: int) -> DataFrame:
     """Nearest neighbours within the leaves of random-projection trees."""
     depth, trees = p.depth(n), p.trees_of(n, attempt)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("v")
-            for places in by_length(column):
+            for places in by_length(batch.column("v")):
                 part = batch.take(pa.array(places))
                 v = matrix(part.column("v"))
                 for t in range(trees):
-                    planes = np.random.default_rng([4, attempt, t, v.shape[1]]).standard_normal((v.shape[1], depth))
-                    bits = ((v @ planes) > 0) @ (1 << np.arange(depth, dtype=np.int64))
-                    key = mix(bits.astype(np.uint64) + np.uint64(v.shape[1] << 40) + np.uint64((t + 1) << 56))
+                    planes = np.random.default_rng([4, attempt, t, v.shape[1]]).standard_normal((v.shape[1], PLANES))
+                    code = ((v @ planes) > 0) @ (1 << np.arange(PLANES, dtype=np.int64))
+                    tree = np.full(len(v), (v.shape[1] << 20) + t, dtype=np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), part.column("node"), part.column("v")], names=["key", "node", "v"]
+                        [pa.array(tree), part.column("node"), pa.array(code)], names=["tree", "node", "code"]
                     )
 
-    rows = vectors.select("node", "v").mapInArrow(leaves, "key long, node long, v binary")
-    keys = vectors.select("node", "v").mapInArrow(leaves, "key long, node long, v binary").select("key")
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 2 * p.block)
-    full = full.select("key", F.ceil(F.col("size") / p.block).alias("parts"))
-    # A leaf with a crowd is dealt into parts of bounded size; the rounds join them up.
-    rows = join_salted(rows, full, ["key"], "left")
-    part = F.pmod(F.xxhash64(F.lit(44), "node"), F.coalesce("parts", F.lit(1))).cast("long")
-    rows = rows.select("key", part.alias("part"), "node", "v")
+    def leaf(planes: Column) -> Column:
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), planes.cast("int")) - 1
+        return F.xxhash64(F.lit(attempt), "tree", planes.cast("int"), F.col("code").bitwiseAND(mask))
+
+    most = 2 * p.block
+    rows = cut(vectors.select("node", "v").mapInArrow(codes, "tree long, node long, code long"))
+    rows = rows.withColumn("key", leaf(F.lit(depth)))
+    large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > most))
+    if large.isEmpty():
+        rows = rows.select("node", "key", F.lit(0).cast("long").alias("part"))
+    else:
+        # A leaf with a crowd is split on further planes, each branch until it is small.
+        hot = join_salted(rows, large.select("key"), ["key"], "inner").select("tree", "node", "code")
+        deeper = F.array(*(F.lit(d) for d in sorted({*range(depth + 2, PLANES, 2), PLANES})))
+        split = hot.withColumn("planes", F.explode(deeper)).withColumn("key", leaf(F.col("planes")))
+        sizes = split.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        small = join_salted(split, sizes.filter(F.col("size") <= most), ["key"], "inner")
+        ends = small.groupBy("tree", "node").agg(F.min("planes").alias("planes"))
+        rows = rows.drop("key").join(hot.select("tree", "node", F.lit(True).alias("hot")), ["tree", "node"], "left")
+        rows = rows.join(ends, ["tree", "node"], "left")
+        rows = rows.withColumn("planes", F.coalesce("planes", F.when(F.col("hot"), PLANES).otherwise(depth)))
+        rows = cut(rows.select("tree", "node", leaf(F.col("planes")).alias("key")))
+        # Near copies that no plane splits are dealt into parts that overlap, otherwise in every tree.
+        whole = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > most)
+        rows = join_salted(rows, whole.select("key", F.ceil(F.col("size") / p.block).alias("parts")), ["key"], "left")
+        part = F.pmod(F.xxhash64(F.lit(44), "key", "node"), F.coalesce("parts", F.lit(1)))
+        both = F.array_distinct(F.array(part, F.pmod(part + 1, F.coalesce("parts", F.lit(1)))))
+        rows = rows.select("node", "key", F.explode(both.cast("array<long>")).alias("part"))
+    rows = rows.groupBy("node").agg(F.collect_list(F.struct("key", "part")).alias("at")).join(vectors.select("node", "v"), "node")
+    rows = rows.select(F.explode("at").alias("at"), "node", "v").select("at.key", "at.part", "node", "v")
     return by_group(
         rows, ["key", "part"], lambda _, t: edge_batch([best(t.column("node").to_numpy(), matrix(t.column("v")), p.neighbours)]), EDGES
     )

@@ -54,10 +54,11 @@ class Join:
 
     @property
     def runs(self) -> int:
-        """Runs after which a pair at the limit has been missed with 1 - recall, if its bucket
-        is split once. A pair's common paths branch with a mean of one at every step."""
+        """Runs after which a pair at the limit has been missed with 1 - recall, though its
+        buckets be split ``depth`` times. A pair's common paths branch with a mean of one
+        at every step."""
         together = 1.0
-        for _ in range(1 + self.steps):
+        for _ in range(1 + self.steps * self.depth):
             together = 1 - math.exp(-together)
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - together)))
 

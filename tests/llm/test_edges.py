@@ -153,3 +153,13 @@ def test_copies_that_no_plane_splits(spark):
     from metricspark.llm.common import components
 
     assert components(edges).select("component").distinct().count() == 1 and edges.select("u").distinct().count() == 900
+
+
+def test_runs_cover_the_deepest_split():
+    """A pair at the limit is missed with 1 - recall at most, in the model of branching paths, after all splits."""
+    for p in (set_join.Join(), set_join.Join(depth=1), set_join.Join(depth=8)):
+        together = 1.0
+        for _ in range(1 + p.steps * p.depth):
+            together = 1 - np.exp(-together)
+        assert (1 - together) ** p.runs <= 1 - p.recall
+        assert {r for r, _ in set_join.first_keys(p.runs, p.similarity)} == set(range(p.runs))

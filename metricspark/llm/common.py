@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     place = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(place)
+    out.written_at = place
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables made by ``cut`` that no later plan reads."""
+    for t in tables:
+        if t is not None:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +65,25 @@ def join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
     return left.withColumn(salt, spread).join(right.withColumn(salt, copies), [*on, salt], how).drop(salt)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """Inner join; right has one row for each key.
+
+    Keys with more than ``most`` left rows are dealt over as many parts as that takes; only
+    their right rows are repeated, once for each part.
+    """
+    count = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    hot = cut(count.select(key, F.ceil(F.col("n") / most).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        discard(hot)
+        return left.join(right, key)
+    parts = F.coalesce("__parts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")
+    left = join_salted(left, hot, [key], "left").withColumn("__part", spread).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), parts - 1))
+    right = right.join(hot, key, "left").withColumn("__part", copies).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of the column's text form, modulo ``modulus``."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus)).cast("int")
@@ -64,15 +95,22 @@ def labelled_sample(
     """(id, label) of at most about ``max_rows`` labelled rows, chosen by a hash of the id.
 
     Rows are taken below a hash limit that follows from their number, so the choice
-    is the same on every run and needs no sort. All rows stay if there are fewer.
+    is the same on every run and needs no sort. All rows stay if there are fewer. An id
+    with several labels counts once, with the smallest.
     """
     rows = labels.filter(keep & F.col(label).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.select(id_col, F.col(label).cast("double").alias("label")).dropDuplicates([id_col])
+    rows = rows.groupBy(id_col).agg(F.min(F.col(label).cast("double")).alias("label"))
     n = rows.count()
-    if n <= max_rows:
-        return rows
-    steps = 1 << 20
-    return rows.filter(F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(steps)) < int(steps * max_rows / n))
+    return rows if n <= max_rows else rows.filter(sampled(F.col(id_col), 7, max_rows / n))
+
+
+#: Values of a hash that decides on samples; shares down to one in so many can be told apart.
+STEPS = 1 << 53
+
+
+def sampled(column: Column, seed: int, share: float) -> Column:
+    """True for about ``share`` of the values of a column, the same on every run."""
+    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(STEPS)) < math.ceil(STEPS * share)
 
 
 #: Edges that one task contracts at once.
@@ -97,6 +135,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         turn += 1
         if n <= FEW_EDGES:
             moved = cut(rest.coalesce(1).mapInArrow(_contract, "node long, to long"))
+            discard(rest)
             found = moved if found is None else _followed(found, moved)
             break
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)
@@ -112,9 +151,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         left = join_salted(
             left.select("tu", "v"), moved.select(F.col("node").alias("v"), F.col("to").alias("tv")), ["v"], "inner"
         )
+        before = rest
         rest = cut(
             left.filter("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
         )
+        discard(before)
         found = moved if found is None else _followed(found, moved)
     if found is None:
         return rest.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -124,7 +165,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
 def _followed(found: DataFrame, moved: DataFrame) -> DataFrame:
     step = moved.select(F.col("node").alias("to"), F.col("to").alias("next"))
-    return cut(join_salted(found, step, ["to"], "left").select("node", F.coalesce("next", "to").alias("to")))
+    out = cut(join_salted(found, step, ["to"], "left").select("node", F.coalesce("next", "to").alias("to")))
+    discard(found, moved)
+    return out
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricspark.llm.arrays import LETTER, classes, code_points, slices
+from metricspark.llm.common import sampled
 
 #: Signs of a vector; letters of an n-gram; symbols: none, a to z, and other letters by hash.
 DIMENSIONS, GRAM, SYMBOLS = 1024, 3, 48
@@ -94,8 +95,7 @@ def fit(
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     n = rows.count()
     if n > max_rows:
-        steps = 1 << 20
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(steps)) < int(steps * max_rows / n))
+        rows = rows.filter(sampled(F.col("id"), 6, max_rows / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricspark.sources.statements import readable
+from metricspark.operators.expressions import readable
 
 TOLERANCE = "0.01"
+BALANCE = ("bs_total_assets", "bs_total_liabilities", "bs_total_equity")
 #: The unit names of statements and their scales in the base unit.
 UNITS = {"元": 1, "万元": 10_000, "亿元": 100_000_000}
 
@@ -20,16 +21,19 @@ def scale_of(unit: Column) -> Column:
     return out
 
 
+def balanced() -> Column:
+    """Assets equal liabilities and equity within TOLERANCE; false where any can't be read."""
+    a, l, e = (readable(F.col(p)) for p in BALANCE)  # noqa: E741
+    return F.coalesce(F.abs(a - (l + e)) <= F.lit(TOLERANCE).cast("decimal(4,2)"), F.lit(False))
+
+
 def reconcile(statements: DataFrame) -> DataFrame:
     """(entity, period, passed, missing): assets equal liabilities and equity within TOLERANCE.
 
     What can't be read fails and is listed.
     """
-    parts = ["bs_total_assets", "bs_total_liabilities", "bs_total_equity"]
-    a, l, e = (readable(F.col(p)) for p in parts)  # noqa: E741
-    missing = F.array_join(F.filter(F.array(*(F.when(readable(F.col(p)).isNull(), p) for p in parts)), lambda x: x.isNotNull()), ",")
-    passed = F.coalesce(F.abs(a - (l + e)) <= F.lit(TOLERANCE).cast("decimal(4,2)"), F.lit(False))
-    return statements.select("entity", "period", passed.alias("passed"), missing.alias("missing"))
+    missing = F.array_join(F.filter(F.array(*(F.when(readable(F.col(p)).isNull(), p) for p in BALANCE)), lambda x: x.isNotNull()), ",")
+    return statements.select("entity", "period", balanced().alias("passed"), missing.alias("missing"))
 
 
 def compared(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,74 +1,147 @@
-"""All metrics of all entities and periods in one plan; refusals are columns."""
+"""All metrics of all entities and periods in one plan; refusals are columns.
+
+Two paths share the compiled definitions. An answer runs the refusal conditions and
+refuses where a flag can't be decided; a computation needs a passed reconciliation, runs
+no conditions, and records undecided flags beside the value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricspark.plans.definitions import DEFINITIONS, Definition
-from metricspark.sources.statements import FIELDS, FLAG_FIELDS, readable
+from metricspark.operators import checks, expressions
+from metricspark.plans.definitions import DEFINITIONS, KINDS, Definition
+from metricspark.sources.statements import FIELDS, FLAG_FIELDS
+
+#: The ten codes of refusals.
+CODES = (
+    "METRIC_NOT_DEFINED", "ALIAS_AMBIGUOUS", "DEFINITION_NONCONFORMANT", "UNDEFINED_CONDITION_HIT", "UNEVALUABLE_CONDITION",
+    "CROSS_VERSION_COMPARISON", "CROSS_BASIS_VERSION_COMPARISON", "UNAVAILABLE", "RECONCILIATION_FAILED", "INTENT_INCOMPLETE",
+)
+#: Fixed value: what stands for the unit of a ratio.
+NO_UNIT = "无量纲"
+
+
+def column(path: str) -> str:
+    return path.replace(".", "_")
+
+
+def used(definitions: Iterable[Definition]) -> list[str]:
+    """Columns of the amounts that the definitions read, in the order of the statement."""
+    paths = {p for d in definitions for t in (d.formula, *d.conditions, *(x for _, x in d.flags)) for p in expressions.fields(t)}
+    return [f for f in FIELDS if f in {column(p) for p in paths}]
+
+
+def row_struct(definitions: Iterable[Definition]) -> str:
+    """Each field's amount and state once, as one struct: what metrics read of a statement."""
+    cells = [f"'{f}', {expressions.readable_sql(f)}, '{f}__state', {f}.state" for f in used(definitions)]
+    return "named_struct(" + ", ".join([*(f"'{f}', {f}" for f in FLAG_FIELDS), *cells]) + ")"
+
+
+def cell(path: str) -> tuple[str, str]:
+    """A field of the struct ``a``: its expression, null if missing, and its kind."""
+    return f"a.{column(path)}", KINDS.get(path, "number")
 
-#: Codes of refusals that the conditions give.
-UNAVAILABLE, UNDEFINED, UNEVALUABLE = "UNAVAILABLE", "UNDEFINED_METRIC", "UNEVALUABLE_CONDITION"
 
+def state(path: str) -> str:
+    return f"a.{column(path)}__state"
 
-def condition(kind: str, fields: tuple[str, ...]) -> Column:
-    """The code with which a condition refuses, null if it lets the row pass.
 
-    A comparison whose operand is missing can't be decided and refuses too.
+def deferred(trigger: str) -> bool:
+    """A flag on two periods compared; one period can't decide it."""
+    return any(p.startswith("comparison_period.") for p in expressions.fields(trigger))
+
+
+def metric(d: Definition) -> str:
+    """Struct of one metric over ``a``: conditions, value, refusals of operands, triggers of flags, undecided where null."""
+    value, refusals = expressions.formula(d.formula, lambda p: cell(p)[0], state)
+    flags = [(name, t) for name, t in d.flags if not deferred(t)]
+    triggers = [f"named_struct('name', '{name}', 'on', {expressions.condition(t, cell)})" for name, t in flags]
+    roots = sorted({p.split(".")[0] for p in expressions.fields(d.formula)})
+    return f"""named_struct('metric_id', '{d.metric_id}', 'version', {d.version},
+      'conditions', CAST(array({", ".join(expressions.condition(c, cell) for c in d.conditions)}) AS ARRAY<BOOLEAN>),
+      'value', {value}, 'refusals', CAST({refusals} AS ARRAY<STRING>),
+      'triggers', CAST(array({", ".join(triggers)}) AS ARRAY<STRUCT<name: STRING, on: BOOLEAN>>),
+      'roots', array({", ".join(f"'{r}'" for r in roots)}), 'ratio', {str(expressions.is_ratio(d.formula)).lower()})"""
+
+
+def evaluated(statements: DataFrame, definitions: tuple[Definition, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(suppkey, entity, period, *keep, m.*): a row for each statement and metric.
+
+    No shuffle: the metrics are structs of one projection, exploded in place. Generating
+    the row's amounts first keeps each of them from being written out in every metric.
     """
-    if kind == "missing":
-        missing = F.lit(False)
-        for f in fields:
-            missing = missing | F.col(f).isNull()
-        return F.when(missing, UNAVAILABLE)
-    x = F.col(fields[0])
-    hit = x <= 0 if kind == "not_positive" else x == 0
-    return F.when(x.isNull(), UNEVALUABLE).when(hit, UNDEFINED)
-
-
-def metric(d: Definition) -> Column:
-    """Struct of one metric's result; the first condition that refuses wins."""
-    hits = [F.when((c := condition(k, f)).isNotNull(), F.struct(c.alias("code"), F.lit(i).alias("at"))) for i, (k, f) in enumerate(d.conditions)]
-    refusal = F.coalesce(*hits)
-    # Operands of 24 digits leave a quotient 14 places; wider ones would round it to fewer.
-    top = F.expr(d.formula).cast("decimal(24,6)")
-    value = (top / F.expr(f"cast(nullif({d.over}, 0) as decimal(24,6))") if d.over else top).cast("decimal(38,10)")
-    flag = F.when(F.expr(d.flag[1]), F.lit(d.flag[0])) if d.flag else F.lit(None).cast("string")
-    return F.struct(
-        F.lit(d.metric_id).alias("metric_id"),
-        F.when(refusal.isNull(), value).alias("value"),
-        refusal["code"].alias("refusal_code"),
-        refusal["at"].alias("condition_index"),
-        flag.alias("flag"),
-    )
+    keys = ["suppkey", "entity", "period", *keep]
+    rows = statements.selectExpr(*keys, f"explode(array({row_struct(definitions)})) AS a")
+    return rows.selectExpr(*keys, f"explode(array({', '.join(map(metric, definitions))})) AS m").select(*keys, "m.*")
+
+
+def first(items: Column, hit) -> Column:
+    """Place of the first item that ``hit`` holds for, from 0; null if none."""
+    return F.nullif(F.array_position(F.transform(items, hit), F.lit(True)), F.lit(0)) - 1
+
+
+def on(triggers: Column) -> Column:
+    """Names of the flags that are on, sorted; null if one can't be decided."""
+    names = F.array_sort(F.transform(F.filter(triggers, lambda x: x["on"]), lambda x: x["name"]))
+    return F.when(~F.exists(triggers, lambda x: x["on"].isNull()), names)
 
 
 def metric_values(statements: DataFrame, definitions: tuple[Definition, ...] = DEFINITIONS) -> DataFrame:
-    """(entity, period, metric_id, value, refusal_code, condition_index, flag), a row for each metric.
+    """Answers: (suppkey, entity, period, metric_id, version, value, refusal_code, condition_index, flags).
 
-    No shuffle: the metrics are structs of one projection, exploded in place.
+    In this order refuse: the first condition that holds or can't be decided, with its
+    index; the first operand of the formula; flags that can't be decided.
+    """
+    m = evaluated(statements, definitions)
+    m = m.withColumn("condition_index", first(F.col("conditions"), lambda c: F.coalesce(c, F.lit(True))).cast("int"))
+    m = m.withColumn("operand", F.get("refusals", F.coalesce(first(F.col("refusals"), lambda c: c.isNotNull()), F.lit(-1)).cast("int")))
+    m = m.withColumn("flags", on(F.col("triggers")))
+    hit = F.when(F.get("conditions", "condition_index").isNull(), "UNEVALUABLE_CONDITION").otherwise("UNDEFINED_CONDITION_HIT")
+    code = F.when(F.col("condition_index").isNotNull(), hit).when(F.col("operand").isNotNull(), F.col("operand"))
+    code = code.when(F.col("flags").isNull(), "UNEVALUABLE_CONDITION")
+    m = m.withColumn("refusal_code", code)
+    return m.select(
+        "suppkey", "entity", "period", "metric_id", "version",
+        F.when(F.col("refusal_code").isNull(), F.col("value")).alias("value"),
+        "refusal_code", "condition_index", "flags",
+    )
+
+
+def computed_metrics(statements: DataFrame, definitions: tuple[Definition, ...] = DEFINITIONS) -> DataFrame:
+    """Computations: (entity, period, metric_id, value, unit, refusal_code, source, flags, flags_status).
+
+    In this order refuse: a reconciliation that hasn't run or hasn't passed, the first
+    operand or division, inputs of several units. ``flags_status`` is unevaluable where a
+    trigger can't be decided; that refuses nothing here.
     """
-    amounts = statements.select("suppkey", "entity", "period", *FLAG_FIELDS, *(readable(F.col(f)).alias(f) for f in FIELDS))
-    rows = amounts.select("suppkey", "entity", "period", F.explode(F.array(*map(metric, definitions))).alias("m"))
-    return rows.select("suppkey", "entity", "period", "m.*")
-
-
-def metric_sql(d: Definition) -> str:
-    """The SQL check of one metric over the view st."""
-    tests = []
-    for i, (kind, fields) in enumerate(d.conditions):
-        if kind == "missing":
-            tests.append((" OR ".join(f"{f} IS NULL" for f in fields), UNAVAILABLE, i))
-        else:
-            tests.append((f"{fields[0]} {'<= 0' if kind == 'not_positive' else '= 0'}", UNDEFINED, i))
-    case = lambda n: "CASE " + " ".join(f"WHEN {t[0]} THEN {repr(t[n])}" for t in tests) + " END"
-    value = f"CAST(({d.formula}) AS DOUBLE) / CAST({d.over} AS DOUBLE)" if d.over else f"CAST({d.formula} AS DOUBLE)"
-    flag = f"CASE WHEN {d.flag[1]} THEN '{d.flag[0]}' END" if d.flag else "CAST(NULL AS VARCHAR)"
-    return (
-        f"SELECT suppkey, entity, period, '{d.metric_id}' AS metric_id, CASE WHEN {case(1)} IS NULL THEN CAST(round(CAST({value} AS DECIMAL(28,10)), 6) AS DOUBLE) END AS value,"
-        f" {case(1)} AS refusal_code, {case(2)} AS condition_index, {flag} AS flag FROM st"
-    )
-
-
-METRICS_SQL = "mv AS (" + " UNION ALL ".join(map(metric_sql, DEFINITIONS)) + ")"
+    gated = statements.withColumn("passed", checks.balanced())
+    m = evaluated(gated, definitions, ("gate_ran", "passed", "cfs_unit"))
+    units = F.array_distinct(F.transform("roots", lambda r: F.when(r == "cfs", F.col("cfs_unit")).otherwise("元")))
+    m = m.withColumn("units", units).withColumn("on", on(F.col("triggers")))
+    m = m.withColumn("operand", F.get("refusals", F.coalesce(first(F.col("refusals"), lambda c: c.isNotNull()), F.lit(-1)).cast("int")))
+    source = F.when(~F.coalesce("gate_ran", F.lit(False)), "reconcile:not_run").when(~F.col("passed"), "reconcile:balance_sheet_identity")
+    source = source.when(F.col("operand").isNotNull() | (F.size("units") > 1), "formula")
+    m = m.withColumn("source", source)
+    code = F.when(F.startswith("source", F.lit("reconcile")), "RECONCILIATION_FAILED").when(F.col("operand").isNotNull(), F.col("operand"))
+    m = m.withColumn("refusal_code", code.when(F.size("units") > 1, "UNEVALUABLE_CONDITION"))
+    passed = F.col("refusal_code").isNull()
+    return m.select(
+        "entity", "period", "metric_id",
+        F.when(passed, F.col("value")).alias("value"),
+        F.when(passed, F.when(F.col("ratio"), NO_UNIT).otherwise(F.get("units", F.lit(0)))).alias("unit"),
+        "refusal_code", "source",
+        F.when(passed, F.coalesce("on", F.array().cast("array<string>"))).alias("flags"),
+        F.when(passed, F.when(F.col("on").isNull(), "unevaluable").otherwise("evaluated")).alias("flags_status"),
+    )
+
+
+def metric_inputs(statements: DataFrame, definitions: tuple[Definition, ...] = DEFINITIONS) -> DataFrame:
+    """(entity, period, metric_id, pos, field_id, state, amount): a formula's operands from left to right, repeats included."""
+    listed = ", ".join(f"named_struct('metric_id', '{d.metric_id}', 'pos', {i}, 'field_id', '{p}')" for d in definitions for i, p in enumerate(expressions.fields(d.formula)))
+    cells = ", ".join(f"'{f}', named_struct('state', {f}.state, 'amount', {expressions.readable_sql(f)})" for f in used(definitions))
+    rows = statements.selectExpr("entity", "period", f"map({cells}) AS cells", f"explode(array({listed})) AS x")
+    return rows.selectExpr("entity", "period", "x.*", "cells[replace(x.field_id, '.', '_')] AS c").select("entity", "period", "metric_id", "pos", "field_id", "c.*")

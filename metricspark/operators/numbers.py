@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of all scripts, and the forms of a code, a year and a number.
+#: White space of all scripts, the forms of a code, a year, a unit of money after a number
+#: and a number, and the scales of units.
 BLANK = r"[\x{1C}-\x{20}\x{09}-\x{0D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 INVISIBLE = r"[\p{Cc}\p{Cf}]"
 CODE = r"(?<!\d)(\d{6})(?!\d)"
@@ -37,6 +38,14 @@ def years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)))
 
 
+def masked(text: Column) -> Column:
+    """Codes that are no amounts, and years, replaced by as many wide blanks, so that places stay."""
+    wide = "　"
+    out = F.regexp_replace(text, CODE + MONEY, wide * 6)
+    out = F.regexp_replace(out, r"(?:19|20)\d{2}(?=\s*年)", wide * 4)
+    return F.regexp_replace(out, f"(?<={wide * 4}\\s{{0,64}})年", wide)
+
+
 def scale(unit: Column) -> Column:
     out = F.lit("1").cast("decimal(11,2)")
     for name, by in SCALES.items():
@@ -51,7 +60,7 @@ def stated(text: Column) -> Column:
     A six-digit number before a unit of money is an amount and no code. A number that is
     too long for a decimal has a null value.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, CODE + MONEY, "　"), YEAR, "　")
+    bare = masked(text)
     found = F.arrays_zip(
         F.regexp_extract_all(bare, F.lit(NUMBER), F.lit(1)).alias("raw"), F.regexp_extract_all(bare, F.lit(NUMBER), F.lit(2)).alias("unit")
     )

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from metricspark.plans.definitions import DEFINITIONS
 
-#: What separates the segments of a text, and the form of a year.
+#: Fixed value: what separates the segments of a text.
 SEPARATORS = "[。；;！!？?\n，,]+"
-YEAR = r"((?:19|20)[0-9]{2})\s*年"
 
 
 def segments(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,40 +34,6 @@ def named(texts: DataFrame, names: DataFrame, text_col: str, keys: list[str]) ->
     return found.select(*texts.columns, F.col("hit.alias").alias("alias"), F.col("hit.metric_id").alias("metric_id"), F.col("hit.display").alias("display"))
 
 
-def stated(text: Column) -> Column:
-    """The last number of a text, as (value, tolerance): half a unit in its last written place."""
-    number = F.regexp_extract(text, r"(-?[0-9]+(?:\.[0-9]+)?)[^0-9]*$", 1)
-    places = F.length(F.regexp_extract(number, r"\.([0-9]+)$", 1))
-    value = F.when(number != "", number.cast("decimal(28,6)"))
-    return F.struct(value.alias("value"), (F.lit(0.5) * F.pow(F.lit(10.0), -places)).alias("tolerance"))
-
-
-def judge(claims: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame:
-    """(claim_id, metric_id, entity, period, verdict) of claims (claim_id, text).
-
-    In this order: no number is NOT_CHECKABLE; no known metric, or no value of it for the
-    entity and period named, is NOT_COVERED; a name other than the metric's own is
-    AMBIGUOUS_BASIS; else the value decides, within half a unit of the last place.
-    """
-    text = F.col("text")
-    read = named(claims, names, "text", ["claim_id"]).select(
-        "claim_id", "alias", "metric_id", "display",
-        F.regexp_extract(text, r"(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)", 1).alias("entity"),
-        F.try_to_number(F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")), F.lit("9999")).cast("long").alias("period"),
-        stated(F.regexp_replace(text, r"^[0-9]{6}|" + YEAR, " ")).alias("s"),
-    )
-    both = read.join(values.select("entity", "period", "metric_id", "value"), ["entity", "period", "metric_id"], "left")
-    near = F.abs(F.col("value").cast("double") - F.col("s.value").cast("double")) <= F.col("s.tolerance") + 1e-9
-    verdict = (
-        F.when(F.col("s.value").isNull(), "NOT_CHECKABLE")
-        .when(F.col("value").isNull(), "NOT_COVERED")
-        .when(F.col("alias") != F.col("display"), "AMBIGUOUS_BASIS")
-        .when(near, "CONSISTENT")
-        .otherwise("INCONSISTENT")
-    )
-    return both.select("claim_id", "metric_id", "entity", "period", verdict.alias("verdict"))
-
-
 VERDICTS = ("CONSISTENT", "INCONSISTENT", "AMBIGUOUS_BASIS", "NOT_COVERED", "NOT_CHECKABLE")
 
 
@@ -83,11 +48,11 @@ def inherited(turns: DataFrame, group: str, order: str, value: str) -> DataFrame
     return turns.withColumn("context", F.coalesce(value, F.first(value, ignorenulls=True).over(earlier)))
 
 
-def near_misses(texts: DataFrame, names: DataFrame, text_col: str) -> DataFrame:
+def near_misses(texts: DataFrame, names: DataFrame, text_col: str, blanks: bool = False) -> DataFrame:
     """Rows of ``named`` with ``near``: another metric's alias of which the found one is only the end.
 
     ``near`` is null unless the text also has some of what that alias has before, up to
-    where the found alias begins; blanks alone don't count. The alias of which the text
+    where the found alias begins. ``blanks``: a blank alone counts too, for names that hold none. The alias of which the text
     shows most wins, then the first by name. Names are broadcast; texts aren't shuffled.
     """
     listed = names.agg(F.sort_array(F.collect_list(F.struct(F.col("alias").alias("other"), F.col("metric_id").alias("other_id")))).alias("others"))
@@ -96,7 +61,7 @@ def near_misses(texts: DataFrame, names: DataFrame, text_col: str) -> DataFrame:
 
     def shown(x: Column) -> Column:
         extra = F.substring(x["other"], F.lit(1), F.length(x["other"]) - F.length(alias))
-        ends = F.filter(F.sequence(F.lit(1), F.length(extra)), lambda k: F.endswith(before, F.right(extra, k)) & (F.trim(F.right(extra, k)) != ""))
+        ends = F.filter(F.sequence(F.lit(1), F.length(extra)), lambda k: F.endswith(before, F.right(extra, k)) & (F.lit(blanks) | (F.trim(F.right(extra, k)) != "")))
         return F.struct(F.coalesce(F.array_max(ends), F.lit(0)).alias("n"), x["other"].alias("other"))
 
     apart = lambda x: F.endswith(x["other"], alias) & (x["other"] != alias) & (x["other_id"] != F.col("metric_id"))

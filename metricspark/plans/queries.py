@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metricspark.operators import checks, evaluation, layout, metrics, rules, text
+from metricspark.operators import checks, evaluation, intent, layout, metrics, rules, text
+from metricspark.operators.expressions import readable_sql
 from metricspark.plans import more
 from metricspark.plans.definitions import DEFINITIONS
-from metricspark.sources.statements import FIELDS, STATEMENTS_SQL, statements, table
-
-WITH = f"WITH {STATEMENTS_SQL}"
-METRICS = f"{WITH}, {metrics.METRICS_SQL}"
+from metricspark.plans.metric_sql import COMPUTED, INPUTS, METRICS, WITH
+from metricspark.sources.statements import FIELDS, entity, statements, table
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +18,21 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics of all entities and periods: value or typed refusal, and the flag."""
-    return values(spark, sf_dir).drop("suppkey").withColumn("value", F.round("value", 6).cast("double"))
+    """All metrics of all entities and periods: value or typed refusal, and the flags."""
+    rows = values(spark, sf_dir).drop("suppkey", "version").withColumn("flags", F.array_join("flags", ","))
+    return rows.withColumn("value", F.round("value", 6).cast("double"))
+
+
+def computed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics as computations behind the reconciliation gate, with units and the state of flags."""
+    rows = metrics.computed_metrics(statements(spark, sf_dir)).withColumn("flags", F.array_join("flags", ","))
+    return rows.withColumn("value", F.round("value", 6).cast("double"))
+
+
+def metric_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operands of every computation in their order."""
+    rows = metrics.metric_inputs(statements(spark, sf_dir)).withColumn("field_id", F.replace("field_id", F.lit("."), F.lit("_")))
+    return rows.withColumn("amount", F.col("amount").cast("double"))
 
 
 def debt_to_asset_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +43,8 @@ def debt_to_asset_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: one row for each entity, period and field, with how the cell was found."""
-    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field_id"), F.col(f).alias("c")) for f in FIELDS))).alias("x")
-    rows = statements(spark, sf_dir).select("entity", "period", cells)
-    from metricspark.sources.statements import readable
-
-    return rows.select("entity", "period", "x.field_id", F.col("x.c.state").alias("state"), readable(F.col("x.c")).cast("double").alias("amount"))
+    cells = ", ".join(f"named_struct('field_id', '{f}', 'state', {f}.state, 'amount', CAST({readable_sql(f)} AS DOUBLE))" for f in FIELDS)
+    return statements(spark, sf_dir).selectExpr("entity", "period", f"inline(array({cells}))")
 
 
 RECORDS_SQL = WITH + " " + " UNION ALL ".join(
@@ -51,11 +60,12 @@ def refusal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of neighbouring periods and whether a flag of either forbids comparing them."""
-    v = values(spark, sf_dir).filter("value IS NOT NULL").select("entity", "period", "metric_id", "value", "flag")
-    before = v.select("entity", (F.col("period") + 1).alias("period"), "metric_id", F.col("value").alias("last"), F.col("flag").alias("last_flag"))
-    both = v.join(before, ["entity", "period", "metric_id"])
-    free = F.col("flag").isNull() & F.col("last_flag").isNull()
-    return both.select("entity", "period", "metric_id", free.alias("comparable"), F.coalesce("flag", "last_flag").alias("flag"))
+    v = values(spark, sf_dir).filter("value IS NOT NULL").withColumn("flags", F.array_join("flags", ","))
+    # Rows lie by supplier already, so the window needs no shuffle of its own.
+    w = Window.partitionBy("suppkey", "metric_id").orderBy("period")
+    both = v.withColumn("last", F.lag("period").over(w)).withColumn("last_flags", F.lag("flags").over(w)).filter("last = period - 1")
+    free = (F.col("flags") == "") & (F.col("last_flags") == "")
+    return both.select("entity", "period", "metric_id", free.alias("comparable"), F.when(F.col("flags") != "", F.col("flags")).otherwise(F.col("last_flags")).alias("flags"))
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,41 +134,56 @@ NAMED_SQL = f"""WITH {NAMES_SQL}, q AS (
 SELECT suppkey, arg_min(alias, (-length(alias), alias)) AS alias, arg_min(metric_id, (-length(alias), alias)) AS metric_id
 FROM q LEFT JOIN names ON contains(question, alias) GROUP BY suppkey"""
 
-CLAIMED = ("current_ratio", "gross_profit_margin", "net_working_capital")
-
-
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic claims on computed values: some off, some by another name, some without a number."""
-    chosen = [d for d in DEFINITIONS if d.metric_id in CLAIMED]
-    v = values(spark, sf_dir).filter(F.col("metric_id").isin(*CLAIMED) & F.col("value").isNotNull())
-    name, alias = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for d in chosen:
-        name = F.when(F.col("metric_id") == d.metric_id, d.display).otherwise(name)
-        alias = F.when(F.col("metric_id") == d.metric_id, d.aliases[0]).otherwise(alias)
-    k, number = F.col("suppkey"), F.round(F.round("value", 6), 2).cast("decimal(20,2)")
-    number = F.when(k % 5 == 0, number + F.lit("0.05").cast("decimal(4,2)")).otherwise(number).cast("decimal(20,2)").cast("string")
-    year = F.when(k % 7 == 0, F.col("period") + 50).otherwise(F.col("period")).cast("string")
-    said = F.concat("entity", F.lit(" "), year, F.lit("年 "), F.when(k % 3 == 0, alias).otherwise(name), F.when(k % 4 == 0, F.lit(" is fine")).otherwise(F.concat(F.lit(" is "), number)))
+#: Sorts of claims, one for each supplier's number modulo this.
+CLAIM_KINDS = 13
+
+
+def company_name(code: Column) -> Column:
+    return F.concat(F.lit("Co"), F.translate(code, "0123456789", "ABCDEFGHIJ"))
+
+
+def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic texts on every computed value: some off, vague, by another name, by company, or in two sentences."""
+    v = values(spark, sf_dir).filter(F.col("value").isNotNull())
+    shown = {d.metric_id: (d.display, d.aliases[0] if d.aliases else d.display) for d in DEFINITIONS}
+    pick = lambda i: F.create_map(*(F.lit(x) for m, n in shown.items() for x in (m, n[i])))[F.col("metric_id")]
+    kind = F.col("suppkey") % CLAIM_KINDS
+    amount = F.col("metric_id").isin("free_cash_flow", "net_profit_attributable_excl_nonrecurring", "net_working_capital")
+    number = F.bround(F.when(amount, F.col("value") / F.lit("10000").cast("decimal(5,0)")).otherwise(F.col("value")), 2).cast("decimal(20,2)")
+    number = F.when(kind == 1, number + F.lit("0.05").cast("decimal(4,2)")).otherwise(number).cast("decimal(20,2)").cast("string")
+    number = F.when(kind == 6, F.concat(number, F.lit(" 个百分点"))).when(amount, F.concat(number, F.lit(" 万元"))).otherwise(number)
+    year = F.when(kind == 7, F.col("period") + 50).otherwise(F.col("period")).cast("string")
+    who = F.when(kind == 11, company_name(F.col("entity"))).otherwise(F.col("entity"))
+    name = F.when(kind == 3, pick(1)).when(kind == 9, F.lit("weather")).otherwise(pick(0))
+    says = F.when(kind == 2, F.lit(" is fine")).when(kind == 8, F.concat(F.lit(" 增长 "), number)).otherwise(F.concat(F.lit(" is "), number))
+    more = F.when(kind == 4, " in Q1").when(kind == 5, " not 7.5").when(kind == 12, " or 2050年").otherwise("")
+    between = F.when(kind == 10, "年；").otherwise("年 ")
+    said = F.concat(who, F.lit(" "), year, between, name, says, more)
     return v.select(F.concat_ws("/", "entity", "period", "metric_id").alias("claim_id"), said.alias("text"))
 
 
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.judge(claims(spark, sf_dir), values(spark, sf_dir), text.aliases(spark)).select("claim_id", "metric_id", "verdict")
+    texts = claim_texts(spark, sf_dir)
+    companies = table(spark, sf_dir, "supplier").select(entity(F.col("s_suppkey")).alias("code"))
+    companies = companies.select(company_name(F.col("code")).alias("name"), "code")
+    judged = intent.claims(texts, values(spark, sf_dir), text.aliases(spark), companies, "claim_id")
+    return judged.select("claim_id", "pos", "read_as", "verdict", "inherited")
 
 
 def claim_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.verdict_counts(claim_verdicts(spark, sf_dir))
 
 
-CLAIMS_SQL = f"""{METRICS}, {NAMES_SQL}, chosen AS (
-  SELECT suppkey, entity, period, metric_id, value FROM mv WHERE metric_id IN {CLAIMED} AND value IS NOT NULL
-), told AS (
-  SELECT *, concat_ws('/', entity, period, metric_id) AS claim_id, suppkey % 4 = 0 AS silent, suppkey % 7 = 0 AS shifted, suppkey % 3 = 0 AS other_name,
-    CAST(round(CAST(value AS DECIMAL(28,6)), 2) + CASE WHEN suppkey % 5 = 0 THEN 0.05 ELSE 0.00 END AS DECIMAL(20,2)) AS said FROM chosen
+CLAIMS_SQL = f"""{METRICS}, told AS (
+  SELECT concat_ws('/', entity, period, metric_id) AS claim_id, suppkey % 13 AS kind,
+    metric_id IN ({", ".join(f"'{d.metric_id}'" for d in DEFINITIONS if d.aliases)}) AS has_other FROM mv WHERE value IS NOT NULL
 ), verdicts AS (
-  SELECT claim_id, told.metric_id, CASE WHEN silent THEN 'NOT_CHECKABLE' WHEN shifted AND later.value IS NULL THEN 'NOT_COVERED' WHEN other_name THEN 'AMBIGUOUS_BASIS'
-    WHEN abs(told.value - CAST(said AS DOUBLE)) <= 0.005 + 1e-9 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS verdict
-  FROM told LEFT JOIN mv later ON later.entity = told.entity AND later.metric_id = told.metric_id AND later.period = told.period + 50
+  SELECT claim_id, CASE WHEN kind = 10 THEN 1 ELSE 0 END AS pos, CASE WHEN kind = 2 THEN 'QUESTION' ELSE 'STATEMENT' END AS read_as,
+    CASE kind WHEN 1 THEN 'INCONSISTENT' WHEN 2 THEN 'NOT_CHECKABLE' WHEN 3 THEN CASE WHEN has_other THEN 'AMBIGUOUS_BASIS' ELSE 'CONSISTENT' END
+      WHEN 0 THEN 'CONSISTENT' WHEN 10 THEN 'CONSISTENT' WHEN 11 THEN 'CONSISTENT' ELSE 'NOT_COVERED' END AS verdict,
+    CASE WHEN kind = 10 THEN 'entity,period' ELSE '' END AS inherited
+  FROM told
+  UNION ALL SELECT claim_id, 0, 'STATEMENT', 'NOT_CHECKABLE', '' FROM told WHERE kind = 10
 )"""
 
 
@@ -302,7 +327,7 @@ SELECT hit.suppkey, alias, near FROM hit LEFT JOIN near_ USING (suppkey)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        metric_values, debt_to_asset_ratio, statement_records, refusal_summary, comparability, reconciliation, cross_source,
+        metric_values, computed_metrics, metric_inputs, debt_to_asset_ratio, statement_records, refusal_summary, comparability, reconciliation, cross_source,
         cross_source_summary, text_segments, named_metrics, claim_verdicts, claim_counts, conversation_context, first_source,
         settled_names, evidence_completeness, evaluation_rollup, section_spans, word_columns, word_lines,
         definition_findings, near_miss_names,
@@ -310,12 +335,14 @@ QUERIES = {
 }
 
 ORACLES = {
-    "metric_values": f"{METRICS} SELECT entity, period, metric_id, value, refusal_code, condition_index, flag FROM mv",
+    "metric_values": f"{METRICS} SELECT entity, period, metric_id, value, refusal_code, condition_index, flags FROM mv",
+    "computed_metrics": COMPUTED,
+    "metric_inputs": INPUTS,
     "debt_to_asset_ratio": f"{METRICS} SELECT entity, period, value, refusal_code, condition_index FROM mv WHERE metric_id = 'debt_to_asset_ratio'",
     "statement_records": RECORDS_SQL,
     "refusal_summary": f"{METRICS} SELECT metric_id, coalesce(refusal_code, 'ANSWERED') AS outcome, count(*) AS n FROM mv GROUP BY 1, 2",
-    "comparability": f"""{METRICS} SELECT a.entity, a.period, a.metric_id, a.flag IS NULL AND b.flag IS NULL AS comparable, coalesce(a.flag, b.flag) AS flag
-FROM mv a JOIN mv b ON a.entity = b.entity AND a.metric_id = b.metric_id AND a.period = b.period + 1 WHERE a.value IS NOT NULL AND b.value IS NOT NULL""",
+    "comparability": f"""{METRICS} SELECT entity, period, metric_id, flags = '' AND last_flags = '' AS comparable, CASE WHEN flags <> '' THEN flags ELSE last_flags END AS flags
+FROM (SELECT *, lag(period) OVER w AS last, lag(flags) OVER w AS last_flags FROM mv WHERE value IS NOT NULL WINDOW w AS (PARTITION BY suppkey, metric_id ORDER BY period)) WHERE last = period - 1""",
     "reconciliation": f"""{WITH} SELECT entity, period, coalesce(abs(bs_total_assets - (bs_total_liabilities + bs_total_equity)) <= 0.01, false) AS passed,
 concat_ws(',', CASE WHEN bs_total_assets IS NULL THEN 'bs_total_assets' END, CASE WHEN bs_total_liabilities IS NULL THEN 'bs_total_liabilities' END, CASE WHEN bs_total_equity IS NULL THEN 'bs_total_equity' END) AS missing FROM st""",
     "cross_source": f"{CROSS} SELECT key, verdict, reason FROM cross_",
@@ -324,7 +351,7 @@ count(*) FILTER (WHERE verdict = 'DISAGREE') AS disagreements, count(*) FILTER (
     "text_segments": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。；;！!？?\n，,]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents)
 SELECT doc_id, i - 1 AS pos, parts[i] AS segment FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM s)""",
     "named_metrics": NAMED_SQL,
-    "claim_verdicts": f"{CLAIMS_SQL} SELECT claim_id, metric_id, verdict FROM verdicts",
+    "claim_verdicts": f"{CLAIMS_SQL} SELECT claim_id, pos, read_as, verdict, inherited FROM verdicts",
     "claim_counts": f"{CLAIMS_SQL} SELECT " + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v.lower()}" for v in text.VERDICTS) + " FROM verdicts",
     "conversation_context": """SELECT conv_id, turn, coalesce(CASE WHEN role = 'user' THEN turn END,
 first_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS context FROM conversations""",

@@ -10,9 +10,9 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from metricspark.operators import checks, layout, metrics, rules
-from metricspark.plans.definitions import DEFINITIONS
+from metricspark.operators import checks, expressions, intent, layout, metrics, numbers, rules
 from metricspark.plans.queries import ORACLES, QUERIES, TERMS
+from metricspark.sources.statements import FIELDS
 
 
 @pytest.fixture(scope="module")
@@ -43,23 +43,159 @@ def test_line_begins_by_its_first_word(spark):
     assert [r["text"] for r in layout.lines(words).orderBy("line").collect()] == ["0 2", "4 6"]
 
 
-def test_golden_ratio(spark):
-    """Figures of one real report give the published ratio."""
-    d = next(d for d in DEFINITIONS if d.metric_id == "debt_to_asset_ratio")
-    row = spark.sql(
-        "SELECT CAST('49043190797.43' AS DECIMAL(28,6)) AS bs_total_liabilities, CAST('272699660092.25' AS DECIMAL(28,6)) AS bs_total_assets,"
-        " true AS notes_restatement_flag"
-    ).select(metrics.metric(d).alias("m")).first()["m"]
-    assert row["value"] == Decimal("0.1798432414") and row["refusal_code"] is None and row["flag"] == "restated"
-
-
-def test_first_condition_refuses(spark):
-    d = next(d for d in DEFINITIONS if d.metric_id == "debt_to_asset_ratio")
-    rows = spark.createDataFrame(
-        [(None, None), (Decimal(1), Decimal(0)), (None, Decimal(5))], "bs_total_liabilities decimal(28,6), bs_total_assets decimal(28,6)"
-    )
-    got = [(r["m"]["refusal_code"], r["m"]["condition_index"]) for r in rows.withColumn("notes_restatement_flag", F.lit(False)).select(metrics.metric(d).alias("m")).collect()]
-    assert got == [("UNAVAILABLE", 0), ("UNDEFINED_METRIC", 1), ("UNAVAILABLE", 2)]
+#: One published report: its figures, and the values that it must give.
+REPORT = {
+    "bs.accounts_payable": "3093091103.67", "bs.accounts_receivable": "60373410.41", "bs.bonds_payable": None, "bs.inventory": "46435185061.53",
+    "bs.lease_liabilities": "266636234.04", "bs.long_term_borrowings": None, "bs.minority_interests": "7987897687.39",
+    "bs.non_current_liabilities_due_within_one_year": "57054879.48", "bs.short_term_borrowings": None, "bs.total_assets": "272699660092.25",
+    "bs.total_current_assets": "225172517821.28", "bs.total_current_liabilities_period_end": "48697611501.20", "bs.total_equity": "223656469294.82",
+    "bs.total_liabilities": "49043190797.43", "bs.trading_financial_liabilities": None,
+    "cfs.cash_paid_for_fixed_intangible_and_other_long_term_assets": "2619755888.79", "cfs.net_cash_flow_from_operating_activities": "66593247721.09",
+    "is.administrative_expense": "9729389252.31", "is.financial_expense": "-1789503701.48", "is.net_profit": "77521476277.80",
+    "is.net_profit_attributable_to_parent": "74734071550.75", "is.operating_cost": "11867273851.78", "is.operating_revenue_current": "147693604994.14",
+    "is.operating_revenue_prior_as_presented": "124099843771.99", "is.selling_expense": "4648613585.82",
+}
+GOLDEN = {
+    "debt_to_asset_ratio": "0.1798432413917914", "current_ratio": "4.623892443179299", "quick_ratio": "3.670351116817004", "net_working_capital": "176474906320.08",
+    "interest_bearing_debt_ratio": "0.001186987594375", "gross_profit_margin": "0.919649372413579", "period_expense_ratio": "0.085233880892469",
+    "free_cash_flow": "63973491832.30", "net_profit_margin_attributable": "0.506007498155542",
+}
+
+
+def statement(spark, figures, restated=True, gate=True, states=None):
+    """One statement; a field set to None is an empty cell, ``states`` overrides how cells were found."""
+    cells = []
+    for f in FIELDS:
+        path = f.replace("_", ".", 1)
+        found = "EMPTY_CELL" if path in figures and figures[path] is None else "VALUE_PRESENT" if path in figures else None
+        found = (states or {}).get(path, found)
+        amount = figures.get(path)
+        cells.append(f"named_struct('v', CAST({repr(amount) if amount else 'NULL'} AS DECIMAL(28,6)), 'state', CAST({repr(found) if found else 'NULL'} AS STRING)) AS {f}")
+    flag = {True: "true", False: "false", None: "CAST(NULL AS BOOLEAN)"}[restated]
+    return spark.range(1).selectExpr(
+        "id AS suppkey", "'600519' AS entity", "2023L AS period", f"{flag} AS notes_restatement_flag", "true AS notes_consolidation_scope_change",
+        "12 AS notes_reporting_period_months", "'元' AS cfs_unit", f"{str(gate).lower()} AS gate_ran", *cells,
+    )
+
+
+def by_metric(rows):
+    return {r["metric_id"]: r for r in rows.collect()}
+
+
+def test_golden_values(spark):
+    """Figures of one real report give the published values on both paths."""
+    one = statement(spark, REPORT)
+    for rows in (by_metric(metrics.metric_values(one)), by_metric(metrics.computed_metrics(one))):
+        for metric_id, want in GOLDEN.items():
+            assert abs(rows[metric_id]["value"] - Decimal(want)) < Decimal("1e-10"), metric_id
+        assert rows["debt_to_asset_ratio"]["flags"] == ["restated"]
+        assert rows["roe_weighted_average"]["value"] is None
+
+
+def test_refusals_of_an_answer(spark):
+    """The first condition that holds refuses with its index; undecided flags refuse last."""
+    def outcome(figures, **k):
+        r = by_metric(metrics.metric_values(statement(spark, figures, **k)))["quick_ratio"]
+        return r["refusal_code"], r["condition_index"]
+
+    without = lambda *names: {k: v for k, v in REPORT.items() if k not in names}
+    assert outcome(REPORT) == (None, None)
+    assert outcome(without("bs.total_current_liabilities_period_end")) == ("UNDEFINED_CONDITION_HIT", 0)
+    assert outcome(REPORT | {"bs.total_current_liabilities_period_end": "-1"}) == ("UNDEFINED_CONDITION_HIT", 1)
+    assert outcome(without("bs.inventory")) == ("UNDEFINED_CONDITION_HIT", 3)
+    assert outcome(REPORT, restated=None) == ("UNEVALUABLE_CONDITION", None)
+
+
+def test_refusals_of_a_computation(spark):
+    """Gate, then operands from left to right; undecided flags are noted beside the value."""
+
+    def outcome(figures, metric_id="quick_ratio", **k):
+        r = by_metric(metrics.computed_metrics(statement(spark, figures, **k)))[metric_id]
+        return r["refusal_code"], r["source"], r["unit"], r["flags_status"]
+
+    assert outcome(REPORT, restated=None) == (None, None, "无量纲", "unevaluable")
+    assert outcome(REPORT, "free_cash_flow") == (None, None, "元", "evaluated")
+    assert outcome(REPORT, gate=False)[:2] == ("RECONCILIATION_FAILED", "reconcile:not_run")
+    assert outcome(REPORT | {"bs.total_equity": "1"})[:2] == ("RECONCILIATION_FAILED", "reconcile:balance_sheet_identity")
+    assert outcome({k: v for k, v in REPORT.items() if k != "bs.inventory"})[:2] == ("UNAVAILABLE", "formula")
+    for state in ("UNKNOWN", "ROW_ABSENT"):
+        assert outcome(REPORT, states={"bs.inventory": state})[:2] == ("UNEVALUABLE_CONDITION", "formula")
+    assert outcome(REPORT | {"bs.total_current_liabilities_period_end": None})[:2] == ("UNEVALUABLE_CONDITION", "formula")
+
+
+def test_conditions_short_circuit(spark):
+    """True, false and undecided operands in all combinations: what the left side settles hides the right, nothing hides the left."""
+    cell = lambda p: (p.split(".")[1], "boolean")
+    rows = spark.sql("SELECT * FROM VALUES (true), (false), (CAST(NULL AS BOOLEAN)) AS t(x)").crossJoin(spark.sql("SELECT * FROM VALUES (true), (false), (CAST(NULL AS BOOLEAN)) AS t(y)"))
+    texts = {"and": "bs.x == true and bs.y == true", "or": "bs.x == true or bs.y == true", "not": "not (bs.x == true)", "none": "is_missing(bs.x)", "null": "bs.x != null"}
+    got = rows.selectExpr("x", "y", *(f"{expressions.condition(t, cell)} AS `{n}`" for n, t in texts.items())).collect()
+    assert len(got) == 9
+    for r in got:
+        x, y = r["x"], r["y"]
+        assert r["and"] == (None if x is None else False if not x else y)
+        assert r["or"] == (None if x is None else True if x else y)
+        assert r["not"] == (None if x is None else not x)
+        assert r["none"] == (x is None)
+        assert r["null"] == (None if x is None else True)
+
+
+@pytest.mark.parametrize("text", ["", "bs.x", "bs.x = 1", "bs.x + 1 > 2", "f(bs.x)", "is_missing(1)", "foo.x > 1", "bs.x < null and", "x > 1", "1 < bs.x < 2", "bs.x == [1]", "bs.x < 'a'"])
+def test_unreadable_conditions(text):
+    assert expressions.unreadable(text)
+
+
+@pytest.mark.parametrize("text", ["is.a / bs.b", "-is.a * 365", "(is.a - is.b) / is.a", "1.5"])
+def test_readable_formulas(text):
+    assert expressions.unreadable(text, as_formula=True) is None
+    assert expressions.unreadable(text + " ** 2", as_formula=True)
+    assert expressions.is_ratio(text) == ("/" in text)
+
+
+def test_masks_keep_places(spark):
+    said = "600519 2023 年 12.5% 与 639735 万元"
+    row = spark.createDataFrame([(said,)], "t string").select(numbers.masked(F.col("t")).alias("m"), numbers.stated(F.col("t")).alias("s")).first()
+    assert len(row["m"]) == len(said) and "600519" not in row["m"] and "2023" not in row["m"] and "639735 万元" in row["m"]
+    assert [(float(x["value"]), x["tolerance"]) for x in row["s"]] == [(0.125, 0.0005), (6397350000.0, 5000.0)]
+
+
+def test_company_names_need_boundaries(spark):
+    names = spark.createDataFrame([("毛利率", "gross_profit_margin", "毛利率")], "alias string, metric_id string, display string")
+    companies = spark.createDataFrame([("华鑫科技", "900001"), ("贵州茅台", "600519"), ("茅台", "600519")], "name string, code string")
+    asked = {
+        "华鑫科技 2023 年毛利率": (None, "900001"),
+        "华鑫科技毛利率2023年": (None, "900001"),
+        "南华鑫科技 2023 年毛利率": ("name_prefix", None),
+        "华鑫科技集团有限公司 2023 年毛利率": ("name_suffix", None),
+        "华鑫科技股份有限公司 2023 年毛利率": (None, "900001"),
+        "华鑫科技与贵州茅台 2023 年毛利率": ("many_entities", None),
+        "贵州茅台2023年毛利率": (None, "600519"),
+        "2023年毛利率": ("no_entity", None),
+        "600519 毛利率": ("no_period", None),
+        "600519 2022年 2023年毛利率": ("many_periods", None),
+        "600519 900001 2023年毛利率": ("many_entities", None),
+        "600519 2023年天气": ("no_metric", None),
+    }
+    rows = spark.createDataFrame(list(enumerate(asked)), "id int, text string")
+    got = {r["text"]: (r["reason"], r["entity"]) for r in intent.intents(rows, names, companies, "id").collect()}
+    assert got == asked
+    guessed = intent.intents(rows.filter("text LIKE '%天气'"), names, companies, "id", ask=lambda t: F.lit("毛利率")).first()
+    assert (guessed["reason"], guessed["resolved_by"], guessed["metric_id"]) == (None, "model", "gross_profit_margin")
+
+
+def test_claims_take_the_first_company_and_stop(spark):
+    names = spark.createDataFrame([("毛利率", "m", "毛利率")], "alias string, metric_id string, display string")
+    companies = spark.createDataFrame([("华鑫科技", "900001")], "name string, code string")
+    values = spark.sql("SELECT '900001' AS entity, 2023L AS period, 'm' AS metric_id, CAST(0.5 AS DECIMAL(38,10)) AS value, CAST(NULL AS STRING) AS refusal_code")
+    texts = [
+        (1, "华鑫科技 2023 年很好。毛利率 50%。毛利率 40%；毛利率提高 50%；600519 与 900001 毛利率 50%"),
+        (2, "毛利率怎么样？"),
+        (3, "900001 2023年，" + "毛利率 50%，" * 26),
+    ]
+    got = intent.claims(spark.createDataFrame(texts, "doc_id int, text string"), values, names, companies).orderBy("doc_id", "pos").collect()
+    first = [(r["verdict"], r["why"]) for r in got if r["doc_id"] == 1]
+    assert first == [("NOT_CHECKABLE", "no_number"), ("CONSISTENT", "value"), ("INCONSISTENT", "off_value"), ("NOT_COVERED", "change"), ("NOT_COVERED", "many_entities")]
+    assert [r["read_as"] for r in got if r["doc_id"] == 2] == ["QUESTION"]
+    assert [r["why"] for r in got if r["doc_id"] == 3] == ["no_number"] + ["value"] * 24 + ["too_many"] * 2
 
 
 def test_tolerance_and_reasons(spark):

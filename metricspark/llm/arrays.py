@@ -62,11 +62,15 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(cp: np.ndarray) -> np.ndarray:
-    """Class of each code point; those beyond the basic plane count as OTHER."""
+    """Class of each code point; distinct ones beyond the basic plane are looked up one by one."""
     table = kinds()
     if not len(cp) or int(cp.max()) < len(table):
         return table[cp]
-    return np.where(cp < len(table), table[np.minimum(cp, len(table) - 1)], OTHER).astype(np.uint8)
+    out = table[np.minimum(cp, len(table) - 1)]
+    beyond = np.flatnonzero(cp >= len(table))
+    found, back = np.unique(cp[beyond], return_inverse=True)
+    out[beyond] = np.array([kind_of(chr(int(c))) for c in found], dtype=np.uint8)[back]
+    return out
 
 
 def ragged(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -130,6 +134,41 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+class PieceHash:
+    """64-bit hashes of disjoint spans of an array of code points, in order.
+
+    A span's hash is the sum of a mixed value for each code point and its place in the
+    span. Unlike a polynomial modulo 2**64, which strings of one form defeat whatever its
+    base is, sums of mixed values collide by chance only.
+    """
+
+    STEP = np.uint64(0xA0761D6478BD642F)
+
+    def __init__(self, seed: int):
+        self.seed = np.uint64(seed * 0x5851F42D4C957F2D % 2**64)
+        self.values = mix(np.arange(0x10000, dtype=np.uint64) + self.seed)
+
+    def __call__(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, dtype=np.uint64)
+        beyond = int(cp.max()) >= len(self.values)
+        x = np.zeros(len(cp) + 1, dtype=np.uint64)
+        x[:-1] = mix(cp.astype(np.uint64) + self.seed) if beyond else self.values[cp]
+        first = np.zeros(len(cp) + 1, dtype=np.int64)
+        first[start] = start
+        np.maximum.accumulate(first, out=first)
+        np.subtract(np.arange(len(first)), first, out=first)
+        x += first.view(np.uint64) * self.STEP
+        edges = np.empty(2 * len(start), dtype=np.int64)
+        edges[0::2], edges[1::2] = start, end
+        return mix(np.add.reduceat(mix(x), edges)[::2] + (end - start).astype(np.uint64))
+
+
+@lru_cache(maxsize=8)
+def piece_hash(seed: int) -> PieceHash:
+    return PieceHash(seed)
+
+
 @lru_cache(maxsize=8)
 def span_hash(seed: int) -> SpanHash:
     return SpanHash(seed)
@@ -149,6 +188,4 @@ def words(texts: list[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     before[1:], after[:-1] = inside, inside
     start = np.flatnonzero(after & (~before | edge))
     end = np.flatnonzero(before & (~after | edge))
-    h = span_hash(seed)
-    h.prepare(cp)
-    return h(start, end), np.searchsorted(start, at).astype(np.int64)
+    return piece_hash(seed)(cp, start, end), np.searchsorted(start, at).astype(np.int64)

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from metricspark.llm.arrays import KNOWN, NUMBER, SPACE, classes, code_points, offsets, ragged, slices, span_hash
+from metricspark.llm.arrays import KNOWN, NUMBER, SPACE, classes, code_points, offsets, piece_hash, ragged, slices
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -65,6 +65,13 @@ class Pieces:
         return at
 
 
+def both(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Two hashes as one value that sorts and compares."""
+    out = np.empty(len(h1), dtype=[("a", np.uint64), ("b", np.uint64)])
+    out["a"], out["b"] = h1, h2
+    return out
+
+
 class Merges:
     """The merge rules of a vocabulary, looked up for arrays of pairs."""
 
@@ -303,11 +310,7 @@ class ForcedBoundaryBPE:
         """Ids of texts without special tokens and with known code points only."""
         cp, at = code_points(texts)
         start, end = self.cut_points(cp, at)
-        hashes = []
-        for seed in (11, 12):
-            h = span_hash(seed)
-            h.prepare(cp)
-            hashes.append(h(start, end))
+        hashes = [piece_hash(seed)(cp, start, end) for seed in (11, 12)]
         return self.gather(*hashes, np.searchsorted(start, at), lambda i: (start[i], end[i]), "".join(texts))
 
     def gather(self, h1, h2, first_piece, span, whole: str) -> tuple[np.ndarray, np.ndarray]:
@@ -317,11 +320,11 @@ class ForcedBoundaryBPE:
         n = n.astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            one, pick, back = np.unique(h1[miss], return_index=True, return_inverse=True)
+            _, pick, back = np.unique(both(h1[miss], h2[miss]), return_index=True, return_inverse=True)
             s, e = span(miss[pick])
             pieces = [whole[i:j].encode() for i, j in zip(s.tolist(), e.tolist())]
             ids, counts = self.encode_pieces(pieces)
-            place = self.table.add(one, h2[miss[pick]], ids, counts)
+            place = self.table.add(h1[miss[pick]], h2[miss[pick]], ids, counts)
             at[miss], n[miss] = place[back], counts[back]
         ids = ragged(self.table.pool, at, n)
         return ids, offsets(n)[first_piece]

@@ -82,7 +82,7 @@ def email_at(text: str, at: int, free: int) -> Span | None:
 def digit_spans(text: str, start: int, end: int) -> Iterator[Span]:
     """Network addresses and card numbers of a stretch of digits and single separators."""
     for m in QUAD.finditer(text, start, end):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             yield m.start(), m.end(), "ip"
     if end - start >= 14:
         for m in DIGITS.finditer(text, start, end):
@@ -94,7 +94,7 @@ def digit_spans(text: str, start: int, end: int) -> Iterator[Span]:
 def spans(text: str) -> list[Span]:
     """All spans of a text as (start, end, kind) in code points, sorted by start and kind."""
     out: list[Span] = []
-    free = first = last = -1
+    free = linked = first = last = -1
     for stop, (kind, size) in anchors().iter(text):
         if kind == "digit":
             # Digits with at most one character between them make one stretch.
@@ -112,8 +112,10 @@ def spans(text: str) -> list[Span]:
             if (m := PHONE.match(text, stop)) and 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                 out.append((m.start(), m.end(), "phone"))
         elif kind == "scheme":
-            if m := URL_BODY.match(text, stop + 1):
+            # A scheme inside an address is part of it.
+            if stop + 1 - size >= linked and (m := URL_BODY.match(text, stop + 1)):
                 end = m.start() + len(m[0].rstrip(".,;:!?)"))
+                linked = m.end()
                 if end > m.start():
                     out.append((stop + 1 - size, end, "url"))
         elif kind == "cue":

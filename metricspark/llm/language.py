@@ -10,33 +10,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricspark.llm.arrays import LETTER, classes, code_points, slices
+from metricspark.llm.arrays import LETTER, classes, code_points, mix, slices
 from metricspark.llm.common import sampled
 
-#: Signs of a vector; letters of an n-gram; symbols: none, a to z, and other letters by hash.
-DIMENSIONS, GRAM, SYMBOLS = 1024, 3, 48
+#: Signs of a vector; letters of an n-gram; bits of a letter's code point, 0 standing for no letter.
+DIMENSIONS, GRAM, BITS = 1024, 3, 21
 #: N-grams whose vectors are multiplied at once.
 BLOCK = 4096
 
 
-@lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    """One row of signs for each symbol."""
-    return np.random.default_rng(20).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIMENSIONS))
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """One row of signs for each letter, from the hash of its code point."""
+    words = np.arange(DIMENSIONS // 64, dtype=np.uint64) + np.uint64(20 << 32)
+    bits = mix(mix(letters.astype(np.uint64))[:, None] + words * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def gram_vectors(codes: np.ndarray) -> np.ndarray:
     """Bound vectors of n-gram codes; the vector of a letter is rolled by its distance from the end."""
     out = np.ones((len(codes), DIMENSIONS), dtype=np.int8)
     for place in range(GRAM):
-        out *= np.roll(letters(), place, axis=1)[codes // SYMBOLS**place % SYMBOLS]
+        found, back = np.unique(codes >> BITS * place & (1 << BITS) - 1, return_inverse=True)
+        out *= np.roll(letter_vectors(found), place, axis=1)[back]
     return out.astype(np.float32)
 
 
@@ -45,8 +46,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cp, at = code_points([f" {t.lower()} " for t in texts])
     cp = cp.astype(np.int64)
     letter = classes(cp.astype(np.uint32)) == LETTER
-    s = np.where((cp >= 97) & (cp <= 122), cp - 96, 27 + cp % (SYMBOLS - 27))
-    s[~letter] = 0
+    s = np.where(letter, cp, 0)
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]
@@ -59,7 +59,7 @@ def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     s, at = symbols(texts)
     codes = np.zeros(max(0, len(s) - GRAM + 1), dtype=np.int64)
     for place in range(GRAM):
-        codes += s[GRAM - 1 - place : len(s) - place] * SYMBOLS**place
+        codes += s[GRAM - 1 - place : len(s) - place] << BITS * place
     row = np.searchsorted(at, np.arange(len(codes)), side="right") - 1
     inside = np.arange(len(codes)) + GRAM <= at[row + 1]
     row, codes = row[inside], codes[inside]

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from metricspark.llm.bpe import coder
 
@@ -112,9 +113,13 @@ def pack(
     end_id: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    prompt_col: str | None = None,
 ) -> DataFrame:
     """Encode all texts, end each with ``end_id`` and pack them into sequences.
 
+    With ``prompt_col``, as in instruction data, an example is its prompt and then its
+    text; the prompt's ids bear no loss. A null prompt is empty.
+
     One row for each piece: id, start (the example's ids before it), length, ids (packed
     as unsigned 32-bit integers), doc_tokens (with the end), sequence_id, offset (in the
     sequence, gapless from 0), n_loss. Each id of an example lies in exactly one piece.
@@ -126,7 +131,7 @@ def pack(
     and empty texts are examples of one id, the end; rows with the same or a null id are
     examples of their own; other columns are left out; no rows give none.
     """
-    source = df.select(id_col, text_col)
+    source = df.select(id_col, text_col, *([F.col(prompt_col).alias("__prompt")] if prompt_col else []))
     id_type = source.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +139,23 @@ def pack(
         packer = Packer(limits)
         part = TaskContext.get().partitionId() << 32
         end = np.array([end_id], dtype="<u4")
-        loss = lambda row, start, length: length - 1
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
+            prompts = [bpe.encode(x or "") for x in batch.column(2).to_pylist()] if prompt_col else None
+
+            def loss(row: int, start: int, length: int) -> int:
+                """Ids of a piece after the prompt and after its own first one."""
+                free = len(prompts[row]) if prompts else 0
+                return max(0, start + length - max(start + 1, free))
+
             for i, j, ids, at in bpe.encode_slices(texts):
                 for first in range(i, j, WINDOW):
                     last = min(j, first + WINDOW)
-                    docs = [np.concatenate([ids[at[k - i] : at[k - i + 1]], end]) for k in range(first, last)]
-                    pieces = [Piece(k, 0, len(d), len(d) - 1) for k, d in enumerate(docs)]
-                    rows = list(packer.pack(pieces, loss))
+                    own = lambda k: ids[at[k - i] : at[k - i + 1]]
+                    docs = [np.concatenate([*([prompts[k]] if prompts else []), own(k), end]) for k in range(first, last)]
+                    loss_here = lambda row, start, length: loss(first + row, start, length)
+                    pieces = [Piece(k, 0, len(d), loss_here(k, 0, len(d))) for k, d in enumerate(docs)]
+                    rows = list(packer.pack(pieces, loss_here))
                     take = pa.array([first + p.row for p, _, _ in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [

@@ -116,19 +116,32 @@ def fit(
     rows = rows.select(
         F.pmod(F.xxhash64(F.lit(91), "id"), F.lit(shards)).cast("int").alias("shard"),
         F.xxhash64(F.lit(92), "id").alias("turn"),
+        F.xxhash64("text").alias("tie"),
         "label",
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct coordinates instead of texts, so no text is shuffled."""
+        for batch in batches:
+            texts = batch.column(4).to_pylist()
+            for i, j in slices(texts):
+                row, c = distinct(*gram_hashes(texts[i:j]))
+                ends = np.searchsorted(row, np.arange(j - i + 1))
+                raw = c.astype("<i4").tobytes()
+                packed = [raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:4], pa.array(packed, pa.binary())], names=["shard", "turn", "tie", "label", "c"]
+                )
+
+    rows = rows.mapInArrow(hashed, "shard int, turn long, tie long, label double, c binary")
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("turn", "ascending"), ("text", "ascending")])
-        texts, labels = table.column("text").to_pylist(), table.column("label").to_pylist()
-        examples: list[tuple[np.ndarray, float]] = []
-        for i, j in slices(texts):
-            row, c = distinct(*gram_hashes(texts[i:j]))
-            ends = np.searchsorted(row, np.arange(j - i + 1))
-            for k in range(j - i):
-                examples.append((np.append(c[ends[k] : ends[k + 1]], 1 << BITS).astype(np.int32), labels[i + k]))
+        table = table.sort_by([("turn", "ascending"), ("tie", "ascending")])
+        labels = table.column("label").to_pylist()
+        coordinates = [np.frombuffer(c, dtype="<i4") for c in table.column("c").to_pylist()]
+        examples = [(np.append(c, np.int32(1 << BITS)), label) for c, label in zip(coordinates, labels)]
         learner = Ftrl(rates, sum(x > 0.5 for x in labels))
         for _ in range(rates.epochs):
             for c, label in examples:

@@ -1,36 +1,11 @@
-"""From word positions to lines, sections and columns."""
+"""Sections between anchors, and cells in columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lines(words: DataFrame, gap: float = 3.0) -> DataFrame:
-    """Words (doc, page, x0, top, text) as lines: (doc, page, line, top, text).
-
-    A word begins a new line when it lies more than ``gap`` below the first word of the
-    line, so a line's extent depends on its first word and no window expresses it. Pages
-    are the groups; a page's words are bounded.
-    """
-
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0", "text"], kind="stable")
-        first, line, which = None, -1, []
-        for top in page["top"]:
-            if first is None or top - first > gap:
-                first, line = top, line + 1
-            which.append(line)
-        page = page.assign(line=which).sort_values(["line", "x0", "text"], kind="stable")
-        out = page.groupby("line", as_index=False).agg(top=("top", "min"), text=("text", " ".join))
-        return out.assign(doc=page["doc"].iloc[0], page=page["page"].iloc[0])[["doc", "page", "line", "top", "text"]]
-
-    return words.groupBy("doc", "page").applyInPandas(cluster, "doc long, page long, line long, top double, text string")
-
-
 def sections(anchors: DataFrame) -> DataFrame:
     """Anchors (doc, page, y) with the place where the next one begins, null for the last."""
     place = F.struct("page", "y")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricspark.operators import checks, evaluation, intent, layout, metrics, rules, text
 from metricspark.operators.expressions import readable_sql
-from metricspark.plans import more
+from metricspark.plans import more, reports
 from metricspark.plans.definitions import DEFINITIONS
 from metricspark.plans.metric_sql import COMPUTED, INPUTS, METRICS, WITH
 from metricspark.sources.statements import FIELDS, entity, statements, table
@@ -231,17 +231,6 @@ def word_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.in_columns(cells, sheet).select("cell_id", "role")
 
 
-def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of whole documents laid out by rule on pages of 400 words, put into lines again."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text"))
-    n = F.col("n")
-    placed = words.select(
-        F.col("doc_id").alias("doc"), (n / 400).cast("long").alias("page"), (n % 10 * 50.0).alias("x0"),
-        (F.floor(n % 400 / 10) * 12.0 + n % 3).cast("double").alias("top"), "text",
-    )
-    return layout.lines(placed)
-
-
 TERMS = rules.Terms(("entity", "period_type"), ("annual", "quarter"), ("flow", "stock"), ("positive", "negative"), ("restated",), ("stale",))
 
 
@@ -329,7 +318,7 @@ QUERIES = {
     for f in (
         metric_values, computed_metrics, metric_inputs, debt_to_asset_ratio, statement_records, refusal_summary, comparability, reconciliation, cross_source,
         cross_source_summary, text_segments, named_metrics, claim_verdicts, claim_counts, conversation_context, first_source,
-        settled_names, evidence_completeness, evaluation_rollup, section_spans, word_columns, word_lines,
+        settled_names, evidence_completeness, evaluation_rollup, section_spans, word_columns,
         definition_findings, near_miss_names,
     )
 }
@@ -370,5 +359,6 @@ WINDOW w AS (PARTITION BY doc ORDER BY page, y)""",
 SELECT cell_id, arg_max(role, (least(x1, c1) - greatest(x0, c0), -c0)) AS role FROM p LEFT JOIN c ON least(x1, c1) - greatest(x0, c0) > 0 GROUP BY 1""",
 }
 
-QUERIES |= more.QUERIES
-ORACLES |= more.ORACLES
+for part in (more, reports):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES

@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows of that SQL."""
 
+import itertools
 from decimal import Decimal
 from pathlib import Path
 
@@ -10,7 +11,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from metricspark.operators import checks, expressions, intent, layout, metrics, numbers, rules
+from metricspark.operators import checks, expressions, intent, metrics, numbers, pages, rules
 from metricspark.plans.queries import ORACLES, QUERIES, TERMS
 from metricspark.sources.statements import FIELDS
 
@@ -33,14 +34,29 @@ def test_same_as_sql(spark, con, name):
     assert plain(got) == plain(want)
 
 
-def test_word_lines(spark):
-    rows = QUERIES["word_lines"](spark, SMALL)
-    assert rows.columns == ["doc", "page", "line", "top", "text"] and rows.count() > 0
-
-
 def test_line_begins_by_its_first_word(spark):
-    words = spark.createDataFrame([(1, 0, float(x), float(x), str(x)) for x in (0, 2, 4, 6)], "doc long, page long, x0 double, top double, text string")
-    assert [r["text"] for r in layout.lines(words).orderBy("line").collect()] == ["0 2", "4 6"]
+    words = spark.createDataFrame([(1, 0, float(x), x + 1.0, float(x), str(x)) for x in (0, 2, 4, 6)], "doc long, page long, x0 double, x1 double, top double, text string")
+    assert [r["text"] for r in pages.lines(words, between=" ").orderBy("line").collect()] == ["0 2", "4 6"]
+
+
+def test_stitching_takes_rows_one_after_the_other(spark):
+    """All sequences of label, amounts and both up to eight rows, against a loop that takes them greedily."""
+    sequences = [s for n in (3, 5, 7, 8) for s in itertools.product("LCB", repeat=n)]
+    rows = [(d, 0, i, float(i), f"l{i}" if x in "LB" else "", [(0.0, 1.0, f"c{i}")] if x in "CB" else []) for d, s in enumerate(sequences) for i, x in enumerate(s)]
+    got = pages.stitched(spark.createDataFrame(rows, "doc int, page int, line int, y double, label string, cells array<struct<x0:double,x1:double,text:string>>"), ["page", "line"])
+    found = {}
+    for r in got.orderBy("doc", "y").collect():
+        found.setdefault(r["doc"], []).append((r["labels"], [c["text"] for c in r["cells"]]))
+    for d, s in enumerate(sequences):
+        want, i = [], 0
+        while i < len(s):
+            if "".join(s[i : i + 3]) == "LCL":
+                want.append(([f"l{i}", f"l{i + 2}"], [f"c{i + 1}"]))
+                i += 3
+            else:
+                want.append(([f"l{i}"] if s[i] in "LB" else [], [f"c{i}"] if s[i] in "CB" else []))
+                i += 1
+        assert found[d] == want, s
 
 
 #: One published report: its figures, and the values that it must give.

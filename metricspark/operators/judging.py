@@ -206,7 +206,7 @@ def leaks(packets: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def shuffled(packets: DataFrame, key: str, seed: int) -> DataFrame:
-    """packets with ``place``, an order set by a seed: the same on every run."""
+    """packets of one review, some dozens, with ``place``, an order set by a seed: the same on every run."""
     return packets.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)))
 
 
@@ -226,8 +226,8 @@ def over_limit(statistics: DataFrame, limit: float) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """Findings (path, rule, detail) with their place in the order of all three."""
-    return findings.withColumn("place", F.row_number().over(Window.orderBy("path", "rule", "detail")))
+    """Findings (path, rule, detail) in the order of all three."""
+    return findings.orderBy("path", "rule", "detail")
 
 
 def blocked(score: DataFrame, blind: Column, least_wrong: int = 1) -> DataFrame:

@@ -13,6 +13,17 @@ BALANCE = ("bs_total_assets", "bs_total_liabilities", "bs_total_equity")
 UNITS = {"元": 1, "万元": 10_000, "亿元": 100_000_000}
 
 
+#: The scope that can be compared, and other names of a currency.
+CONSOLIDATED, CURRENCIES = "合并", {"CNY": "人民币", "RMB": "人民币"}
+
+
+def currency(name: Column) -> Column:
+    out = name
+    for other, own in CURRENCIES.items():
+        out = F.when(name == other, own).otherwise(out)
+    return out
+
+
 def scale_of(unit: Column) -> Column:
     """The unit's scale, null for an unknown unit."""
     out = F.lit(None).cast("long")
@@ -39,13 +50,23 @@ def reconcile(statements: DataFrame) -> DataFrame:
 def compared(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, verdict, reason of all of ours: AGREE, DISAGREE or INCOMPARABLE, reasons in fixed order.
 
-    ours: value, unit; theirs: present, value, unit. Values are scaled to the base unit;
-    their difference is rounded to cents, half to even, before it meets TOLERANCE.
+    ours: value, unit; theirs: present, value, unit. Where both have them, scope, period
+    and currency are compared too: theirs must be consolidated, of the same period, and of
+    the same currency or one of its other names. Values are scaled to the base unit; their
+    difference is rounded to cents, half to even, before it meets TOLERANCE.
     """
-    both = ours.join(theirs.select(*keys, F.col("present"), F.col("value").alias("other"), F.col("unit").alias("other_unit")), keys, "left")
+    more = [c for c in ("period", "currency") if c in ours.columns and c in theirs.columns and c not in keys]
+    extra = [F.col(c).alias(f"other_{c}") for c in more] + ([F.col("scope").alias("other_scope")] if "scope" in theirs.columns else [])
+    both = ours.join(theirs.select(*keys, F.col("present"), F.col("value").alias("other"), F.col("unit").alias("other_unit"), *extra), keys, "left")
+    reason = F.when(~F.coalesce("present", F.lit(False)), "ABSENT")
+    if "scope" in theirs.columns:
+        reason = reason.when(~F.coalesce(F.col("other_scope") == CONSOLIDATED, F.lit(False)), "SCOPE")
+    if "period" in more:
+        reason = reason.when(~F.col("period").eqNullSafe(F.col("other_period")), "PERIOD")
+    if "currency" in more:
+        reason = reason.when(~currency(F.col("currency")).eqNullSafe(currency(F.col("other_currency"))), "CURRENCY")
     reason = (
-        F.when(~F.coalesce("present", F.lit(False)), "ABSENT")
-        .when(scale_of(F.col("other_unit")).isNull() | scale_of(F.col("unit")).isNull(), "UNIT")
+        reason.when(scale_of(F.col("other_unit")).isNull() | scale_of(F.col("unit")).isNull(), "UNIT")
         .when(F.col("value").isNull(), "OUR_VALUE")
         .when(F.col("other").isNull(), "NOT_A_NUMBER")
     )

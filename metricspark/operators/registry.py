@@ -39,8 +39,8 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """The flags of a folder's ``_flags.json``; a row without all five keys is an error, raised at once."""
-    rows = spark.read.schema(f"{VOCABULARY}, parse_error string").option("columnNameOfCorruptRecord", "parse_error").json(f"{folder}/_flags.json").cache()
+    """The flags of a folder's ``flags.jsonl``; a row without all five keys is an error, raised at once."""
+    rows = spark.read.schema(f"{VOCABULARY}, parse_error string").option("columnNameOfCorruptRecord", "parse_error").json(f"{folder}/flags.jsonl")
     bad = rows.filter(F.col("parse_error").isNotNull() | F.greatest(*(F.col(c.split()[0]).isNull() for c in VOCABULARY.split(", "))))
     if faults := bad.limit(1).collect():
         raise ValueError(f"a flag lacks one of its keys: {faults[0].asDict()}")

@@ -24,11 +24,8 @@ def ideograph(c: Column) -> Column:
     return c.between("一", "鿿")
 
 
-def holds_any(text: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, w if isinstance(w, Column) else F.lit(w))
-    return out
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(words))
 
 
 def companies_in(texts: DataFrame, companies: DataFrame, names: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -58,9 +55,7 @@ def companies_in(texts: DataFrame, companies: DataFrame, names: DataFrame, key:
     bound = lambda c: ~ideograph(c) | F.contains(F.lit(BOUNDARY), c)
 
     def right(x: Column) -> Column:
-        org = F.lit(False)
-        for w in ORGANISATION:
-            org = org | F.startswith(rest(x), F.lit(w))
+        org = rest(x).rlike(f"^(?:{'|'.join(ORGANISATION)})")
         return bound(F.left(rest(x), F.lit(1))) | (rest(x) == "") | org | F.exists("aliases", lambda a: F.startswith(rest(x), a))
 
     codes = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["code"])))

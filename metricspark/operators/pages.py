@@ -57,10 +57,7 @@ def statement_anchors(words: DataFrame) -> DataFrame:
 def near_titles(words: DataFrame) -> DataFrame:
     """(doc, nth, title): the first SHOWN distinct words that nearly are titles, for people to read only."""
     title = visible(F.col("text"))
-    like = F.lit(False)
-    for k in KEYS:
-        like = like | F.contains(title, F.lit(k))
-    rows = words.filter(like & ~title.isin(*TITLES) & (F.length(title) <= 40))
+    rows = words.filter(title.rlike("|".join(KEYS)) & ~title.isin(*TITLES) & (F.length(title) <= 40))
     first = rows.groupBy("doc", title.alias("title")).agg(F.min(F.struct("page", "top", "x0")).alias("at"))
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("at", "title"))
     return first.select("doc", nth.alias("nth"), "title").filter(F.col("nth") <= SHOWN)
@@ -102,10 +99,7 @@ def within(line_rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 def furniture(text: Column) -> Column:
     """Running heads, page numbers and lines on units: no data."""
-    out = F.regexp_like(text, F.lit(RUNNING_HEAD)) | F.regexp_like(text, F.lit(FOOTER))
-    for m in META:
-        out = out | F.startswith(text, F.lit(m))
-    return out
+    return text.rlike(f"{RUNNING_HEAD}|{FOOTER}|^(?:{'|'.join(META)})")
 
 
 def role_of(header: Column, year: Column) -> Column:

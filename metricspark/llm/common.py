@@ -53,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 8) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 8, keep_salt: bool = False) -> DataFrame:
     """Join when single keys may hold a large share of left; right has few rows for each key.
 
     Left rows are dealt over ``salts`` values, right rows are repeated for each of
@@ -62,7 +62,8 @@ def join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
     salt = "__salt"
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    return left.withColumn(salt, spread).join(right.withColumn(salt, copies), [*on, salt], how).drop(salt)
+    out = left.withColumn(salt, spread).join(right.withColumn(salt, copies), [*on, salt], how)
+    return out if keep_salt else out.drop(salt)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 4096) -> DataFrame:
@@ -84,6 +85,27 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 4096) -> D
     return left.join(right, [key, "__part"]).drop("__part")
 
 
+def one_of_each(df: DataFrame, keys: list[Column], order: Column | None = None) -> DataFrame:
+    """df with one of the rows that agree in all keys; ordinary rows aren't moved.
+
+    The first by ``order`` stays, then by a hash of the whole row. Keys that repeat are found
+    first, from the keys alone; only their rows are shuffled.
+    """
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    count = df.select(F.xxhash64(key).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    again = cut(count.filter("n > 1").select("__key"))
+    if again.isEmpty():
+        discard(again)
+        return df
+    rows = df.withColumn("__key", F.xxhash64(key))
+    alone = rows.join(again, "__key", "left_anti").select(df.columns)
+    several = rows.join(again, "__key", "left_semi").withColumn("__whole", key)
+    whole = F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() != "map"])
+    first = F.min_by(F.struct(*df.columns), whole if order is None else F.struct(order.alias("order"), whole.alias("whole")))
+    # Map-side aggregation leaves one row for each key and task, however often it repeats.
+    return alone.unionByName(several.groupBy("__whole").agg(first.alias("r")).select("r.*"))
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of the column's text form, modulo ``modulus``."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus)).cast("int")

@@ -11,6 +11,7 @@ from metricspark.llm.common import bucket, labelled_sample, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null or empty text is one id, rows that repeat an id are examples of their own."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.select(
         "doc_id",
@@ -25,6 +26,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document; null and empty texts have no ids. One row for each row, whatever its id."""
     rows = encode.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return rows.select(
         "doc_id",
@@ -35,6 +37,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; null counts as empty, and rows that share the staying id stay with it."""
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
@@ -54,6 +57,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked vectors and their components; what is null, zero or not finite is linked with nothing."""
     return neighbours.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
@@ -65,11 +69,13 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Ranking | None:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null and empty texts have the score of no text at all."""
     rows = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return rows.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; ``und`` for a null text or one without letters."""
     documents = table(spark, sf_dir, "documents")
     profiles = language.fit(documents, bucket(F.col("doc_id"), 5) != 0, max_rows=20_000)
     rows = language.predict(documents, profiles)
@@ -77,6 +83,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; null and empty texts have none."""
     rows = pii.find(table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans"
@@ -84,10 +91,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_join.jaccard_join(table(spark, sf_dir, "documents"))
+    """Classes of linked documents; a text without words and a null id are linked with nothing."""
+    return set_join.jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; null and empty texts have the constant's score."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     sample = labelled_sample(labels, bucket(F.col("doc_id"), 5) != 0, "toxic", max_rows=16_000)
     rows = toxicity.score(documents, toxicity.fit(documents, sample))
@@ -95,6 +104,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every section; null and empty texts have one empty section or none, as the operator says."""
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricspark.llm.arrays import mix, slices, words
-from metricspark.llm.common import Forest, blocks, by_group, components, cut, join_salted
+from metricspark.llm.common import Forest, blocks, by_group, components, cut, discard, join_salted
 
 #: Minimum hashes of a sketch, two bytes each.
 COORDINATES = 64
@@ -34,7 +34,8 @@ class Join:
     leaf: sets of a bucket that are compared by brute force. alike: equal coordinates from
     which a pair is a candidate; core: from which all partners of a set are candidates of
     the same pivot. steps: tokens sampled before a bucket's parts are looked at again, at
-    most ``depth`` times. block, block_tokens: sets and tokens of a verification block.
+    most ``depth`` times. whole: pairs of blocks of a leaf's size up to which all that is left
+    is compared instead. block, block_tokens: sets and tokens of a verification block.
     """
 
     words: int = 5
@@ -45,6 +46,7 @@ class Join:
     core: int = 58
     steps: int = 2
     depth: int = 5
+    whole: int = 512
     block: int = 1024
     block_tokens: int = 1_000_000
 
@@ -52,16 +54,20 @@ class Join:
     def similarity(self) -> float:
         return self.over[0] / self.over[1]
 
-    @property
-    def runs(self) -> int:
+    def runs_of(self, splits: int) -> int:
         """Runs after which a pair at the limit has been missed with 1 - recall, though its
-        buckets be split ``depth`` times. A pair's common paths branch with a mean of one
-        at every step."""
+        buckets be split so often. A pair's common paths branch with a mean of one at every
+        step."""
         together = 1.0
-        for _ in range(1 + self.steps * self.depth):
+        for _ in range(1 + self.steps * splits):
             together = 1 - math.exp(-together)
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - together)))
 
+    @property
+    def runs(self) -> int:
+        """Runs that the deepest split allowed may need."""
+        return self.runs_of(self.depth)
+
 
 def shingles(texts: list[str], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text; a shorter text is one shingle."""
@@ -136,12 +142,37 @@ def joined(sketch: np.ndarray, alike: int) -> Iterator[tuple[int, int]]:
 def candidates(sets: DataFrame, p: Join) -> DataFrame:
     """Edges (u, v) whose components hold every pair of sets that may be similar.
 
+    Runs enough for one split come first. Of sets whose buckets were split more often, as
+    many more follow as the deepest split needs.
+    """
+    found: list[DataFrame] = []
+    done, wanted = 0, p.runs_of(1)
+    while done < wanted:
+        edges, splits, deep = paths(sets, p, done, wanted)
+        found.append(edges)
+        done, wanted = wanted, max(wanted, p.runs_of(splits))
+        if deep is not None:
+            sets = cut(sets.join(deep, "node", "left_semi"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    if len(found) == 1:
+        return every
+    out = cut(every.distinct())
+    discard(*found)
+    return out
+
+
+def paths(sets: DataFrame, p: Join, first: int, last: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """Edges of the runs from ``first`` up to ``last``, how often the deepest bucket was split, and the sets (node) of those split more than once.
+
     sets: node, sketch, and least, the whole minimum hashes that the runs start from: two
     bytes would let strangers meet in numbers that grow with the square of the input.
     """
-    steps = first_keys(p.runs, p.similarity)
+    every = first_keys(p.runs, p.similarity)
+    steps = [x for x in every if first <= x[0] < last]
     c = np.array([x for _, x in steps])
-    back = np.unique(c, return_inverse=True)[1]
+    back = np.searchsorted(np.unique([x for _, x in every]), c)
     roots = mix(np.array([r for r, _ in steps], dtype=np.uint64) + np.uint64(1))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,20 +183,21 @@ def candidates(sets: DataFrame, p: Join) -> DataFrame:
             node = np.repeat(batch.column(0).to_numpy(), len(c))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], names=["key", "node"])
 
-    paths = sets.select("node", "least").mapInArrow(start, "key long, node long")
-    sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    starts = sets.select("node", "least").mapInArrow(start, "key long, node long")
+    sizes = starts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # Sketches travel only with paths that meet others, one row for each set and its keys.
-    met = join_salted(paths, sizes.select("key"), ["key"], "inner", 4)
+    met = join_salted(starts, sizes.select("key"), ["key"], "inner", 4)
     met = met.groupBy("node").agg(F.collect_list("key").alias("keys")).join(sets.select("node", "sketch"), "node")
     level = cut(met.select(F.explode("keys").alias("key"), "node", "sketch"))
 
     # What small buckets hold is compared in one go at the end.
     leaves: DataFrame | None = None
     edges: DataFrame | None = None
+    splits, deep = 0, None
     for depth in range(p.depth + 1):
         sizes = cut(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
         small = sizes.filter(F.col("size") <= p.leaf)
-        few = level.join(small.select("key"), "key").select("key", F.lit(0).cast("long").alias("pair"), "node", "sketch")
+        few = join_salted(level, small.select("key"), ["key"], "inner").select("key", F.lit(0).cast("long").alias("pair"), "node", "sketch")
         large = sizes.filter(F.col("size") > p.leaf)
         if depth == p.depth:
             # The last large buckets are compared whole, in pairs of bounded blocks.
@@ -176,9 +208,11 @@ def candidates(sets: DataFrame, p: Join) -> DataFrame:
         if depth == p.depth or large.isEmpty():
             break
         pivots = (
-            level.join(large.select("key"), "key")
-            .groupBy("key")
+            join_salted(level, large.select("key"), ["key"], "inner", keep_salt=True)
+            .groupBy("key", "__salt")
             .agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "sketch")).alias("p"))
+            .groupBy("key")
+            .agg(F.min("p").alias("p"))
             .select("key", F.col("p.node").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
         )
         compared = cut(join_salted(level, pivots, ["key"], "inner").mapInArrow(
@@ -189,13 +223,30 @@ def candidates(sets: DataFrame, p: Join) -> DataFrame:
         edges = linked if edges is None else edges.unionByName(linked)
         # Sets as close to the pivot as that have all their partners linked to it; a bucket in
         # which all are linked is connected already.
-        open_keys = compared.groupBy("key").agg(F.min("same").alias("least")).filter(F.col("least") < p.alike)
+        # Linked sets are connected, so they go on only for the sake of unlinked ones. A pair
+        # that agrees in ``alike`` coordinates differs in COORDINATES - alike at most, so their
+        # agreements with the pivot differ by no more than that.
+        unlinked = F.max(F.when(F.col("same") < p.alike, F.col("same"))).alias("nearest")
+        open_keys = compared.groupBy("key").agg(unlinked).filter("nearest IS NOT NULL")
         going = compared.filter((F.col("same") < p.core) & (F.col("node") != F.col("pivot")))
-        going = join_salted(going.select("key", "node", "sketch"), open_keys.select("key"), ["key"], "inner")
+        going = join_salted(going.select("key", "node", "sketch", "same"), open_keys, ["key"], "inner")
+        useful = (F.col("same") < p.alike) | (F.col("same") <= F.col("nearest") + COORDINATES - p.alike)
+        going = cut(going.filter(useful).select("key", "node", "sketch"))
+        rest = cut(going.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / p.leaf).alias("n")))
+        if (rest.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) <= p.whole:
+            # What is left is compared whole: nothing more is lost.
+            every = blocks(join_salted(going, rest, ["key"], "inner"), "key", "n", "node")
+            leaves = leaves.unionByName(every.select("key", "pair", "node", "sketch"))
+            break
+        if depth:
+            again = going.select("node").distinct()
+            deep = again if deep is None else deep.unionByName(again)
         share = 1 / (p.similarity * COORDINATES)
         level = cut(going.mapInArrow(lambda b: _descend(b, share, p.steps), "key long, node long, sketch binary"))
+        splits = depth + 1
     near = by_group(leaves, ["key", "pair"], lambda _, t: _leaf(t, p.alike), "u long, v long")
-    return cut((near if edges is None else near.unionByName(edges)).distinct())
+    out = cut((near if edges is None else near.unionByName(edges)).distinct())
+    return out, splits, None if deep is None else cut(deep.distinct())
 
 
 def _leaf(t: pa.Table, alike: int) -> pa.RecordBatch | None:
@@ -259,6 +310,9 @@ def common_tokens(a: list[np.ndarray], b: list[np.ndarray], width: int = 2048) -
 
 def _verify(t: pa.Table, over: tuple[int, int]) -> pa.RecordBatch | None:
     """Links of the sets of one pair of blocks: (u, null, links) and edges (u, v, 0)."""
+    once = np.unique(np.stack([t.column(c).to_numpy() for c in ("block", "node")]), axis=1, return_index=True)[1]
+    if len(once) < t.num_rows:
+        t = t.take(pa.array(once))
     block, node, copies = (t.column(c).to_numpy() for c in ("block", "node", "copies"))
     sets = [np.frombuffer(s, dtype=np.uint64) for s in t.column("tokens").to_pylist()]
     first, second = divmod(t.column("pair")[0].as_py(), 1 << 31)
@@ -304,20 +358,22 @@ def _spanning(link: np.ndarray, ia: np.ndarray, ib: np.ndarray, forest: Forest)
 
 
 def jaccard_join(df: DataFrame, p: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: (id, class_id, n_links, n_copies, kept).
+    """One row for each row of df: (id, class_id, n_links, n_copies, kept, text_key).
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is
     ``p.over`` or more. A class is all that links connect; class_id is its smallest id.
     n_links counts the other rows linked directly, those with an equal set included;
-    n_copies the rows with an equal set, the row itself included. kept: id = class_id.
+    n_copies the rows with an equal set, the row itself included. kept: id = class_id,
+    of rows with that id those with the class's least text_key.
+    text_key is a hash of the row's text, by which rows that share an id are told apart.
 
     Words are runs of letters and digits in lower case. A text of fewer than five words
     is one shingle of all of them; a text without words, null too, has an empty set and
     is linked with nothing. Ids are longs; rows that repeat an id and its text count as
-    copies; a row with a null id is linked with nothing and its class is null. Other
+    copies, and rows that reuse an id for another text are judged apart from it; a row with a null id is linked with nothing and its class is null. Other
     columns are left out; no rows give none.
     """
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     started = np.unique([c for _, c in first_keys(p.runs, p.similarity)])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,32 +386,41 @@ def jaccard_join(df: DataFrame, p: Join = Join(), id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array(names, pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x.tobytes() for x in sketches(least)], pa.binary()),
                         pa.array([x.tobytes() for x in least[:, started]], pa.binary()),
                     ],
-                    names=["id", "name", "size", "sketch", "least"],
+                    names=["id", "text_key", "name", "size", "sketch", "least"],
                 )
 
-    rows = cut(source.mapInArrow(describe, "id long, name binary, size long, sketch binary, least binary"))
+    schema = "id long, text_key long, name binary, size long, sketch binary, least binary"
+    rows = cut(source.mapInArrow(describe, schema))
     linkable = rows.filter(F.col("name").isNotNull() & F.col("id").isNotNull())
     # Rows with an equal set are one node from here on.
-    sets = cut(
-        linkable.groupBy("name").agg(
-            F.min("id").alias("node"),
-            F.count(F.lit(1)).alias("copies"),
-            *(F.first(c).alias(c) for c in ("size", "sketch", "least")),
-        )
+    least_row = F.min(F.struct("id", "text_key")).alias("r")
+    sets = linkable.groupBy("name").agg(
+        least_row, F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sketch", "least"))
     )
-    groups = components(candidates(sets, p)).select("node", F.col("component").alias("group"))
-    members = cut(groups.join(sets.select("node", "copies", "size"), "node"))
+    sets = cut(sets.withColumn("id", F.col("r.id")).withColumn("text_key", F.col("r.text_key")).withColumn("node", F.col("id")).drop("r"))
+    reused = cut(sets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit(True).alias("reused")))
+    if not reused.isEmpty():
+        # An id that stands for several sets names none of them: those nodes get numbers of their own.
+        own = F.when(F.col("reused"), -F.abs(F.shiftright(F.xxhash64("name"), 2)) - 1).otherwise(F.col("id"))
+        apart = cut(sets.join(reused, "id", "left").withColumn("node", own).drop("reused"))
+        discard(sets)
+        sets = apart
+    edges = candidates(sets, p)
+    groups = components(edges).select("node", F.col("component").alias("group"))
+    members = cut(groups.join(sets.select("node", "id", "text_key", "copies", "size"), "node"))
     weights = members.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("tokens"))
     weights = weights.select(
         "group", F.greatest(F.ceil(F.col("m") / p.block), F.ceil(F.col("tokens") / p.block_tokens)).alias("n")
     )
     members = join_salted(members, weights, ["group"], "inner")
-    texts = source.join(members.select(F.col("node").alias("id"), "group", "n", "copies"), "id").dropDuplicates(["id"])
+    # Rows that repeat both id and text come more than once; _verify takes one of each node.
+    texts = source.join(members.select("id", "text_key", "node", "group", "n", "copies"), ["id", "text_key"])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,23 +433,29 @@ def jaccard_join(df: DataFrame, p: Join = Join(), id_col: str = "doc_id", text_c
                     names=["node", "group", "n", "copies", "tokens"],
                 )
 
-    held = texts.select("id", "text", "group", "n", "copies").mapInArrow(
+    held = texts.select("node", "text", "group", "n", "copies").mapInArrow(
         tokens, "node long, group long, n long, copies long, tokens binary"
     )
     held = blocks(held, "group", "n", "node").select("group", "pair", "block", "node", "copies", "tokens")
     facts = cut(by_group(held, ["group", "pair"], lambda _, t: _verify(t, p.over), "u long, v long, links long"))
 
     classes = components(facts.filter("v IS NOT NULL").select("u", "v"))
+    named = cut(classes.join(sets.select("node", "id", "text_key"), "node"))
+    first = named.groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("class_row"))
+    classes = join_salted(named.select("node", "component"), first, ["component"], "inner")
     links = facts.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node")
-    nodes = sets.select("name", "node", "copies").join(classes, "node", "left").join(links, "node", "left")
+    nodes = sets.select("name", "node", "id", "text_key", "copies").join(classes, "node", "left").join(links, "node", "left")
     nodes = nodes.filter("copies > 1 OR component IS NOT NULL")
-    out = join_salted(rows.select("id", "name"), nodes, ["name"], "left")
+    nodes = nodes.select("name", "copies", "links", F.coalesce("class_row", F.struct("id", "text_key")).alias("stays"))
+    out = join_salted(rows.select("id", "text_key", "name"), nodes, ["name"], "left")
     own = F.col("id").isNotNull()
-    class_id = F.coalesce("component", "node", "id")
+    class_id = F.coalesce("stays.id", "id")
+    stays = (F.col("stays.id") == F.col("id")) & (F.col("stays.text_key") == F.col("text_key"))
     return out.select(
         F.col("id").alias(id_col),
         F.when(own, class_id).alias("class_id"),
         F.when(own, F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(0).alias("n_links"),
         F.when(own, F.coalesce("copies", F.lit(1))).otherwise(1).alias("n_copies"),
-        (~own | (class_id == F.col("id"))).alias("kept"),
+        (~own | F.col("stays").isNull() | stays).alias("kept"),
+        "text_key",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metricspark.llm import exact_dedup, packing, pii, quality, set_join
 from metricspark.llm.bpe import tokenizer_path
-from metricspark.llm.common import bucket, labelled_sample, shared_folder, table
+from metricspark.llm.common import bucket, labelled_sample, one_of_each, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,29 +24,51 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, the longest, then that of least id."""
+    """One document of each group of equal texts stays, the longest, then that of least id.
+
+    Null counts as an empty text, and empty texts are equal; a null id comes last. Rows
+    that repeat an id and its text are one document, and one of them stays. An id that is
+    used for several texts stands for as many documents. No rows give none.
+    """
     gone = exact_dedup.dedup(docs).filter(~F.col("kept")).select(
         F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")
     )
-    normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.sha2(normal.cast("binary"), 256) == gone["gone_text"])
-    return docs.join(gone, same, "left_anti")
+    text = F.coalesce("text", F.lit(""))
+    normal = F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]", "").cast("binary"), 256)
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (normal == gone["gone_text"])
+    return one_of_each(docs.join(gone, same, "left_anti"), [F.col("doc_id"), normal], -F.length(text))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked texts stays, that of least id."""
-    gone = set_join.jaccard_join(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each class of linked texts stays, that of least id.
+
+    A null or empty text, one without words and a row with a null id are linked with
+    nothing and stay. Rows that repeat an id and its text are one document, and one of
+    them stays; of an id's several texts only linked ones go. No rows give none.
+    """
+    gone = set_join.jaccard_join(docs).filter(~F.col("kept")).select("doc_id", F.col("text_key").alias("gone_text"))
+    same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["gone_text"])
+    left = docs.join(gone, same, "left_anti").select(docs.columns)
+    return one_of_each(left, [F.col("doc_id"), F.col("text")])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; n_chars follows the text."""
+    """Personal data in the texts is replaced by its kind; n_chars, where there is one, follows the text.
+
+    Null and empty texts stay as they are; no rows give none.
+    """
     clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row for each piece of a document, with its ids."""
+    """Sequences of at most 2048 tokens: one row for each piece of a document, with its ids.
+
+    Null and empty texts are examples of one id, the end. Rows that repeat an id, or have
+    none, are examples of their own. No rows give none.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

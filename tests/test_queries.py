@@ -29,7 +29,14 @@ def test_same_as_sql(spark, con, name):
     got, want = QUERIES[name](spark, SMALL).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
-    plain = lambda d: sorted(tuple("~" if pd.isna(x) else f"{x:.6f}" if isinstance(x, (int, float, np.number)) else str(x) for x in r) for r in d[columns].itertuples(index=False))
+    def shown(x):
+        if pd.isna(x):
+            return "~"
+        if isinstance(x, (bool, np.bool_)):
+            return str(bool(x))
+        return f"{x:.6f}" if isinstance(x, (int, float, np.number)) or type(x) is Decimal else str(x)
+
+    plain = lambda d: sorted(tuple(map(shown, r)) for r in d[columns].itertuples(index=False))
     assert len(got) == len(want) > 0
     assert plain(got) == plain(want)
 

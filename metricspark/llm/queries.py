@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.llm import encode, exact_dedup, language, neighbours, packing, pii, quality, set_join, token_counts, toxicity
+from metricspark.llm import encode, exact_dedup, language, neighbours, packing, pii, quality, repair, set_join, token_counts, toxicity
 from metricspark.llm.bpe import tokenizer_path
 from metricspark.llm.common import bucket, labelled_sample, table
 
@@ -108,6 +108,89 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, stripped of their ends, repeated or set to one role, by a hash of conversation and turn."""
+    blank = F.lit(" ")
+    own = F.concat(*(F.coalesce(F.col(c).cast("string"), blank) if c else F.lit(":") for c in ("conv_id", "", "turn")))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), F.pmod(F.crc32(own), F.lit(20)).alias("kind")
+    ).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("copy")).drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits and repaired forms of all damaged conversations; one of which no row is left has nothing but the digest of no text."""
+    original = table(spark, sf_dir, "conversations")
+    audits, repaired = repair.repair(damaged(original))
+    found = audits.join(repair.digests(repaired), "key", "left")
+    rows = original.select("conv_id").distinct().withColumn("key", repair.key_of(F.col("conv_id"))).join(found, "key", "left")
+    counts = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+#: The cheapest edits are carried from the last row to the first, for each of four states: nothing yet, after a system, user, assistant row.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), b AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)) AS codes
+  FROM conversations
+), h AS (
+  SELECT b.* EXCLUDE (codes), xor(list_reduce(codes, lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM b, t
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM h WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS initial
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), f AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+         before IS NOT NULL AND coalesce(nullif(left(before, 1), ''), ' ') || initial NOT IN ('su', 'ua', 'au') AS bad
+  FROM o
+), edges(s, z, ins, lines) AS (
+  VALUES (0, 0, '', []), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']),
+         (3, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, 'II', ['user:', 'assistant:'])
+), moves(z, initial, e) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), steps AS (
+  SELECT f.conv_id, f.i, edges.s, m.e, 3 * length(ins) + m.cost AS cost, ins || m.edit AS audit, lines || m.line AS lines
+  FROM f, edges, LATERAL (
+    SELECT z AS e, 4 AS cost, 'D' AS edit, CAST([] AS VARCHAR[]) AS line WHERE z = z
+    UNION ALL SELECT e, 3 * cut::INT, 'K', [f.role || ':' || f.text] FROM moves WHERE moves.z = edges.z AND moves.initial = f.initial AND NOT blank AND NOT dup
+    UNION ALL SELECT CASE WHEN edges.z = 2 THEN 3 ELSE 2 END, 3 + 3 * cut::INT, 'R', [CASE WHEN edges.z = 2 THEN 'assistant:' ELSE 'user:' END || f.text] WHERE NOT blank AND NOT dup
+  ) m
+), back AS (
+  SELECT n.conv_id, n.i, edges.s, {'cost': 3 * length(ins), 'audit': ins, 'lines': lines} AS best
+  FROM (SELECT conv_id, max(i) + 1 AS i FROM f GROUP BY conv_id) n, edges WHERE z IN (0, 3)
+  UNION ALL
+  SELECT steps.conv_id, steps.i, steps.s, min({'cost': steps.cost + best.cost, 'audit': steps.audit || best.audit, 'lines': steps.lines || best.lines})
+  FROM back JOIN steps ON steps.conv_id IS NOT DISTINCT FROM back.conv_id AND steps.i = back.i - 1 AND steps.e = back.s
+  GROUP BY steps.conv_id, steps.i, steps.s
+), solved AS (
+  SELECT conv_id, min(best) AS best FROM back WHERE i = 1 AND s = 0 GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (bad) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN solved ON solved.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -119,5 +202,6 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op13_repair": op13_repair,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op13_repair": OP13_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.llm import encode, exact_dedup, language, neighbours, packing, pii, quality, repair, set_join, token_counts, toxicity
+from metricspark.llm import encode, exact_dedup, hard_negatives, kmeans_tree, language, neighbours, packing, pii, quality, repair, set_join, token_counts, toxicity
 from metricspark.llm.bpe import tokenizer_path
 from metricspark.llm.common import bucket, labelled_sample, table
 
@@ -108,6 +108,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth id; every seventh id has the next label. What has no label or no finite vector takes no part."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.q, c.q)::BIGINT AS score
+  FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every fiftieth id among all rows; what is null, zero or not finite takes no part."""
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Turns dropped, emptied, stripped of their ends, repeated or set to one role, by a hash of conversation and turn."""
     blank = F.lit(" ")
@@ -202,6 +231,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_kmeans_tree": op12_kmeans_tree,
     "op13_repair": op13_repair,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op13_repair": OP13_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op11_hard_negatives": OP11_SQL, "op13_repair": OP13_SQL}

@@ -1,106 +1,40 @@
 """Conditions and formulas of metric definitions, given as text, compiled to Spark SQL expressions.
 
-Both are small parts of Python's expression grammar, so Python's own reader takes them
-apart; whatever is not listed here is unreadable and refused before a plan is built. A
-condition is true, false or, where an operand is missing, undecided: it is null
-then. ``and`` and ``or`` look at their right side only when the left leaves it open, so an
-undecided left side is never hidden, unlike in SQL's three-valued logic.
+A condition is true, false or, where an operand is missing, undecided: it is null then. ``and``
+and ``or`` look at their right side only when the left leaves it open, so an undecided left
+side is never hidden, unlike in SQL's three-valued logic. Texts that can't be read raise
+``Unreadable``; plans refuse at their place. Every part of a text is written once, so that
+expressions grow as their texts do.
 """
 
 from __future__ import annotations
 
-import ast
-import re
 from collections.abc import Callable
-from decimal import Decimal
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name spaces of data, and those of a definition itself.
-DATA_ROOTS = ("is", "bs", "cfs", "notes", "kpi")
-OWN_ROOTS = ("standard_basis", "comparison_period", "metric")
-NAMES = {"true": True, "false": False, "null": None}
-ORDER = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">="}
-EQUAL = {ast.Eq: "==", ast.NotEq: "!="}
+from metricspark.operators import exact, reading
+from metricspark.operators.reading import DATA_ROOTS, OWN_ROOTS, Unreadable
 
+__all__ = ["ABSENT", "DATA_ROOTS", "EMPTY", "OWN_ROOTS", "UNKNOWN", "VALUE", "Unreadable", "condition", "fields", "formula", "is_ratio", "literal", "readable", "readable_sql", "unreadable"]
 
-SIGNS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/"}
-
-
-class Unreadable(ValueError):
-    """A text that is no condition or formula."""
-
-
-def read(text: str) -> ast.expr:
-    if not text or not text.strip():
-        raise Unreadable("empty")
-    # ``is`` is a word of Python's own.
-    body = re.sub(r"(?<![\w.])is(?=\.)", "is_", " ".join(text.split()))
-    try:
-        return ast.parse(body, mode="eval").body
-    except (SyntaxError, ValueError) as e:
-        raise Unreadable(str(e)) from e
-
-
-def path(node: ast.expr) -> str | None:
-    """The dotted name of a field, null if the node is none."""
-    parts = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    if not parts or not isinstance(node, ast.Name):
-        return None
-    return ".".join([node.id.removesuffix("_") if node.id == "is_" else node.id, *reversed(parts)])
-
-
-def field(node: ast.expr, roots: tuple[str, ...]) -> str | None:
-    found = path(node)
-    if found is not None and found.split(".")[0] not in roots:
-        raise Unreadable(f"name space of {found}")
-    return found
-
-
-def number(node: ast.expr) -> Decimal | None:
-    sign = 1
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-        sign, node = -1, node.operand
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return sign * Decimal(str(node.value))
-    return None
-
-
-class Literal:
-    def __init__(self, value):
-        self.value = value
-
-
-def operand(node: ast.expr) -> str | Literal:
-    """A field's path or a literal."""
-    if (found := field(node, DATA_ROOTS + OWN_ROOTS)) is not None:
-        return found
-    if (n := number(node)) is not None:
-        return Literal(n)
-    if isinstance(node, ast.Constant) and isinstance(node.value, str):
-        return Literal(node.value)
-    if isinstance(node, ast.Name) and node.id in NAMES:
-        return Literal(NAMES[node.id])
-    raise Unreadable(ast.unparse(node))
+Cell = Callable[[str], tuple[str, str]]
+#: Places of an amount, and its digits before them.
+PLACES, BEFORE = 6, 22
 
 
 def kind(value) -> str:
     return {bool: "boolean", str: "string"}.get(type(value), "number")
 
 
-Cell = Callable[[str], tuple[str, str]]
-
-
 def literal(value) -> str:
     if value is None or isinstance(value, bool):
         return {None: "NULL", True: "true", False: "false"}[value]
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"({value})" if value < 0 else str(value)
+    return f"({value:f})" if value < 0 else f"{value:f}"
 
 
 def condition(text: str, cell: Cell) -> str:
@@ -108,64 +42,88 @@ def condition(text: str, cell: Cell) -> str:
 
     ``cell(path)`` gives a field's expression, null where it is missing, and its kind: number,
     boolean or string. Equality across kinds is false; an order across kinds is unreadable.
+    Numbers of fields have at most six places.
     """
-    return _condition(read(text), cell)
-
-
-def _condition(node: ast.expr, cell: Cell) -> str:
-    if isinstance(node, ast.BoolOp):
-        settles = isinstance(node.op, ast.Or)
-        cases = []
-        for part in (_condition(v, cell) for v in node.values):
-            if not part.endswith(" IS NULL)"):
-                cases.append(f"WHEN {part} IS NULL THEN CAST(NULL AS BOOLEAN)")
-            cases.append(f"WHEN {part if settles else f'NOT {part}'} THEN {literal(settles)}")
-        return f"(CASE {' '.join(cases)} ELSE {literal(not settles)} END)"
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-        return f"(NOT {_condition(node.operand, cell)})"
-    if isinstance(node, ast.Call):
-        if not isinstance(node.func, ast.Name) or node.func.id != "is_missing" or len(node.args) != 1 or node.keywords:
-            raise Unreadable(ast.unparse(node))
-        found = field(node.args[0], DATA_ROOTS + OWN_ROOTS)
-        if found is None:
-            raise Unreadable(ast.unparse(node))
-        return f"({cell(found)[0]} IS NULL)"
-    if isinstance(node, ast.Compare) and len(node.ops) == 1:
-        return _compare(node.ops[0], operand(node.left), operand(node.comparators[0]), cell)
-    raise Unreadable(ast.unparse(node))
-
-
-def _compare(op: ast.cmpop, left: str | Literal, right: str | Literal, cell: Cell) -> str:
-    if type(op) not in ORDER | EQUAL:
-        raise Unreadable(type(op).__name__)
-    sides = [(literal(x.value), kind(x.value)) if isinstance(x, Literal) else cell(x) for x in (left, right)]
-    missing = " OR ".join(f"{c} IS NULL" for x, (c, _) in zip((left, right), sides) if not isinstance(x, Literal)) or "false"
-    nulls = [isinstance(x, Literal) and x.value is None for x in (left, right)]
-    decided = lambda value: f"(CASE WHEN NOT ({missing}) THEN {literal(value)} END)"
-    if any(nulls):
+    return _condition(reading.condition(text), cell)
+
+
+def _condition(node: reading.Node, cell: Cell) -> str:
+    if isinstance(node, reading.Missing):
+        return f"({cell(node.path)[0]} IS NULL)"
+    if isinstance(node, reading.Negated):
+        return f"(NOT {_condition(node.part, cell)})"
+    if isinstance(node, reading.Compared):
+        return _compared(node, cell)
+    *parts, out = (_condition(p, cell) for p in node.parts)
+    for left in reversed(parts):
+        # The left side as a place in a list: where it is null, so is what stands there.
+        sides = f"false, {out}" if isinstance(node, reading.Every) else f"{out}, true"
+        out = f"get(array({sides}), CAST({left} AS INT))"
+    return out
+
+
+#: What turns a comparison round.
+TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+
+
+def _compared(node: reading.Compared, cell: Cell) -> str:
+    sign, left, right = node
+    if isinstance(left, reading.Value) and isinstance(right, reading.Field):
+        sign, left, right = TURNED[sign], right, left
+    if isinstance(left, reading.Value):
+        return literal(_constant(sign, left.value, right.value))
+    a, ka = cell(left.path)
+    if isinstance(right, reading.Field):
+        b, kb = cell(right.path)
+        if ka == kb:
+            return f"({a} {sign} {b})"
+        return _unlike(sign, ka, kb, f"{a} IS NULL OR {b} IS NULL")
+    if right.value is None:
         # A present value differs from null; null has no place in an order.
-        return decided(all(nulls) == isinstance(op, ast.Eq)) if type(op) in EQUAL else "CAST(NULL AS BOOLEAN)"
-    (a, ka), (b, kb) = sides
-    if ka != kb:
-        if type(op) in ORDER:
-            raise Unreadable(f"{ka} {ORDER[type(op)]} {kb}")
-        return decided(isinstance(op, ast.NotEq))
-    return f"({a} {(ORDER | EQUAL)[type(op)]} {b})"
+        return _decided(sign == "!=", f"{a} IS NULL") if sign in ("==", "!=") else "CAST(NULL AS BOOLEAN)"
+    if ka != kind(right.value):
+        return _unlike(sign, ka, kind(right.value), f"{a} IS NULL")
+    return _against_number(sign, a, right.value) if ka == "number" else f"({a} {sign} {literal(right.value)})"
 
 
-def fields(text: str) -> list[str]:
-    """Fields of a condition or formula from left to right, repeats included."""
-    found: list[str] = []
+def _decided(value: bool, missing: str) -> str:
+    return f"IF({missing}, CAST(NULL AS BOOLEAN), {literal(value)})"
 
-    def walk(node: ast.AST) -> None:
-        if isinstance(node, ast.Attribute) and (p := path(node)) is not None:
-            found.append(p)
-        else:
-            for child in ast.iter_child_nodes(node):
-                walk(child)
 
-    walk(read(text))
-    return found
+def _unlike(sign: str, ka: str, kb: str, missing: str) -> str:
+    if sign not in ("==", "!="):
+        raise Unreadable(f"{ka} {sign} {kb}")
+    return _decided(sign == "!=", missing)
+
+
+def _constant(sign: str, a, b) -> bool | None:
+    if a is None or b is None:
+        return (a is b) == (sign == "==") if sign in ("==", "!=") else None
+    if kind(a) != kind(b):
+        if sign not in ("==", "!="):
+            raise Unreadable(f"{kind(a)} {sign} {kind(b)}")
+        return sign == "!="
+    return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[sign]
+
+
+def _against_number(sign: str, a: str, value: Decimal) -> str:
+    """A field against a literal of any length, exactly: what lies between two amounts is moved to the nearer one on the right side."""
+    if abs(value) >= 10**BEFORE:
+        return _decided(sign in ("!=", "<", "<=") if value > 0 else sign in ("!=", ">", ">="), f"{a} IS NULL")
+    with localcontext() as c:
+        c.prec = 100 + len(value.as_tuple().digits)
+        place = Decimal(1).scaleb(-PLACES)
+        low, high = value.quantize(place, ROUND_FLOOR), value.quantize(place, ROUND_CEILING)
+    if low != high:
+        if sign in ("==", "!="):
+            return _decided(sign == "!=", f"{a} IS NULL")
+        sign, low = {"<": ("<=", low), "<=": ("<=", low), ">": (">=", high), ">=": (">=", high)}[sign]
+    return f"({a} {sign} CAST({literal(low)} AS DECIMAL(28,6)))"
+
+
+def fields(text: str) -> list[str]:
+    """Fields of a condition or formula from left to right, repeats included; ``Unreadable`` if it is neither."""
+    return reading.paths(reading.either(text))
 
 
 #: How a cell was found.
@@ -182,79 +140,64 @@ def readable_sql(name: str) -> str:
     return f"CASE {name}.state WHEN '{VALUE}' THEN {name}.v WHEN '{EMPTY}' THEN CAST(0 AS DECIMAL(28,6)) END"
 
 
-def formula(text: str, amount: Callable[[str], str], state: Callable[[str], str]) -> tuple[str, str]:
-    """(value, refusals) of a formula: the refusals of its parts in the order of evaluation, null where one passes.
+def formula(text: str, amount: Callable[[str], str], state: Callable[[str], str]) -> exact.Program:
+    """A formula as a program of exact numbers: its value has 28 significant digits, or the code of the first refusal.
 
-    The first refusal that isn't null is the formula's. A field without a record is
-    UNAVAILABLE, one that is unknown, absent or no number UNEVALUABLE_CONDITION, and so is
-    a division by zero. Operands have 24 digits, so a quotient keeps 14 places.
+    Operands come from left to right. A field without a record is UNAVAILABLE, one that is
+    unknown, absent or no number UNEVALUABLE_CONDITION; a division by zero is for ``exact.run``.
     """
-    checks: list[str] = []
-
-    def walk(node: ast.expr) -> str:
-        if isinstance(node, ast.BinOp) and type(node.op) in SIGNS:
-            a = walk(node.left)
-            b = walk(node.right)
-            if not isinstance(node.op, ast.Div):
-                return f"({a} {SIGNS[type(node.op)]} {b})"
-            checks.append(f"IF({b} = 0, 'UNEVALUABLE_CONDITION', NULL)")
-            return f"try_divide(CAST({a} AS DECIMAL(24,6)), CAST({b} AS DECIMAL(24,6)))"
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-            return f"(- {walk(node.operand)})"
-        if (found := field(node, DATA_ROOTS)) is not None:
-            a = amount(found)
-            checks.append(f"CASE WHEN {state(found)} IS NULL THEN 'UNAVAILABLE' WHEN {a} IS NULL THEN 'UNEVALUABLE_CONDITION' END")
-            return a
-        if (n := number(node)) is not None:
-            return literal(n)
-        raise Unreadable(ast.unparse(node))
-
-    value = walk(read(text))
-    return f"CAST({value} AS DECIMAL(38,10))", f"array({', '.join(checks)})"
+    # Numbers come before the results of steps, so places of results are known once all numbers are.
+    numbers: list[str] = []
+    steps: list[tuple[str, object, object]] = []
+
+    def leaf(number: str) -> tuple[str, int]:
+        numbers.append(number)
+        return "number", len(numbers) - 1
+
+    def result(sign: str, left, right) -> tuple[str, int]:
+        steps.append((sign, left, right))
+        return "step", len(steps) - 1
+
+    def code(path: str) -> str:
+        return f"IF({state(path)} IS NULL, 'UNAVAILABLE', IF({amount(path)} IS NULL, 'UNEVALUABLE_CONDITION', NULL))"
+
+    def one(node: reading.Node) -> tuple[str, int]:
+        if isinstance(node, reading.Sum) and all(isinstance(part, reading.Field) for _, part in node.parts) and len(node.parts) <= exact.TERMS:
+            return leaf(exact.sum_of_amounts([(sign, amount(part.path), code(part.path)) for sign, part in node.parts]))
+        if isinstance(node, reading.Sum | reading.Product):
+            (_, first), *rest = node.parts
+            left = one(first)
+            for sign, part in rest:
+                left = result(sign, left, one(part))
+            return left
+        if isinstance(node, reading.Minus):
+            return result("-", leaf(exact.number("0", 0)), one(node.part))
+        if isinstance(node, reading.Field):
+            why = code(node.path)
+            return leaf(f"IF({why} IS NOT NULL, {exact.refused(why)}, {exact.of_amount(amount(node.path))})")
+        try:
+            return leaf(exact.constant(node.value))
+        except ValueError as e:
+            raise Unreadable(str(e)) from e
+
+    one(reading.formula(text))
+    place = lambda x: x[1] if x[0] == "number" else len(numbers) + x[1]
+    return exact.Program(numbers, [(sign, place(left), place(right)) for sign, left, right in steps])
 
 
 def is_ratio(text: str) -> bool:
     """True if the outermost operation divides: the result has no unit then."""
-    node = read(text)
-    return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Div)
+    node = reading.formula(text)
+    return isinstance(node, reading.Product) and node.parts[-1][0] == "/"
 
 
 def unreadable(text: str, types: Callable[[str], str] = lambda _: "number", as_formula: bool = False) -> str | None:
-    """Why a text is no condition (or formula), null if it is one. Builds no column of a session."""
+    """Why a text is no condition (or formula), null if it is one. Needs no session."""
     try:
-        node = read(text)
         if as_formula:
-            _check_formula(node)
+            formula(text, lambda p: p, lambda p: p)
         else:
-            _check_condition(node, types)
+            condition(text, lambda p: (p, types(p)))
     except Unreadable as e:
         return str(e)
     return None
-
-
-def _check_condition(node: ast.expr, types: Callable[[str], str]) -> None:
-    if isinstance(node, ast.BoolOp):
-        for v in node.values:
-            _check_condition(v, types)
-    elif isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-        _check_condition(node.operand, types)
-    elif isinstance(node, ast.Call):
-        if getattr(node.func, "id", None) != "is_missing" or len(node.args) != 1 or node.keywords or field(node.args[0], DATA_ROOTS + OWN_ROOTS) is None:
-            raise Unreadable(ast.unparse(node))
-    elif isinstance(node, ast.Compare) and len(node.ops) == 1 and type(node.ops[0]) in ORDER | EQUAL:
-        sides = [operand(node.left), operand(node.comparators[0])]
-        kinds = {types(x) if isinstance(x, str) else kind(x.value) for x in sides if isinstance(x, str) or x.value is not None}
-        if type(node.ops[0]) in ORDER and len(kinds) > 1:
-            raise Unreadable(" and ".join(sorted(kinds)))
-    else:
-        raise Unreadable(ast.unparse(node))
-
-
-def _check_formula(node: ast.expr) -> None:
-    if isinstance(node, ast.BinOp) and type(node.op) in SIGNS:
-        _check_formula(node.left)
-        _check_formula(node.right)
-    elif isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-        _check_formula(node.operand)
-    elif field(node, DATA_ROOTS) is None and number(node) is None:
-        raise Unreadable(ast.unparse(node))

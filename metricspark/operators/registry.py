@@ -6,12 +6,14 @@ where a step needs them on the driver it says so. What they are applied to is no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.operators import expressions
+from metricspark.operators import expressions, reading
 from metricspark.plans.definitions import KINDS, Definition
 
 SCHEMA = (
@@ -74,13 +76,23 @@ def compiled(definitions: DataFrame) -> tuple[Definition, ...]:
     rows = definitions.filter("parse_error IS NULL AND metric_id IS NOT NULL").orderBy("metric_id").collect()
     return tuple(
         Definition(
-            r["metric_id"], r["formula"], tuple(c["expr"] for c in r["conditions"] or () if c["expr"]),
+            r["metric_id"], r["formula"], tuple(c["expr"] or "" for c in r["conditions"] or ()),
             tuple((f["name"], f["trigger"]) for f in r["flags"] or () if f["name"] and f["trigger"]), tuple(r["aliases"] or ()), r["version"],
+            tuple((f["id"], represented(f["missing"])) for f in r["fields"] or () if f["id"] and represented(f["missing"]) is not None),
         )
         for r in rows
     )
 
 
+def represented(said: str | None) -> Decimal | str | bool | None:
+    """What stands for a missing value, as it is declared: null, true, false, a number, or another text."""
+    if said is None or said == "null":
+        return None
+    if said in ("true", "false"):
+        return said == "true"
+    return Decimal(said) if re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", said) else said
+
+
 def resolved(asked: DataFrame, catalogue: DataFrame, findings: DataFrame, name: str = "name") -> DataFrame:
     """asked with metric_id and refusal_code: METRIC_NOT_DEFINED, or DEFINITION_NONCONFORMANT where a definition has findings.
 
@@ -183,8 +195,8 @@ def short_names(definitions: DataFrame) -> DataFrame:
 def text_findings(definitions: DataFrame) -> DataFrame:
     """(metric_id, code, place): texts of definitions that are no conditions or formulas, and what only their reading tells.
 
-    R0.YAML_UNPARSEABLE stops the other rules. Each text is read once, by Python's own
-    reader, as catalogues are small.
+    R0.YAML_UNPARSEABLE stops the other rules. Each text is read once, on the driver, as
+    catalogues are small.
     """
     kinds = lambda p: KINDS.get(p, "number")
     found: list[tuple[str, str, str]] = []
@@ -232,7 +244,7 @@ def gate(requests: DataFrame, definitions: DataFrame) -> DataFrame:
         texts = [c["expr"] for c in r["conditions"] or () if c["expr"]] + [f["trigger"] for f in r["flags"] or () if f["trigger"]]
         every = [*texts, *([r["formula"]] if r["formula"] else [])]
         readable = [t for t in every if not expressions.unreadable(t, lambda p: KINDS.get(p, "number"), t == r["formula"])]
-        paths = list(dict.fromkeys(p for t in every for p in _paths(t)))
+        paths = list(dict.fromkeys(p for t in every for p in reading.named(t)))
         spaces = [p for p in paths if p.split(".")[0] not in expressions.DATA_ROOTS + expressions.OWN_ROOTS]
         own = {f["id"] for f in r["fields"] or ()}
         undeclared = [p for p in paths if p.split(".")[0] in expressions.DATA_ROOTS and p not in own]
@@ -253,19 +265,12 @@ def gate(requests: DataFrame, definitions: DataFrame) -> DataFrame:
     return rows.drop("conformant", "closed", "namespace", "declared")
 
 
-def _paths(text: str) -> list[str]:
-    try:
-        return expressions.fields(text)
-    except expressions.Unreadable:
-        return []
-
-
 def rows(spark: SparkSession, definitions: Iterable[Definition]) -> DataFrame:
     """Compiled definitions as rows of SCHEMA, with all that their texts read declared."""
     out = []
     for d in definitions:
-        texts = [d.formula, *d.conditions, *(t for _, t in d.flags)]
-        paths = list(dict.fromkeys(p for t in texts for p in expressions.fields(t)))
+        texts = [t for t in (d.formula, *d.conditions, *(t for _, t in d.flags)) if t]
+        paths = list(dict.fromkeys(p for t in texts for p in reading.named(t)))
         out.append((
             "", d.metric_id, d.display, list(d.aliases), d.version, d.formula,
             [(p, "gain-positive", "null", KINDS.get(p, "number"), None) for p in paths], [(c, c) for c in d.conditions], list(d.flags),

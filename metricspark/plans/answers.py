@@ -67,7 +67,7 @@ def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = intent.intents(asked(spark, sf_dir), text.aliases(spark), companies(spark, sf_dir), "k")
     one = tuple(d for d in DEFINITIONS if d.metric_id == "total_asset_turnover")
     found = intent.answers(read, metrics.metric_values(statements(spark, sf_dir), one))
-    return found.select("k", "metric_id", "entity", "period", F.round("value", 6).cast("double").alias("value"), "refusal_code", "reason")
+    return found.select("k", "metric_id", "entity", "period", "value", "refusal_code", "reason")
 
 
 def plain_near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,18 @@ KINDS = {
 
 @dataclass(frozen=True)
 class Definition:
-    """``conditions`` refuse in their order; ``flags`` are (name, trigger). All are texts."""
+    """``conditions`` refuse in their order; ``flags`` are (name, trigger). All are texts.
+
+    ``missing`` are (field, value): a field of that value, of its own kind, counts as missing in conditions.
+    """
 
     metric_id: str
     formula: str
     conditions: tuple[str, ...]
     flags: tuple[tuple[str, str], ...] = ()
     aliases: tuple[str, ...] = ()
-    version: int = 2
+    version: int | None = 2
+    missing: tuple[tuple[str, object], ...] = ()
 
     @property
     def display(self) -> str:

@@ -30,22 +30,49 @@ BY_HAND = (
 )
 
 
+def exact(source: str, target: str) -> str:
+    """CTEs from ``source``, with decimals ``top`` and ``over``, to ``target``, with their quotient as text: 28 digits, half to even; top alone where over is null."""
+    length = "length(CAST(abs({}) AS VARCHAR))"
+    power = "CAST(rpad('1', CAST({} + 1 AS INTEGER), '0') AS HUGEINT)"
+    step = lambda rest, places: (f"({rest} * {power.format(places)}) // y", f"({rest} * {power.format(places)}) % y")
+    whole = lambda c: f"CAST(replace(CAST({c} AS VARCHAR), '.', '') AS HUGEINT)"
+    scaled = lambda c: f"abs({c}) * {power.format(f'(28 - l{c})')}"
+    return f"""{target}_1 AS (SELECT *, {whole("top")} AS n, {whole("over")} AS d FROM {source}
+), {target}_2 AS (SELECT *, {length.format("n")} AS ln, {length.format("d")} AS ld FROM {target}_1
+), {target}_3 AS (SELECT *, {scaled("n")} AS x, {scaled("d")} AS y FROM {target}_2
+), {target}_4 AS (SELECT *, x // y AS q0, x % y AS r0 FROM {target}_3
+), {target}_5 AS (SELECT *, {step("r0", 10)[0]} AS q1, {step("r0", 10)[1]} AS r1 FROM {target}_4
+), {target}_6 AS (SELECT *, {step("r1", 10)[0]} AS q2, {step("r1", 10)[1]} AS r2 FROM {target}_5
+), {target}_7 AS (SELECT *, q0 * {power.format(28)} + q1 * {power.format(18)} + q2 * {power.format(8)} + {step("r2", 8)[0]} AS q, {step("r2", 8)[1]} AS r FROM {target}_6
+), {target}_8 AS (SELECT *, ln - ld - 28 + CASE WHEN q0 > 0 THEN 1 ELSE 0 END AS e, CAST(CASE WHEN q0 > 0
+    THEN q // 10 + CASE WHEN q % 10 > 5 OR (q % 10 = 5 AND (r > 0 OR (q // 10) % 2 = 1)) THEN 1 ELSE 0 END
+    ELSE q + CASE WHEN 2 * r > y OR (2 * r = y AND q % 2 = 1) THEN 1 ELSE 0 END END AS VARCHAR) AS digits FROM {target}_7
+), {target} AS MATERIALIZED (SELECT *, CASE WHEN over IS NULL OR n = 0 THEN rtrim(rtrim(CAST(top AS VARCHAR), '0'), '.')
+    ELSE CASE WHEN (n < 0) <> (d < 0) THEN '-' ELSE '' END || CASE WHEN e >= 0 THEN digits || repeat('0', e)
+      WHEN length(digits) + e > 0 THEN rtrim(rtrim(left(digits, length(digits) + e) || '.' || substr(digits, length(digits) + e + 1), '0'), '.')
+      ELSE rtrim('0.' || repeat('0', -e - length(digits)) || digits, '0') END END AS quotient FROM {target}_8
+)"""
+
+
+def _parts(top: str, over: str | None) -> str:
+    return f"CAST({top} AS DECIMAL(38,6)) AS top, CAST({over or 'NULL'} AS DECIMAL(38,6)) AS over"
+
+
 def _answer(metric, top, over, refuses, flag) -> str:
-    value = f"CAST({top} AS DOUBLE)" if over is None else f"CAST({top} AS DOUBLE) / CAST({over} AS DOUBLE)"
     at = "CASE " + " ".join(f"WHEN {test} THEN {i}" for i, test in enumerate(refuses)) + " END"
     trigger, name = flag or ("false", "")
-    return f"SELECT suppkey, entity, period, '{metric}' AS metric_id, {value} AS raw, {at} AS condition_index, {trigger} AS trigger_on, '{name}' AS flag_name FROM st"
+    return f"SELECT suppkey, entity, period, '{metric}' AS metric_id, {_parts(top, over)}, {at} AS condition_index, {trigger} AS trigger_on, '{name}' AS flag_name FROM st"
 
 
 WITH = f"WITH {STATEMENTS_SQL}"
 METRICS = f"""{WITH}, tried AS (
   {" UNION ALL ".join(_answer(*m) for m in BY_HAND)}
-), mv AS MATERIALIZED (
-  SELECT suppkey, entity, period, metric_id, condition_index,
+), {exact("tried", "shown")}, mv AS MATERIALIZED (
+  SELECT suppkey, entity, period, metric_id, 2 AS version, condition_index,
     CASE WHEN condition_index IS NOT NULL THEN 'UNDEFINED_CONDITION_HIT' WHEN trigger_on IS NULL THEN 'UNEVALUABLE_CONDITION' END AS refusal_code,
-    CASE WHEN condition_index IS NULL AND trigger_on IS NOT NULL THEN CAST(round(CAST(raw AS DECIMAL(28,10)), 6) AS DOUBLE) END AS value,
+    CASE WHEN condition_index IS NULL AND trigger_on IS NOT NULL THEN quotient END AS value,
     CASE WHEN trigger_on THEN flag_name WHEN trigger_on IS NOT NULL THEN '' END AS flags
-  FROM tried
+  FROM shown
 )"""
 
 #: A computation refuses by the gate, then by the operands from left to right, then by units.
@@ -75,25 +102,24 @@ READS = {
 
 def _computed(metric, top, over, _, flag) -> str:
     reads = READS[metric]
-    value = f"CAST({top} AS DOUBLE)" if over is None else f"CAST({top} AS DOUBLE) / CAST(nullif({over}, 0) AS DOUBLE)"
     tests = " ".join(f"WHEN {f}_state IS NULL THEN 'UNAVAILABLE' WHEN {f} IS NULL THEN 'UNEVALUABLE_CONDITION'" for f in dict.fromkeys(reads))
     zero = f" WHEN {over} = 0 THEN 'UNEVALUABLE_CONDITION'" if over else ""
     mixed = len({f.split("_")[0] for f in reads}) > 1 and any(f.startswith("cfs_") for f in reads)
     unit = "'无量纲'" if over else ("CASE WHEN suppkey % 23 = 0 THEN '万元' ELSE '元' END" if reads[0].startswith("cfs_") else "'元'")
     trigger, name = flag or ("false", "")
     return (
-        f"SELECT suppkey, entity, period, bs_total_assets - bs_total_liabilities - bs_total_equity AS apart, '{metric}' AS metric_id, {value} AS raw,"
+        f"SELECT suppkey, entity, period, bs_total_assets - bs_total_liabilities - bs_total_equity AS apart, '{metric}' AS metric_id, {_parts(top, over)},"
         f" CASE {tests}{zero} END AS operand, {'suppkey % 23 = 0' if mixed else 'false'} AS mixed, {unit} AS unit, {trigger} AS trigger_on, '{name}' AS flag_name FROM st"
     )
 
 
 COMPUTED = f"""{WITH}, tried AS (
   {" UNION ALL ".join(_computed(*m) for m in BY_HAND)}
-), judged AS (
+), {exact("tried", "shown")}, judged AS (
   SELECT *, CASE WHEN suppkey % 31 = 0 THEN 'reconcile:not_run' WHEN NOT coalesce(abs(apart) <= 0.01, false) THEN 'reconcile:balance_sheet_identity'
-    WHEN operand IS NOT NULL OR mixed THEN 'formula' END AS source FROM tried
+    WHEN operand IS NOT NULL OR mixed THEN 'formula' END AS source FROM shown
 )
-SELECT entity, period, metric_id, CASE WHEN source IS NULL THEN CAST(round(CAST(raw AS DECIMAL(28,10)), 6) AS DOUBLE) END AS value,
+SELECT entity, period, metric_id, 2 AS version, CASE WHEN source IS NULL THEN quotient END AS value,
   CASE WHEN source IS NULL THEN unit END AS unit,
   CASE WHEN source LIKE 'reconcile%' THEN 'RECONCILIATION_FAILED' WHEN operand IS NOT NULL THEN operand WHEN mixed THEN 'UNEVALUABLE_CONDITION' END AS refusal_code,
   source, CASE WHEN source IS NULL THEN CASE WHEN trigger_on THEN flag_name ELSE '' END END AS flags,

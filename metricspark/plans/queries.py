@@ -14,19 +14,18 @@ from metricspark.sources.statements import FIELDS, entity, statements, table
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.metric_values(statements(spark, sf_dir))
+    """Answers with values of ten places."""
+    return metrics.metric_values(statements(spark, sf_dir)).drop("value").withColumnRenamed("amount", "value")
 
 
 def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics of all entities and periods: value or typed refusal, and the flags."""
-    rows = values(spark, sf_dir).drop("suppkey", "version").withColumn("flags", F.array_join("flags", ","))
-    return rows.withColumn("value", F.round("value", 6).cast("double"))
+    """All metrics of all entities and periods: value, of 28 significant digits, or typed refusal, and the flags."""
+    return metrics.metric_values(statements(spark, sf_dir)).drop("suppkey", "amount").withColumn("flags", F.array_join("flags", ","))
 
 
 def computed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics as computations behind the reconciliation gate, with units and the state of flags."""
-    rows = metrics.computed_metrics(statements(spark, sf_dir)).withColumn("flags", F.array_join("flags", ","))
-    return rows.withColumn("value", F.round("value", 6).cast("double"))
+    return metrics.computed_metrics(statements(spark, sf_dir)).drop("amount").withColumn("flags", F.array_join("flags", ","))
 
 
 def metric_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +36,7 @@ def metric_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def debt_to_asset_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = tuple(d for d in DEFINITIONS if d.metric_id == "debt_to_asset_ratio")
-    out = metrics.metric_values(statements(spark, sf_dir), one)
-    return out.select("entity", "period", F.round("value", 6).cast("double").alias("value"), "refusal_code", "condition_index")
+    return metrics.metric_values(statements(spark, sf_dir), one).select("entity", "period", "value", "refusal_code", "condition_index")
 
 
 def statement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +140,9 @@ def company_name(code: Column) -> Column:
     return F.concat(F.lit("Co"), F.translate(code, "0123456789", "ABCDEFGHIJ"))
 
 
-def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claim_texts(v: DataFrame) -> DataFrame:
     """Synthetic texts on every computed value: some off, vague, by another name, by company, or in two sentences."""
-    v = values(spark, sf_dir).filter(F.col("value").isNotNull())
+    v = v.filter(F.col("value").isNotNull())
     shown = {d.metric_id: (d.display, d.aliases[0] if d.aliases else d.display) for d in DEFINITIONS}
     pick = lambda i: F.create_map(*(F.lit(x) for m, n in shown.items() for x in (m, n[i])))[F.col("metric_id")]
     kind = F.col("suppkey") % CLAIM_KINDS
@@ -163,10 +161,13 @@ def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = claim_texts(spark, sf_dir)
+    # Dealt by what claims are joined on: one exchange, written once, serves the texts and the join.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = values(spark, sf_dir).repartition(parts, "entity", "period", "metric_id")
+    texts = claim_texts(v)
     companies = table(spark, sf_dir, "supplier").select(entity(F.col("s_suppkey")).alias("code"))
     companies = companies.select(company_name(F.col("code")).alias("name"), "code")
-    judged = intent.claims(texts, values(spark, sf_dir), text.aliases(spark), companies, "claim_id")
+    judged = intent.claims(texts, v, text.aliases(spark), companies, "claim_id")
     return judged.select("claim_id", "pos", "read_as", "verdict", "inherited")
 
 
@@ -324,7 +325,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "metric_values": f"{METRICS} SELECT entity, period, metric_id, value, refusal_code, condition_index, flags FROM mv",
+    "metric_values": f"{METRICS} SELECT entity, period, metric_id, version, value, refusal_code, condition_index, flags FROM mv",
     "computed_metrics": COMPUTED,
     "metric_inputs": INPUTS,
     "debt_to_asset_ratio": f"{METRICS} SELECT entity, period, value, refusal_code, condition_index FROM mv WHERE metric_id = 'debt_to_asset_ratio'",

@@ -29,7 +29,7 @@ def test_definitions_load_from_files(spark, tmp_path):
     d = registry.compiled(rows)
     assert [x.metric_id for x in d] == ["equity_ratio"] and len(d[0].conditions) == 2
     got = metrics.metric_values(statements(spark, SMALL), d)
-    assert got.count() == 70 and got.filter("value > 0 OR refusal_code IS NOT NULL").count() > 0
+    assert got.count() == 70 and got.filter("amount > 0 OR refusal_code IS NOT NULL").count() > 0
 
 
 def test_vocabulary_needs_all_keys(spark, tmp_path):

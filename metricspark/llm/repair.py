@@ -142,78 +142,82 @@ SEGMENTS = (
 )
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of sorted rows of one conversation: a part of its signature and what can be counted within."""
-    types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
-    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in SEGMENTS.split(", ")])
-    out: list[dict] = []
-    now: dict | None = None
-    parts: list[str] = []
-    length = 0
-
-    def end() -> None:
-        nonlocal now, length
-        if now is not None:
-            out.append(now | {"signature": "".join(parts)})
-        parts.clear()
-        now, length = None, 0
-
-    def begin(r: dict, piece: int) -> dict:
-        at = {"key": r["key"], "known": r["turn"] is not None, "turn": r["turn"], "role": r["role"], "digest": r["digest"], "piece": piece}
-        counts = dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "turns"), 0)
-        return at | counts | {"first": r["initial"], "last": None, "first_turn": r["turn"], "last_turn": None, "low": r["turn"], "high": None}
+def segments(length: int):
+    """A function over sorted rows: stretches of one conversation with a part of its signature and what can be counted within."""
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            if now is not None and (now["key"] != r["key"] or length >= SEGMENT):
-                end()
-            gone = r["blank"] or r["again"]
-            left, piece = r["n"], 0
-            while left:
-                # A row that repeats very often ends segments of its own.
-                if now is not None and length >= SEGMENT:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+        schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in SEGMENTS.split(", ")])
+        out: list[dict] = []
+        now: dict | None = None
+        parts: list[str] = []
+        size = 0
+
+        def end() -> None:
+            nonlocal now, size
+            if now is not None:
+                out.append(now | {"signature": "".join(parts)})
+            parts.clear()
+            now, size = None, 0
+
+        def begin(r: dict, piece: int) -> dict:
+            at = {"key": r["key"], "known": r["turn"] is not None, "turn": r["turn"], "role": r["role"], "digest": r["digest"], "piece": piece}
+            counts = dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "turns"), 0)
+            return at | counts | {"first": r["initial"], "last": None, "first_turn": r["turn"], "last_turn": None, "low": r["turn"], "high": None}
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if now is not None and (now["key"] != r["key"] or size >= length):
                     end()
-                if now is None:
-                    now = begin(r, piece)
-                n = min(left, SEGMENT)
-                kept = not gone and piece == 0
-                letter = (r["initial"] if r["initial"] in ("s", "u", "a") else "o") if kept else "x"
-                parts.append((letter.upper() if kept and r["broken"] else letter) + "x" * (n - 1))
-                now["blank"] += n if r["blank"] else 0
-                now["duplicate"] += 0 if r["blank"] else n - kept
-                now["truncated"] += kept and r["broken"]
-                now["illegal"] += n - 1 + (now["last"] is not None and now["last"] + r["initial"] not in LEGAL)
-                now["turns"] += r["turn"] is not None and (now["last_turn"] is None or now["last_turn"] != r["turn"])
-                now["low"] = r["turn"] if now["low"] is None else now["low"]
-                now |= {"last": r["initial"], "last_turn": r["turn"], "high": r["turn"]}
-                length += n
-                left -= n
-                piece += 1
-        if len(out) >= 1024:
+                gone = r["blank"] or r["again"]
+                left, piece = r["n"], 0
+                while left:
+                    # A row that repeats very often ends segments of its own.
+                    if now is not None and size >= length:
+                        end()
+                    if now is None:
+                        now = begin(r, piece)
+                    n = min(left, length)
+                    kept = not gone and piece == 0
+                    letter = (r["initial"] if r["initial"] in ("s", "u", "a") else "o") if kept else "x"
+                    parts.append((letter.upper() if kept and r["broken"] else letter) + "x" * (n - 1))
+                    now["blank"] += n if r["blank"] else 0
+                    now["duplicate"] += 0 if r["blank"] else n - kept
+                    now["truncated"] += kept and r["broken"]
+                    now["illegal"] += n - 1 + (now["last"] is not None and now["last"] + r["initial"] not in LEGAL)
+                    now["turns"] += r["turn"] is not None and (now["last_turn"] is None or now["last_turn"] != r["turn"])
+                    now["low"] = r["turn"] if now["low"] is None else now["low"]
+                    now |= {"last": r["initial"], "last_turn": r["turn"], "high": r["turn"]}
+                    size += n
+                    left -= n
+                    piece += 1
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
+        end()
+        if out:
             yield pa.RecordBatch.from_pylist(out, schema)
-            out.clear()
-    end()
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
 
 
-def conversations(light: DataFrame) -> DataFrame:
+def conversations(light: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(key, signature, blank, duplicate, truncated, illegal, gaps) from light rows with ``again``."""
     initial = F.when(F.col("role") == "", " ").otherwise(F.left("role", F.lit(1)))
     rows = light.select("key", "turn", "role", "digest", "n", "blank", "broken", "again", initial.alias("initial"))
     order = ["key", "turn", "role", "digest"]
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_segments, SEGMENTS)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(segments(segment), SEGMENTS)
     own = [x.split()[0] for x in SEGMENTS.split(", ")[1:]]
-    segments = F.col("segments")
-    total = lambda c: F.aggregate(segments, F.lit(0).cast("long"), lambda a, x: a + x[c])
-    before = lambda i: F.get(segments, i - 1)
-    seams = F.size(F.filter(segments, lambda x, i: (i > 0) & ~F.concat(before(i)["last"], x["first"]).isin(*LEGAL)))
-    shared = F.size(F.filter(segments, lambda x, i: (i > 0) & (before(i)["last_turn"] == x["first_turn"])))
-    low, high = F.array_min(F.transform(segments, lambda x: x["low"])), F.array_max(F.transform(segments, lambda x: x["high"]))
+    parts_of = F.col("segments")
+    total = lambda c: F.aggregate(parts_of, F.lit(0).cast("long"), lambda a, x: a + x[c])
+    before = lambda i: F.get(parts_of, i - 1)
+    seams = F.size(F.filter(parts_of, lambda x, i: (i > 0) & ~F.concat(before(i)["last"], x["first"]).isin(*LEGAL)))
+    shared = F.size(F.filter(parts_of, lambda x, i: (i > 0) & (before(i)["last_turn"] == x["first_turn"])))
+    low, high = F.array_min(F.transform(parts_of, lambda x: x["low"])), F.array_max(F.transform(parts_of, lambda x: x["high"]))
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("segments"))
     return whole.select(
         "key",
-        F.array_join(F.transform(segments, lambda x: x["signature"]), "").alias("signature"),
+        F.array_join(F.transform(parts_of, lambda x: x["signature"]), "").alias("signature"),
         *(total(c).alias(c) for c in ("blank", "duplicate", "truncated")),
         (total("illegal") + seams).alias("illegal"),
         F.coalesce(high - low + 1 - (total("turns") - shared), F.lit(0)).cast("long").alias("gaps"),
@@ -230,7 +234,7 @@ def own_rows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
 
 
 def repair(
-    df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT
 ) -> tuple[DataFrame, DataFrame]:
     """(audits, repaired) of conversations.
 
@@ -245,7 +249,7 @@ def repair(
     """
     rows = own_rows(df, conv_col, turn_col, role_col, text_col)
     light = cut(light_rows(rows))
-    found = cut(conversations(marked(light)))
+    found = cut(conversations(marked(light), segment))
     solved = found.select("signature").distinct().mapInArrow(_solve, "signature string, cost long, audit string")
     audits = cut(join_salted(found, solved, ["signature"], "inner").drop("signature"))
     return audits, replayed(rows, audits)

@@ -35,9 +35,39 @@ def discard(*tables: DataFrame | None) -> None:
     """Remove tables made by ``cut`` that no later plan reads."""
     for t in tables:
         if t is not None:
-            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            path = jvm.org.apache.hadoop.fs.Path(t.written_at)
-            path.getFileSystem(conf).delete(path, True)
+            remove(t.sparkSession, t.written_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def own(*columns: str) -> list[Column]:
+    """Columns by their whole names, which may hold dots and backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def mapped(df: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` of df to its own columns, whatever they are called."""
+    names, plain = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    called = lambda batch, names: pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(called(b, names) for b in batches):
+            yield called(batch, plain)
+
+    rows = df.toDF(*plain)
+    return rows.mapInArrow(renamed, rows.schema).toDF(*names)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """The name, or a longer one, that no column of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,8 +89,8 @@ def join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, salt
     Left rows are dealt over ``salts`` values, right rows are repeated for each of
     them, so that no task gets all rows of a key.
     """
-    salt = "__salt"
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    salt = unused("__salt", left, right)
+    spread = F.pmod(F.xxhash64(*own(*left.columns)), F.lit(salts)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     out = left.withColumn(salt, spread).join(right.withColumn(salt, copies), [*on, salt], how)
     return out if keep_salt else out.drop(salt)
@@ -72,17 +102,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 4096) -> D
     Keys with more than ``most`` left rows are dealt over as many parts as that takes; only
     their right rows are repeated, once for each part.
     """
-    count = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    hot = cut(count.select(key, F.ceil(F.col("n") / most).cast("int").alias("__parts")))
+    n, many, part = (unused(c, left, right) for c in ("__n", "__parts", "__part"))
+    count = left.groupBy(*own(key)).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > most)
+    hot = cut(count.select(*own(key), F.ceil(F.col(n) / most).cast("int").alias(many)))
     if hot.isEmpty():
         discard(hot)
         return left.join(right, key)
-    parts = F.coalesce("__parts", F.lit(1))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")
-    left = join_salted(left, hot, [key], "left").withColumn("__part", spread).drop("__parts")
+    parts = F.coalesce(many, F.lit(1))
+    spread = F.pmod(F.xxhash64(*own(*left.columns)), parts).cast("int")
+    left = join_salted(left, hot, [key], "left").withColumn(part, spread).drop(many)
     copies = F.explode(F.sequence(F.lit(0), parts - 1))
-    right = right.join(hot, key, "left").withColumn("__part", copies).drop("__parts")
-    return left.join(right, [key, "__part"]).drop("__part")
+    right = right.join(hot, key, "left").withColumn(part, copies).drop(many)
+    return left.join(right, [key, part]).drop(part)
 
 
 def one_of_each(df: DataFrame, keys: list[Column], order: Column | None = None) -> DataFrame:
@@ -92,18 +123,20 @@ def one_of_each(df: DataFrame, keys: list[Column], order: Column | None = None)
     first, from the keys alone; only their rows are shuffled.
     """
     key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    count = df.select(F.xxhash64(key).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
-    again = cut(count.filter("n > 1").select("__key"))
+    mark, whole = unused("__key", df), unused("__whole", df)
+    count = df.select(F.xxhash64(key).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    again = cut(count.filter("n > 1").select(F.col("key").alias(mark)))
     if again.isEmpty():
         discard(again)
         return df
-    rows = df.withColumn("__key", F.xxhash64(key))
-    alone = rows.join(again, "__key", "left_anti").select(df.columns)
-    several = rows.join(again, "__key", "left_semi").withColumn("__whole", key)
-    whole = F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() != "map"])
-    first = F.min_by(F.struct(*df.columns), whole if order is None else F.struct(order.alias("order"), whole.alias("whole")))
+    columns = own(*df.columns)
+    rows = df.withColumn(mark, F.xxhash64(key))
+    alone = rows.join(again, mark, "left_anti").select(columns)
+    several = rows.join(again, mark, "left_semi").withColumn(whole, key)
+    hashed = F.xxhash64(*(c for c, f in zip(columns, df.schema.fields) if f.dataType.typeName() != "map"))
+    first = F.min_by(F.struct(*columns), hashed if order is None else F.struct(order.alias("order"), hashed.alias("whole")))
     # Map-side aggregation leaves one row for each key and task, however often it repeats.
-    return alone.unionByName(several.groupBy("__whole").agg(first.alias("r")).select("r.*"))
+    return alone.unionByName(several.groupBy(whole).agg(first.alias("r")).select("r.*"))
 
 
 def bucket(column: Column, modulus: int) -> Column:

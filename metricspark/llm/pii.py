@@ -14,6 +14,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from metricspark.llm.common import mapped
+
 #: Kinds in the order in which spans with one start are listed; the first four are the
 #: base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
@@ -184,4 +186,4 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
             clean = [t and redacted(t, spans(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricspark.llm.arrays import LETTER, NUMBER, OTHER, SPACE, classes, code_points, mix, slices, words
-from metricspark.llm.common import cut
+from metricspark.llm.common import cut, mapped
 
 #: Score at and above which a document is accepted.
 ACCEPT = 0.7
@@ -210,4 +210,4 @@ def accepted(df: DataFrame, model: Ranking | None, text_col: str = "text") -> Da
                 good = model.score(features(texts[i:j])) >= ACCEPT
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return df if model is None else df.mapInArrow(run, df.schema)
+    return df if model is None else mapped(df, run)

@@ -10,14 +10,14 @@ from metricspark.llm import queries as Q
 from metricspark.llm.bpe import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
-DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, `key` string, sketch binary, kept string, score string, label string"
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, `key` string, sketch binary, kept string, score string, label string, `__key` string, `__whole` string, `a.b` string"
 LONG = "word and other words of a very long text " * 20_000
 TEXTS = [(1, "one two three four five six seven"), (2, None), (3, ""), (4, " \n\t "), (5, "ONE two three four five six seven"), (1, "one two three four five six seven"), (None, "one two three four five six seven"), (6, LONG), (7, "a@b.co 10.0.0.1"), (8, LONG)]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(*r, None, None, None, 9, 9, "k", b"s", "x", "x", "x") for r in TEXTS], DOCUMENT)
+    return spark.createDataFrame([(*r, None, None, None, 9, 9, "k", b"s", "x", "x", "x", "own key", "own whole", "dotted") for r in TEXTS], DOCUMENT)
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +92,8 @@ def test_stages(spark, odd):
             assert {r["doc_id"] for r in stage(spark, docs, SMALL).collect()} == {None, *range(1, 9)}
             continue
         assert stage(spark, docs, SMALL).columns == odd.columns
+        kept = stage(spark, docs, SMALL).select("__key", "__whole", "`a.b`").distinct().collect()
+        assert [tuple(r) for r in kept] == [("own key", "own whole", "dotted")], name
         assert stage(spark, docs.limit(0), SMALL).count() == 0
     assert sorted(r["doc_id"] for r in corpus_pipeline.exact(spark, docs, SMALL).collect()) == [1, 4, 5, 6, 7]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metricspark.llm import exact_dedup, packing, pii, quality, set_join
 from metricspark.llm.bpe import tokenizer_path
-from metricspark.llm.common import bucket, labelled_sample, one_of_each, shared_folder, table
+from metricspark.llm.common import bucket, labelled_sample, one_of_each, own, remove, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     gone = set_join.jaccard_join(docs).filter(~F.col("kept")).select("doc_id", F.col("text_key").alias("gone_text"))
     same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["gone_text"])
-    left = docs.join(gone, same, "left_anti").select(docs.columns)
+    left = docs.join(gone, same, "left_anti").select(own(*docs.columns))
     return one_of_each(left, [F.col("doc_id"), F.col("text")])
 
 
@@ -84,10 +84,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read again."""
+    """All stages over ``documents``; each is written as Parquet and read again, and removed once the next is written."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -177,12 +177,28 @@ def coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("nature").agg(n("code").alias("entities"), n("code", "year").alias("periods"), n("fixture").alias("fixtures"))
 
 
+def set_digest(items: DataFrame, column: str) -> DataFrame:
+    """(n, sha256): how many distinct values there are, and the digest of their set, whatever the order and partitions.
+
+    Values are dealt over 65536 parts by their own digests. A part's digest is that of its
+    sorted values' digests, 256 parts' digests make one of the next level, and 256 of those
+    the last: no row holds more than a part. No values have the digest of no text.
+    """
+    digest = F.sha2(F.col(column).cast("string"), 256)
+    rows = items.filter(F.col(column).isNotNull()).select(digest.alias("d")).distinct()
+    level = rows.groupBy(F.left("d", F.lit(4)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("d")), "").alias("all"))
+    level = level.select("part", "n", F.sha2("all", 256).alias("d"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "")
+    level = level.groupBy(F.left("part", F.lit(2)).alias("up")).agg(F.sum("n").alias("n"), listed.alias("all")).select(F.col("up").alias("part"), "n", F.sha2("all", 256).alias("d"))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.coalesce(listed, F.lit("")), 256).alias("sha256"))
+
+
 def entities(names: DataFrame) -> DataFrame:
-    """One row: how many companies and names are known, how many of them synthetic, and the digest of the sorted names."""
-    listed = F.array_sort(F.collect_set("name"))
+    """One row: how many companies and names are known, how many of them synthetic, and the digest of the set of names."""
     code = lambda t: F.count_distinct(F.when(t, F.col("code")))
-    out = names.agg(listed.alias("names"), code(F.lit(True)).alias("entities"), code(F.col("nature") == "synthetic").alias("synthetic"))
-    return out.select("entities", F.size("names").alias("name_count"), "synthetic", F.sha2(F.to_json("names"), 256).alias("sha256"))
+    out = names.agg(code(F.lit(True)).alias("entities"), code(F.col("nature") == "synthetic").alias("synthetic"))
+    told = set_digest(names, "name").select(F.col("n").alias("name_count"), "sha256")
+    return out.crossJoin(told).select("entities", "name_count", "synthetic", "sha256")  # a row of each
 
 
 def with_derived(record: Column, there: Column, derived: Column) -> Column:

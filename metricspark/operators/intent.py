@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricspark.operators import numbers
+from metricspark.operators import lookup, model, numbers
 from metricspark.operators.text import named, near_misses, segments
 
 #: Characters that end a company's name, and what may follow it without making it another's.
@@ -31,22 +31,17 @@ def holds_any(text: Column, words: tuple[str, ...]) -> Column:
 def companies_in(texts: DataFrame, companies: DataFrame, names: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, names, codes, doubt) of the rows of texts that name a company of ``companies`` (name, code).
 
-    Every stretch of a text that is as long as some name is looked up by an equality
-    join, so texts are never met with all names; the lengths of names are few. A name
+    Candidates come from an index of the names' rarest grams and are looked for in the
+    texts that have any. Of a name with several codes the first counts. A name
     inside another one found is left out. With one code, doubt is PREFIX if the name
     follows an ideograph that is no boundary, SUFFIX if what follows is no boundary, no
-    form of organisation and no metric's name.
+    form of organisation and no metric's name. Keys are distinct; null and empty texts name nothing.
     """
-    lengths = [r[0] for r in companies.select(F.length("name").alias("n")).filter("n > 0").distinct().collect()]
-    text = F.col(text_col)
-    places = F.explode(F.sequence(F.lit(1), F.length(text))).alias("at")
-    stretches = texts.filter(F.length(text) > 0).select(key, text.alias("text"), places)
-    stretches = stretches.withColumn("n", F.explode(F.array(*(F.lit(n) for n in lengths)).cast("array<int>")))
-    stretches = stretches.filter(F.col("at") + F.col("n") <= F.length("text") + 1)
-    stretches = stretches.select(key, "text", "at", F.expr("substring(text, at, n)").alias("name"))
-    found = stretches.join(companies.filter(F.col("code").isNotNull()), "name").groupBy(key, "name")
-    found = found.agg(F.min("at").alias("at"), F.first("code").alias("code"), F.first("text").alias("text"))
-    hits = found.groupBy(key).agg(F.first("text").alias("text"), F.collect_list(F.struct("name", "at", "code")).alias("hits"))
+    coded = companies.filter(F.col("code").isNotNull()).groupBy("name").agg(F.min("code").alias("code"))
+    rows = lookup.candidates(texts.select(F.col(key).alias("key"), F.col(text_col).alias("text")), coded.select("name", "code"), ["code"])
+    rows = texts.select(key, F.col(text_col).alias("text")).join(rows.withColumnRenamed("key", key), key)
+    there = F.filter(F.transform("names", lambda x: F.struct(x["name"].alias("name"), F.instr(F.col("text"), x["name"]).alias("at"), x["code"].alias("code"))), lambda x: x["at"] > 0)
+    hits = rows.select(key, "text", there.alias("hits")).filter(F.size("hits") > 0)
     whole = F.filter("hits", lambda x: ~F.exists("hits", lambda y: (y["name"] != x["name"]) & F.contains(y["name"], x["name"])))
     hits = hits.withColumn("hits", whole)
     listed = names.agg(F.collect_list("alias").alias("aliases"))
@@ -73,18 +68,25 @@ def intents(
     companies: DataFrame | None,
     key: str,
     text_col: str = "text",
-    ask: Callable[[Column], Column] | None = None,
+    ask: Callable[[Column], Column] | model.Ask | None = None,
     blanks: bool = False,
+    model_limits: dict | None = None,
 ) -> DataFrame:
     """Rows of texts with metric_id, alias, display, resolved_by, entity, period, refusal_code and reason.
 
     In this order refuse: a metric's name that is another's end; no name, unless ``ask``
-    gives an existing one; several codes, or without codes a company in doubt, several
+    gives an existing one: an expression of the text, or with ``model_limits`` (see
+    ``model.answered``) a function that is called for the distinct texts without a name; several codes, or without codes a company in doubt, several
     companies or none; no year, or several. Keys are distinct. Without ``companies`` texts
     has named_codes and doubt already.
     """
     found = near_misses(named(texts, names, text_col, [key]), names, text_col, blanks)
     text = F.col(text_col)
+    if ask is not None and model_limits is not None:
+        unnamed = found.filter(F.col("alias").isNull() & F.col("near").isNull())
+        told = model.guesses(unnamed, names, ask, text_col, **model_limits).select(F.col("text").alias("asked_text"), F.col("guess").alias("model_said"))
+        found = found.join(told, F.col("alias").isNull() & (text == F.col("asked_text")), "left").drop("asked_text")
+        ask = lambda _: F.col("model_said")
     if ask is None:
         found = found.withColumn("resolved_by", F.when(F.col("alias").isNotNull(), "alias_table"))
     else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metricspark.operators import lookup
+
 #: Layers of a failure, and where each refusal code and each other kind of failure belongs.
 INTENT, RETRIEVAL, DEFINITION, COMPUTATION, PRESENTATION = "意图层", "检索层", "口径层", "计算层", "表达层"
 LAYERS = (INTENT, RETRIEVAL, DEFINITION, COMPUTATION, PRESENTATION)
@@ -196,18 +198,30 @@ def hints(cases: DataFrame) -> DataFrame:
 
 
 def leaks(packets: DataFrame, probes: DataFrame) -> DataFrame:
-    """(packet_id, probe): texts of judging that show in a packet's page. packets: packet_id, page, body; probes: packet_id, page, probe.
+    """(packet_id, page, probe): texts of judging that show in a packet of their page. packets: page, packet_id, body; probes: packet_id, page, probe.
 
-    Pages are those of one review; each probe is looked for in all packets of its page.
+    A probe is looked for in each body of its page, whoever's packet that is; bodies are
+    cut into grams and only those that share a probe's rarest one are read. Empty and null probes show nowhere.
     """
-    page = packets.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("body")), "\n").alias("text"))
-    rows = probes.filter(F.length("probe") > 0).join(page, "page")
-    return rows.filter(F.contains("text", F.col("probe"))).select("packet_id", "probe")
+    said = probes.filter(F.length("probe") > 0).select("page", F.col("probe").alias("name")).distinct()
+    bodies = packets.select(F.struct("page", "packet_id", F.xxhash64("body").alias("body")).alias("key"), "page", F.col("body").alias("text")).dropDuplicates(["key"])
+    found = bodies.join(lookup.candidates(bodies, said, [], ("page",)).drop("page"), "key").select("page", "text", F.explode("names").alias("x"))
+    shown = found.filter(F.contains("text", F.col("x.name"))).select("page", F.col("x.name").alias("probe")).distinct()
+    return probes.join(shown, ["page", "probe"]).select("packet_id", "page", "probe")
 
 
 def shuffled(packets: DataFrame, key: str, seed: int) -> DataFrame:
-    """packets of one review, some dozens, with ``place``, an order set by a seed: the same on every run."""
-    return packets.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)))
+    """packets with ``place`` from 1, in the order of a digest of seed and key, then of the key: the same on every run.
+
+    Rows are numbered in 4096 parts by the digest's first letters; a part's first number
+    follows from the sizes of those before it, so no task has more than a part.
+    """
+    rows = packets.withColumn("digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).withColumn("part", F.left("digest", F.lit(3)))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("digest", key))
+    placed = rows.withColumn("own", own).join(F.broadcast(sizes.select("part", before.alias("before"))), "part")  # 4096 rows
+    return placed.select(*packets.columns, (F.col("before") + F.col("own")).cast("long").alias("place"))
 
 
 def reviewed(packets: DataFrame, results: DataFrame, sheet: DataFrame) -> DataFrame:

@@ -37,13 +37,13 @@ def lines(words: DataFrame, gap: float = 3.0, between: str = "") -> DataFrame:
     """
     word = F.struct("top", "x0", "x1", "text")
     pages = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(word)).alias("w"))
-    walk = f"""aggregate(w, named_struct('first', CAST(NULL AS DOUBLE), 'n', -1, 'line', CAST(array() AS ARRAY<INT>)),
+    walk = f"""aggregate(w, named_struct('first', CAST(NULL AS DOUBLE), 'n', 0, 'starts', CAST(array() AS ARRAY<INT>)),
       (a, x) -> IF(a.first IS NULL OR x.top - a.first > {gap},
-        named_struct('first', x.top, 'n', a.n + 1, 'line', array_append(a.line, a.n + 1)),
-        named_struct('first', a.first, 'n', a.n, 'line', array_append(a.line, a.n)))).line"""
-    placed = pages.selectExpr("doc", "page", "w", f"{walk} AS line").selectExpr("doc", "page", "inline(arrays_zip(w, line))")
-    placed = placed.selectExpr("doc", "page", "CAST(line AS BIGINT) AS line", "named_struct('x0', w.x0, 'text', w.text, 'x1', w.x1, 'top', w.top) AS w")
-    rows = placed.groupBy("doc", "page", "line").agg(F.array_sort(F.collect_list("w")).alias("words"))
+        named_struct('first', x.top, 'n', a.n + 1, 'starts', array_append(a.starts, a.n)),
+        named_struct('first', a.first, 'n', a.n + 1, 'starts', a.starts))).starts"""
+    cut = "transform(starts, (s, i) -> slice(w, s + 1, coalesce(get(starts, i + 1), size(w)) - s))"
+    rows = pages.selectExpr("doc", "page", "w", f"{walk} AS starts").selectExpr("doc", "page", f"posexplode({cut}) AS (line, own)")
+    rows = rows.selectExpr("doc", "page", "CAST(line AS BIGINT) AS line", "array_sort(transform(own, w -> named_struct('x0', w.x0, 'text', w.text, 'x1', w.x1, 'top', w.top))) AS words")
     text = F.array_join(F.transform("words", lambda w: w["text"]), between)
     return rows.select("doc", "page", "line", F.get("words", F.lit(0))["top"].alias("y"), text.alias("text"), "words")
 
@@ -113,6 +113,14 @@ def role_of(header: Column, year: Column) -> Column:
     return F.when(period == year, "本期金额").when(period == before, "上期金额").otherwise(out)
 
 
+def columns(words: Column, year: Column) -> Column:
+    """The columns (header, role, x0, x1) of a header line's words."""
+    return F.transform(
+        F.filter(words, lambda w: w["text"] != HEADER),
+        lambda w: F.struct(w["text"].alias("header"), role_of(w["text"], year).alias("role"), w["x0"].alias("x0"), w["x1"].alias("x1")),
+    )
+
+
 def headers(line_rows: DataFrame, anchors: DataFrame, year: str = "year") -> DataFrame:
     """(doc, page, y, unit, currency, columns, label_max_x, problem) of the sheet below each anchor (doc, page, y, ``year``).
 
@@ -132,11 +140,7 @@ def headers(line_rows: DataFrame, anchors: DataFrame, year: str = "year") -> Dat
         head.alias("h"), F.min_by(unit, F.when(unit.isNotNull(), F.col("nth"))).alias("unit"), F.min_by(currency, F.when(currency.isNotNull(), F.col("nth"))).alias("currency")
     )
     found = own.join(found, ["doc", "page", "anchor_y", "year"], "left")
-    columns = F.transform(
-        F.filter("h.words", lambda w: w["text"] != HEADER),
-        lambda w: F.struct(w["text"].alias("header"), role_of(w["text"], F.col("year")).alias("role"), w["x0"].alias("x0"), w["x1"].alias("x1")),
-    )
-    found = found.withColumn("columns", columns)
+    found = found.withColumn("columns", columns(F.col("h.words"), F.col("year")))
     roles = F.filter(F.transform("columns", lambda c: c["role"]), lambda r: r.isNotNull())
     problem = (
         F.when(F.col("h").isNull(), "no_header")
@@ -156,13 +160,13 @@ def split(line_rows: DataFrame, label_max_x: Column) -> DataFrame:
     return rows.filter((F.col("label") != "") | (F.size("cells") > 0))
 
 
-def stitched(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows in which a label, amounts alone and a label on one page are one row with two lines of label.
+def stitched(rows: DataFrame, order: list[str], within: tuple[str, ...] | list[str] = ("doc",), keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(*within, page, y, labels, cells, *keep): rows in which a label, amounts alone and a label on one page are one row with two lines of label.
 
     Such triples may share a label line; of a chain of them every other one counts, from
     the first on, as if rows were taken one after the other.
     """
-    w = Window.partitionBy("doc").orderBy(*order)
+    w = Window.partitionBy(*within).orderBy(*order)
     label_only = (F.col("label") != "") & (F.size("cells") == 0)
     cells_only = (F.col("label") == "") & (F.size("cells") > 0)
     rows = rows.withColumn("label_only", label_only).withColumn("n", F.row_number().over(w))
@@ -171,7 +175,7 @@ def stitched(rows: DataFrame, order: list[str]) -> DataFrame:
     rows = rows.withColumn("begins", F.coalesce(begins, F.lit(False)))
     # A chain: triples that begin two rows apart. Of each chain the first, third, ... count.
     heads = rows.withColumn("before", F.coalesce(F.lag("begins", 2).over(w), F.lit(False)))
-    head = F.max(F.when(F.col("begins") & ~F.col("before"), F.col("n"))).over(Window.partitionBy("doc", F.col("n") % 2).orderBy("n"))
+    head = F.max(F.when(F.col("begins") & ~F.col("before"), F.col("n"))).over(Window.partitionBy(*within, F.col("n") % 2).orderBy("n"))
     heads = heads.withColumn("taken", F.col("begins") & ((F.col("n") - head) % 4 == 0))
     second = F.coalesce(F.lag("taken", 1).over(w), F.lit(False))
     third = F.coalesce(F.lag("taken", 2).over(w), F.lit(False))
@@ -180,7 +184,7 @@ def stitched(rows: DataFrame, order: list[str]) -> DataFrame:
     out = out.withColumn("gone", second | third)
     place = lambda c: F.when(F.col("taken"), F.lead(c, 1).over(w)).otherwise(F.col(c))
     out = out.withColumn("at", place("y"))
-    return out.filter(~F.col("gone")).select("doc", "page", F.col("at").alias("y"), "labels", F.col("values").alias("cells"))
+    return out.filter(~F.col("gone")).select(*within, "page", F.col("at").alias("y"), "labels", F.col("values").alias("cells"), *keep)
 
 
 def matched(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -267,7 +271,7 @@ def restated(line_rows: DataFrame, anchors: DataFrame, section: str, headers: tu
     hit = F.lit(False)
     for h in headers:
         hit = hit | F.contains(visible(F.col("text")), F.lit(h))
-    found = within(line_rows, spans(anchors)).filter((F.col("title") == section) & hit).orderBy("page").groupBy("doc")
+    found = within(line_rows, spans(anchors)).filter((F.col("title") == section) & hit).groupBy("doc")
     found = found.agg(F.array_sort(F.collect_set("page")).alias("pages"))
     rows = docs.join(counts, "doc", "left").join(found, "doc", "left")
     one = F.coalesce(F.col("n"), F.lit(0)) == 1

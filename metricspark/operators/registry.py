@@ -6,6 +6,7 @@ where a step needs them on the driver it says so. What they are applied to is no
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from decimal import Decimal
@@ -29,15 +30,61 @@ ENFORCERS = ("undefined_conditions", "comparability_flags", "derivation", "sign_
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """Definitions, one JSON object a file, of a folder: SCHEMA, the file's name and ``parse_error``.
+    """Definitions, one a file of JSON or YAML, of a folder, as ``parsed`` gives them.
 
-    Files whose names begin with ``_`` are left out. A file that is no such object gives a
-    row whose ``parse_error`` is its text; nothing is raised.
+    Files whose names begin with ``_`` are left out.
     """
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="[!_]*.json").withColumn("path", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    parsed = F.from_json("value", f"{SCHEMA}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = raw.withColumn("d", parsed)
-    return rows.select("path", "d.*").withColumnRenamed("_corrupt_record", "parse_error").orderBy("path")
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="[!_]*.{json,yaml,yml}")
+    return parsed(files.select(F.col("_metadata.file_name").alias("path"), "value")).orderBy("path")
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """path, SCHEMA and ``parse_error`` of files (path, value), told apart by the ends of their paths.
+
+    A file that is no definition gives a row whose ``parse_error`` is its text; nothing is raised.
+    """
+    text = F.when(F.endswith("path", F.lit(".json")), F.col("value")).otherwise(_of_yaml(F.col("value")))
+    read = F.from_json("text", f"{SCHEMA}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = files.withColumn("text", text).withColumn("d", F.when(F.col("text").isNotNull(), read))
+    error = F.when(F.col("text").isNull(), F.col("value")).otherwise(F.col("d._corrupt_record"))
+    return rows.select("path", "d.*", error.alias("parse_error")).drop("_corrupt_record")
+
+
+def of_yaml(text: str | None) -> str | None:
+    """A definition in YAML as JSON of the form SCHEMA; null if it can't be read. What is no mapping is an empty definition."""
+    import yaml
+
+    try:
+        raw = yaml.safe_load(text or "")
+    except yaml.YAMLError:
+        return None
+    raw = raw if isinstance(raw, dict) else {}
+    listed = lambda key: [e for e in raw.get(key) or [] if isinstance(e, dict)] if isinstance(raw.get(key), list) else []
+    said = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
+    derivation = raw.get("derivation") if isinstance(raw.get("derivation"), dict) else None
+    version = raw.get("version")
+
+    def field(e: dict) -> dict:
+        values = e.get("enum_values")
+        kind = "number" if values is None else "boolean" if values and all(isinstance(v, bool) for v in values) else "enum"
+        missing = (said(e["missing_representation"]) or "null") if "missing_representation" in e else None
+        return {"id": said(e.get("id")), "sign": said(e.get("sign_convention")), "missing": missing, "kind": kind, "values": values and [said(v) for v in values]}
+
+    out = {
+        "metric_id": said(raw.get("metric_id")), "display_name": said(raw.get("display_name")), "aliases": [said(a) for a in raw.get("aliases") or []],
+        "version": version if type(version) is int else None, "formula": (said(raw.get("formula")) or "").strip() or None, "fields": [field(e) for e in listed("source_fields")],
+        "conditions": [{"expr": said(e.get("expr")), "reason": said(e.get("reason"))} if isinstance(e, dict) else {"expr": None, "reason": said(e)} for e in raw.get("undefined_conditions") or []],
+        "flags": [{"name": said(e.get("name")), "trigger": said(e.get("trigger"))} for e in listed("flags")] if "flags" in raw else None,
+        "basis": [{"name": said(e.get("name")), "version": said(e.get("version"))} for e in listed("standard_basis")],
+        "derivation": derivation and {"allow": derivation.get("allow_from_components") if isinstance(derivation.get("allow_from_components"), bool) else None, "note": said(derivation.get("note"))},
+        "pitfalls": [{"text": said(e.get("text")), "enforced_by": said(e.get("enforced_by")), "advisory": e.get("advisory_only") is True} for e in listed("common_pitfalls")],
+    }
+    return json.dumps(out, ensure_ascii=False)
+
+
+def _of_yaml(text: Column) -> Column:
+    """Catalogues are small; YAML has no reader in Spark."""
+    return F.udf(of_yaml, "string", useArrow=True)(text)
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,16 +40,22 @@ def company(code: Column) -> Column:
     return F.concat(F.lit("Co"), F.translate(code, "0123456789", "ABCDEFGHIJ"))
 
 
+#: Names that questions use, in a fixed order.
+SAID = sorted((a, d.metric_id) for d in DEFINITIONS for a in (d.display, *d.aliases))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question for each order: by code or name, in doubt, on several, of no period, of no metric."""
+    """One question for each order, on the suppliers of its lines, its year and, by its customer, a metric: by code or name, in doubt, on several, of no period, of no metric."""
     kind = F.col("o_orderkey") % 12
-    code = entity(F.col("o_orderkey") % 8 + 1)
-    second = entity(F.col("o_orderkey") % 8 + 2)
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
+    code, second = entity(F.col("a")), entity(F.col("b"))
     who = F.when(kind == 1, company(code)).when(kind == 2, F.concat(F.lit("南"), company(code))).when(kind == 3, F.concat(company(code), F.lit("集团"))).when(kind == 4, F.concat(company(code), F.lit("股份有限公司")))
     who = who.when(kind == 5, F.concat(company(code), F.lit(" "), company(second))).when(kind == 6, F.concat(code, F.lit(" "), second)).when(kind == 7, F.lit("someone")).otherwise(code)
-    year = F.when(kind == 8, F.lit("")).when(kind == 9, F.lit("1996年 1997年 ")).otherwise("1996年 ")
-    metric = F.when(kind == 10, F.lit("weather")).when(kind == 11, F.lit("bearing debt ratio")).otherwise("asset turnover")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(who, F.lit(" "), year, metric).alias("text"))
+    year = F.concat(F.year("o_orderdate").cast("string"), F.lit("年 "))
+    year = F.when(kind == 8, F.lit("")).when(kind == 9, F.concat(year, (F.year("o_orderdate") + 1).cast("string"), F.lit("年 "))).otherwise(year)
+    name = F.element_at(F.array(*(F.lit(a) for a, _ in SAID)), (F.col("o_custkey") % len(SAID) + 1).cast("int"))
+    metric = F.when(kind == 10, F.lit("weather")).when(kind == 11, F.lit("bearing debt ratio")).otherwise(name)
+    return table(spark, sf_dir, "orders").join(own, "o_orderkey").select(F.col("o_orderkey").alias("k"), F.concat(who, F.lit(" "), year, metric).alias("text"))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +71,7 @@ def company_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from a question to a value or a typed refusal."""
     read = intent.intents(asked(spark, sf_dir), text.aliases(spark), companies(spark, sf_dir), "k")
-    one = tuple(d for d in DEFINITIONS if d.metric_id == "total_asset_turnover")
-    found = intent.answers(read, metrics.metric_values(statements(spark, sf_dir), one))
+    found = intent.answers(read, metrics.metric_values(statements(spark, sf_dir)))
     return found.select("k", "metric_id", "entity", "period", "value", "refusal_code", "reason")
 
 
@@ -160,9 +165,15 @@ QUERIES = {
 
 O = "FROM (SELECT o_orderkey AS k FROM orders)"
 XY = "WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 4 * 1.5 END AS x, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS y FROM orders)"
-REASONS = "[NULL, NULL, 'name_prefix', 'name_suffix', NULL, 'many_entities', 'many_entities', 'no_entity', 'no_period', 'many_periods', 'no_metric', 'near_miss'][k % 12 + 1]"
-ANSWERED = f"""{METRICS}, q AS (SELECT k, lpad(CAST(k % 8 + 1 AS VARCHAR), 6, '0') AS code, {REASONS} AS reason {O}),
-a AS (SELECT k, CASE k % 12 WHEN 10 THEN NULL WHEN 11 THEN 'debt_to_asset_ratio' ELSE 'total_asset_turnover' END AS metric_id, CASE WHEN reason IS NULL THEN code END AS entity, CASE WHEN reason IS NULL THEN 1996 END AS period, reason FROM q),
+ASKED = f"""q AS (
+  SELECT o_orderkey AS k, o_orderkey % 12 AS kind, year(o_orderdate) AS y, lpad(CAST(min(l_suppkey) AS VARCHAR), 6, '0') AS a, lpad(CAST(max(l_suppkey) AS VARCHAR), 6, '0') AS b,
+    [{", ".join(f"'{m}'" for _, m in SAID)}][o_custkey % {len(SAID)} + 1] AS m
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_custkey
+)"""
+ANSWERED = f"""{METRICS}, {ASKED}, r AS (
+  SELECT *, CASE WHEN kind = 2 THEN 'name_prefix' WHEN kind = 3 THEN 'name_suffix' WHEN kind IN (5, 6) AND a <> b THEN 'many_entities' WHEN kind = 7 THEN 'no_entity' WHEN kind = 8 THEN 'no_period'
+    WHEN kind = 9 THEN 'many_periods' WHEN kind = 10 THEN 'no_metric' WHEN kind = 11 THEN 'near_miss' END AS reason FROM q
+), a AS (SELECT k, CASE kind WHEN 10 THEN NULL WHEN 11 THEN 'debt_to_asset_ratio' ELSE m END AS metric_id, CASE WHEN reason IS NULL THEN a END AS entity, CASE WHEN reason IS NULL THEN y END AS period, reason FROM r),
 f AS (SELECT a.*, mv.value, coalesce(CASE WHEN reason IN ('no_metric', 'near_miss') THEN 'METRIC_NOT_DEFINED' WHEN reason IS NOT NULL THEN 'INTENT_INCOMPLETE' END, CASE WHEN mv.metric_id IS NULL THEN 'UNAVAILABLE' END, mv.refusal_code) AS refusal_code
   FROM a LEFT JOIN mv ON mv.entity = a.entity AND mv.period = a.period AND mv.metric_id = a.metric_id)"""
 ORACLES = {
@@ -172,8 +183,8 @@ CASE WHEN x IS NULL THEN NULL WHEN x > 2 THEN false ELSE y IS NOT NULL END AS ne
         *((m, "restated", "false") for m in ("current_ratio", "debt_to_asset_ratio", "gross_profit_margin", "net_profit_attributable_excl_nonrecurring", "net_profit_margin_attributable", "net_working_capital", "ocf_to_net_profit_attributable", "period_expense_ratio", "quick_ratio", "return_on_total_assets", "revenue_growth_yoy", "roe_weighted_average", "late")),
         ("minority_interest_share", "scope_change", "false"), ("operating_cash_flow_ratio", "period_length_mismatch", "false"), ("late", "changed", "true"),
     ]) + ") v(metric_id, flag, deferred)",
-    "company_mentions": f"""WITH q AS (SELECT k, k % 12 AS kind, k % 8 + 1 AS n {O})
-SELECT k, CASE WHEN kind = 5 THEN lpad(CAST(n AS VARCHAR), 6, '0') || ',' || lpad(CAST(n + 1 AS VARCHAR), 6, '0') ELSE lpad(CAST(n AS VARCHAR), 6, '0') END AS codes, CASE kind WHEN 2 THEN 'PREFIX' WHEN 3 THEN 'SUFFIX' END AS doubt FROM q WHERE kind BETWEEN 1 AND 5""",
+    "company_mentions": f"""WITH {ASKED}
+SELECT k, CASE WHEN kind = 5 AND a <> b THEN a || ',' || b ELSE a END AS codes, CASE kind WHEN 2 THEN 'PREFIX' WHEN 3 THEN 'SUFFIX' END AS doubt FROM q WHERE kind BETWEEN 1 AND 5""",
     "question_answers": f"{ANSWERED} SELECT k, metric_id, entity, period, value, refusal_code, reason FROM f",
     "plain_near_misses": f"SELECT k, ['毛利率', '毛利率', '综合毛利率', '毛利率', NULL][k % 5 + 1] AS alias, [NULL, '综合毛利率', NULL, '调整后毛利率', NULL][k % 5 + 1] AS near {O}",
     "masked_texts": f"SELECT k, 'a ' || CASE k % 3 WHEN 0 THEN lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') || ' 万元' WHEN 1 THEN '　　　　　　' ELSE '　　　　　　 　　　　 　' END || ' 1.5' AS masked {O}",

@@ -204,7 +204,8 @@ def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 50).cast("string").alias("code"), F.when(F.col("s_suppkey") % 3 == 0, "synthetic").otherwise("real").alias("nature"))
+    """Suppliers as names of their nations' codes; those in debt are synthetic."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("code"), F.when(F.col("s_acctbal") < 0, "synthetic").otherwise("real").alias("nature"))
     return evidence.entities(rows)
 
 
@@ -290,11 +291,18 @@ def baseline_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' lines as packets of a page; some pages show what a judge noted."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS page", "l_linenumber AS packet_id")
-    packets = lines.selectExpr("page", "packet_id", "concat('text ', IF(page % 5 = 0 AND packet_id = 1, concat('noted', page, '.'), '')) AS body")
-    probes = lines.selectExpr("page", "packet_id", "IF(packet_id = 2, '', concat('noted', page, '.')) AS probe")
-    return judging.leaks(packets, probes)
+    """Documents as packets of their source's page; items of the benchmark that show on it."""
+    packets = table(spark, sf_dir, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("packet_id"), F.col("text").alias("body"))
+    pages = packets.select("page").distinct()
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("packet_id"), F.col("text").alias("probe"))
+    probes = items.join(pages, F.length("probe") > 0)  # each item is looked for on each of the few pages
+    return judging.leaks(packets, probes).select("packet_id", "page", F.sha2("probe", 256).alias("probe"))
+
+
+def packet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as packets in a seeded order."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return judging.shuffled(rows, "k", 7).select("k", "place")
 
 
 def review_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +347,7 @@ QUERIES = {
         silent_changes, short_field_names, text_findings, gated_requests, incoherent_records, truncation_problems, evidence_gaps, answer_gaps,
         execution_hashes, shown_values, coerced_values, plain_names, merged_names, sourced_rows, source_coverage, entity_snapshot, derived_values,
         case_attribution, layer_usage, reachable_layers, case_summary, suite_gate, case_hints, claim_cases, freeze_problems, case_preconditions,
-        baseline_judgements, packet_leaks, review_packets, ranked_pitfalls, pitfall_limit, blocked_review, scanned_files,
+        baseline_judgements, packet_leaks, packet_order, review_packets, ranked_pitfalls, pitfall_limit, blocked_review, scanned_files,
     )
 }
 
@@ -394,7 +402,8 @@ SELECT k, CASE raw WHEN '1,234.5' THEN 1234.5 WHEN '0' THEN 0.0 END AS value, CA
     "merged_names": """SELECT p_type || p_partkey % 500 AS name, min(p_brand) AS code, max(CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN 'real' ELSE 'synthetic' END) AS nature FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""",
     "sourced_rows": """SELECT c_custkey AS k, coalesce(s_name, CASE WHEN c_custkey % 2 = 0 THEN c_name END) AS name, CASE WHEN s_name IS NOT NULL THEN '0' WHEN c_custkey % 2 = 0 THEN '1' ELSE 'EMPTY' END AS source FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
     "source_coverage": """SELECT CASE WHEN o_custkey % 3 = 0 THEN 'real' ELSE 'synthetic' END AS nature, count(DISTINCT o_custkey) AS entities, count(DISTINCT (o_custkey, year(o_orderdate))) AS periods, count(DISTINCT substr(o_orderpriority, 1, 1)) AS fixtures FROM orders GROUP BY 1""",
-    "entity_snapshot": """SELECT count(DISTINCT s_suppkey % 50) AS entities, count(DISTINCT s_name) AS name_count, count(DISTINCT s_suppkey % 50) FILTER (WHERE s_suppkey % 3 = 0) AS synthetic, sha256('["' || string_agg(DISTINCT s_name, '","' ORDER BY s_name) || '"]') AS sha256 FROM supplier""",
+    "entity_snapshot": """WITH d AS (SELECT DISTINCT sha256(s_name) AS d FROM supplier), a AS (SELECT left(d, 4) AS p, sha256(string_agg(d, '' ORDER BY d)) AS x FROM d GROUP BY 1), b AS (SELECT left(p, 2) AS p, sha256(string_agg(x, '' ORDER BY p)) AS x FROM a GROUP BY left(p, 2))
+SELECT count(DISTINCT s_nationkey) AS entities, count(DISTINCT s_name) AS name_count, count(DISTINCT s_nationkey) FILTER (WHERE s_acctbal < 0) AS synthetic, (SELECT sha256(string_agg(x, '' ORDER BY p)) FROM b) AS sha256 FROM supplier""",
     "derived_values": f"{WITH} SELECT suppkey, period, CASE WHEN kpi_roe_weighted_average_disclosed_state IS NULL THEN 0.5 ELSE CAST(kpi_roe_weighted_average_disclosed AS DOUBLE) END AS value FROM st",
     "case_attribution": f"{JUDGED} SELECT k, status, CASE WHEN status IN ('PASS', 'FAIL') THEN kind END AS kind, layers, false AS unmapped FROM a",
     "layer_usage": f"{JUDGED} SELECT l.layer, count(k) AS n FROM (VALUES ('意图层'), ('检索层'), ('口径层'), ('计算层'), ('表达层')) l(layer) LEFT JOIN a ON status = 'FAIL' AND contains(layers, l.layer) GROUP BY 1",
@@ -409,7 +418,8 @@ round(count(*) FILTER (WHERE status = 'VOIDED') / count(*), 4) AS void_ratio, co
 SELECT file, p.problem FROM r, h, (VALUES ('MISSING:question'), ('REPEATED_ID'), ('NO_TARGET'), ('TARGET_EXISTS'), ('UNKNOWN_METRIC'), ('UNKNOWN_FIXTURE')) p(problem)
 WHERE CASE p.problem WHEN 'MISSING:question' THEN k % 9 = 0 WHEN 'REPEATED_ID' THEN k % 100 = 0 AND file <> first WHEN 'NO_TARGET' THEN k % 2 = 1 AND k % 5 = 0 WHEN 'TARGET_EXISTS' THEN k % 2 = 1 AND k % 5 > 1 WHEN 'UNKNOWN_METRIC' THEN k % 2 = 0 AND k % 3 = 0 ELSE k % 7 = 0 END""",
     "baseline_judgements": f"""SELECT k, CASE WHEN k % 4 = 3 THEN 'ERROR' WHEN k % 10 = 9 THEN 'NOT_COMPARABLE' WHEN k % 5 = 0 THEN CASE WHEN k % 3 = 0 AND ((k % 6 < 3 AND k % 2 = 0) OR (k % 6 >= 3 AND k % 2 = 1)) THEN 'PASS' ELSE 'FAIL' END WHEN k % 3 = 0 OR k % 7 > 1 THEN 'FAIL' ELSE 'PASS' END AS status {O}""",
-    "packet_leaks": """SELECT l_linenumber AS packet_id, 'noted' || l_orderkey || '.' AS probe FROM lineitem WHERE l_linenumber <> 2 AND l_orderkey % 5 = 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""",
+    "packet_leaks": "SELECT DISTINCT item_id AS packet_id, source AS page, sha256(b.text) AS probe FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
+    "packet_order": "SELECT c_custkey AS k, row_number() OVER (ORDER BY sha256('7:' || c_custkey), c_custkey) AS place FROM customer",
     "review_packets": f"SELECT k AS case_id, CASE WHEN k % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN k % 5 <> 0 THEN '对' END AS vote {O} WHERE k % 3 <> 0",
     "ranked_pitfalls": "SELECT p_brand AS metric_id, row_number() OVER (ORDER BY round(count(*) FILTER (WHERE p_partkey % 3 = 0) / count(*), 6) DESC, p_brand) AS rank FROM part GROUP BY 1",
     "pitfall_limit": "SELECT round(count(*) FILTER (WHERE p_partkey % 2 = 0) / count(*), 6) AS advisory_ratio, round(count(*) FILTER (WHERE p_partkey % 2 = 0) / count(*), 6) > 0.5 AS fails FROM part",

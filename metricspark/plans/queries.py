@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricspark.operators import checks, evaluation, intent, layout, metrics, rules, text
 from metricspark.operators.expressions import readable_sql
-from metricspark.plans import answers, catalogue, more, reports
+from metricspark.plans import answers, catalogue, files, more, reports, whole
 from metricspark.plans.definitions import DEFINITIONS
 from metricspark.plans.metric_sql import COMPUTED, INPUTS, METRICS, WITH
 from metricspark.sources.statements import FIELDS, entity, statements, table
@@ -360,6 +360,6 @@ WINDOW w AS (PARTITION BY doc ORDER BY page, y)""",
 SELECT cell_id, arg_max(role, (least(x1, c1) - greatest(x0, c0), -c0)) AS role FROM p LEFT JOIN c ON least(x1, c1) - greatest(x0, c0) > 0 GROUP BY 1""",
 }
 
-for part in (more, reports, catalogue, answers):
+for part in (more, reports, catalogue, answers, files, whole):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -88,3 +88,8 @@ def verified(records: DataFrame, allowed: DataFrame, batches: DataFrame) -> Data
     good = listed.groupBy("batch").agg(F.bool_and(right).alias("good")).filter("good").select("batch")
     sound = batches.filter(same).select("batch")
     return listed.select("batch", "field", "value").join(good, "batch", "left_semi").join(sound, "batch", "left_semi")
+
+
+def pruned(payload: Column, columns: list[str]) -> Column:
+    """Of a recorded row, a map, only the columns that are mapped, tell the source or are evidence."""
+    return F.map_filter(payload, lambda k, _: k.isin(*columns))

@@ -130,6 +130,12 @@ def answers(asked: DataFrame, values: DataFrame) -> DataFrame:
     return both.withColumn("refusal_code", code).drop("there", "value_code")
 
 
+def rendered(refused: DataFrame) -> DataFrame:
+    """Refused answers with ``refusal``, their JSON with fixed keys: refused, code, detail."""
+    said = F.to_json(F.struct(F.lit(True).alias("refused"), F.col("refusal_code").alias("code"), F.coalesce("reason", F.lit("")).alias("detail")))
+    return refused.filter(F.col("refusal_code").isNotNull()).withColumn("refusal", said)
+
+
 def own_entity(pieces: DataFrame, companies: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """pieces with ``own``: the one code or company that a piece names, and ``vague``: it names several or one in doubt.
 

@@ -55,10 +55,10 @@ def attributed(cases: DataFrame) -> DataFrame:
     return rows.withColumn("unmapped", (F.col("status") == "FAIL") & F.col("layers").isNull())
 
 
-def reachable(spark: SparkSession) -> DataFrame:
-    """(layer, reachable): whether any failure can belong to a layer."""
+def reachable(cases: DataFrame) -> DataFrame:
+    """(layer, reachable, reached): whether any failure can belong to a layer, and whether one of the cases does."""
     some = {x for t in (LAYER_OF_CODE, LAYER_OF_KIND) for v in t.values() for x in v}
-    return spark.createDataFrame([(x, x in some) for x in LAYERS], "layer string, reachable boolean")
+    return layer_usage(cases).select("layer", F.col("layer").isin(*some).alias("reachable"), (F.col("n") > 0).alias("reached"))
 
 
 def layer_usage(cases: DataFrame) -> DataFrame:

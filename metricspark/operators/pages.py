@@ -292,3 +292,18 @@ def months(report_type: Column) -> Column:
 def amount(text: Column) -> Column:
     """A cell's amount, null unless it has exactly two decimals."""
     return F.when(F.regexp_like(text, F.lit(AMOUNT)), F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(28,6)"))
+
+
+#: A statement's layout as it is kept: its lines of label and cells as printed.
+VIEW = "doc long, title string, unit string, rows array<struct<labels:array<string>,cells:array<string>>>"
+
+
+def kept_views(views: DataFrame) -> DataFrame:
+    """(view): views of the form VIEW as JSON texts; null cells stay apart from absent ones."""
+    return views.select(F.to_json(F.struct("doc", "title", "unit", "rows"), {"ignoreNullFields": "false"}).alias("view"))
+
+
+def read_views(kept: DataFrame) -> DataFrame:
+    """Views again; a text that is none is left out."""
+    read = F.from_json("view", f"{VIEW}, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    return kept.select(read.alias("v")).select("v.*").filter("bad IS NULL AND doc IS NOT NULL").drop("bad")

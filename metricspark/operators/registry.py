@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.operators import expressions, reading
+from metricspark.operators import evidence, expressions, metrics, reading, rules
 from metricspark.plans.definitions import KINDS, Definition
 
 SCHEMA = (
@@ -198,14 +198,13 @@ def of_statement(mapping: DataFrame, statement: str) -> DataFrame:
 
 
 def snapshot(items: DataFrame, column: str) -> DataFrame:
-    """(n, names, sha256): the sorted distinct values of a catalogue and the digest of their JSON list."""
-    listed = F.array_sort(F.collect_set(F.col(column).cast("string")))
-    return items.agg(listed.alias("names")).select(F.size("names").alias("n"), F.array_join("names", ",").alias("names"), F.sha2(F.to_json("names"), 256).alias("sha256"))
+    """(n, sha256): how many distinct values a catalogue has, and the digest of their set (``evidence.set_digest``)."""
+    return evidence.set_digest(items, column)
 
 
 def versions(definitions: DataFrame) -> DataFrame:
-    """One row: a map from every metric to its version, as it is now."""
-    return definitions.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_id", "version")))).alias("versions"))
+    """(metric_id, version): the version of every metric as it is now, the highest where an id comes twice."""
+    return definitions.filter("metric_id IS NOT NULL").groupBy("metric_id").agg(F.max("version").alias("version"))
 
 
 def fingerprints(definitions: DataFrame) -> DataFrame:
@@ -242,31 +241,53 @@ def short_names(definitions: DataFrame) -> DataFrame:
 def text_findings(definitions: DataFrame) -> DataFrame:
     """(metric_id, code, place): texts of definitions that are no conditions or formulas, and what only their reading tells.
 
-    R0.YAML_UNPARSEABLE stops the other rules. Each text is read once, on the driver, as
-    catalogues are small.
+    R0.YAML_UNPARSEABLE stops the other rules. Texts are read where their definitions are, each once.
     """
+    read = F.udf(_findings, "array<struct<code:string,place:string>>", useArrow=True)
+    parts = F.struct("parse_error", "flags", "fields", "conditions", "pitfalls", "formula")
+    rows = definitions.select(F.coalesce("metric_id", "path").alias("metric_id"), F.explode(read(parts)).alias("f"))
+    return rows.select("metric_id", "f.code", "f.place")
+
+
+def _findings(d) -> list[tuple[str, str]]:
+    """What is found in one definition."""
+    if d["parse_error"] is not None:
+        return [("R0.YAML_UNPARSEABLE", "")]
     kinds = lambda p: KINDS.get(p, "number")
-    found: list[tuple[str, str, str]] = []
-    for r in definitions.collect():
-        name = r["metric_id"] or r["path"]
-        if r["parse_error"] is not None:
-            found.append((name, "R0.YAML_UNPARSEABLE", ""))
-            continue
-        for f in r["flags"] or ():
-            if f["trigger"] and expressions.unreadable(f["trigger"], kinds):
-                found.append((name, "R4.TRIGGER_UNPARSEABLE", f["name"]))
-        for f in r["fields"] or ():
-            if f["kind"] == "enum" and not f["values"]:
-                found.append((name, "R6.ENUM_WITHOUT_VALUES", f["id"]))
-        for c in r["conditions"] or ():
-            if c["expr"] and expressions.unreadable(c["expr"], kinds):
-                found.append((name, "R7.EXPR_UNPARSEABLE", c["expr"]))
-        for p in r["pitfalls"] or ():
-            if p["enforced_by"] and p["enforced_by"].split("[")[0].split(".")[0] not in ENFORCERS:
-                found.append((name, "R8.ENFORCED_BY_UNRESOLVED", p["enforced_by"]))
-        if r["formula"] and expressions.unreadable(r["formula"], as_formula=True):
-            found.append((name, "FORMULA_UNPARSEABLE", ""))
-    return definitions.sparkSession.createDataFrame(found, "metric_id string, code string, place string")
+    found = [("R4.TRIGGER_UNPARSEABLE", f["name"]) for f in d["flags"] or () if f["trigger"] and expressions.unreadable(f["trigger"], kinds)]
+    found += [("R6.ENUM_WITHOUT_VALUES", f["id"]) for f in d["fields"] or () if f["kind"] == "enum" and not f["values"]]
+    found += [("R7.EXPR_UNPARSEABLE", c["expr"]) for c in d["conditions"] or () if c["expr"] and expressions.unreadable(c["expr"], kinds)]
+    found += [("R8.ENFORCED_BY_UNRESOLVED", p["enforced_by"]) for p in d["pitfalls"] or () if p["enforced_by"] and p["enforced_by"].split("[")[0].split(".")[0] not in ENFORCERS]
+    if d["formula"] and expressions.unreadable(d["formula"], as_formula=True):
+        found.append(("FORMULA_UNPARSEABLE", ""))
+    return found
+
+
+def all_findings(definitions: DataFrame, terms: rules.Terms) -> DataFrame:
+    """(metric_id, code, place): what the rules and the reading of the texts find, once each; the one call that validates a catalogue.
+
+    definitions: SCHEMA with ``path`` and ``parse_error``. Of one that can't be read at all nothing else is found.
+    Grain and semantics are those of ``terms`` where SCHEMA has none of them.
+    """
+    rows = definitions.filter("parse_error IS NULL")
+    for name, kind in (("grain", "map<string,string>"), ("semantics", "string")):
+        if name not in rows.columns:
+            given = F.create_map(*(F.lit(x) for k in terms.grain for x in (k, terms.period_types[0]))) if name == "grain" else F.lit(terms.semantics[0])
+            rows = rows.withColumn(name, given.cast(kind))
+    refs = F.udf(lambda trigger: [p for p in reading.named(trigger or "") if p.split(".")[0] in expressions.DATA_ROOTS], "array<string>", useArrow=True)
+    flags = F.transform("flags", lambda f: F.struct(f["name"].alias("name"), F.array().cast("array<string>").alias("refs")))
+    ruled = rules.findings(rows.withColumn("flags", flags), terms)
+    triggers = rows.select("metric_id", "fields", F.explode("flags").alias("f")).select("metric_id", "fields", "f.name", refs("f.trigger").alias("refs"))
+    triggers = triggers.select("metric_id", "fields", "name", F.explode(F.array_distinct("refs")).alias("ref"))
+    ids = F.coalesce(F.transform("fields", lambda f: f["id"]), F.array().cast("array<string>"))
+    undeclared = triggers.filter(~F.array_contains(ids, F.col("ref"))).select("metric_id", F.lit("R4.TRIGGER_UNDECLARED_FIELD").alias("code"), F.concat_ws(":", "name", "ref").alias("place"))
+    return ruled.unionByName(undeclared).unionByName(text_findings(definitions)).distinct()
+
+
+def deferred_flags(definitions: DataFrame) -> DataFrame:
+    """(metric_id, flag, deferred): the flags of definitions, and whether only two compared periods can decide them."""
+    late = F.udf(metrics.deferred, "boolean", useArrow=True)
+    return definitions.select("metric_id", F.explode("flags").alias("f")).filter("f.trigger IS NOT NULL").select("metric_id", F.col("f.name").alias("flag"), late("f.trigger").alias("deferred"))
 
 
 #: Checks of the gate in their order, as (name, code).

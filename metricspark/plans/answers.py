@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.operators import checks, expressions, intent, metrics, numbers, pages, registry, text
+from metricspark.operators import checks, expressions, intake, intent, metrics, numbers, pages, registry, text
 from metricspark.plans import catalogue
-from metricspark.plans.definitions import DEFINITIONS, Definition
+from metricspark.plans.definitions import DEFINITIONS
 from metricspark.plans.metric_sql import METRICS
 from metricspark.sources.statements import entity, statements, table
 
@@ -29,13 +29,6 @@ def condition_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("k", *(f"{expressions.condition(t, cell)} AS {n}" for n, t in CONDITIONS.items()))
 
 
-def deferred_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of definitions that only two compared periods can decide."""
-    more = (*DEFINITIONS, Definition("late", "is.a", (), (("changed", "comparison_period.version != 1"), ("restated", "notes.restatement_flag == true"))))
-    rows = [(d.metric_id, name, metrics.deferred(t)) for d in more for name, t in d.flags]
-    return spark.createDataFrame(rows, "metric_id string, flag string, deferred boolean")
-
-
 def company(code: Column) -> Column:
     return F.concat(F.lit("Co"), F.translate(code, "0123456789", "ABCDEFGHIJ"))
 
@@ -110,31 +103,24 @@ def cross_source_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.compared(ours, theirs, ["key"])
 
 
-VIEW = "doc long, title string, unit string, rows array<struct<labels:array<string>,cells:array<string>>>"
-
-
 def kept_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as views of statements, written as JSON and read again."""
     line = F.struct(F.array(F.concat(F.lit("line "), "l_linenumber")).alias("labels"), F.array(F.col("l_quantity").cast("decimal(12,2)").cast("string")).alias("cells"))
     views = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(line)).alias("rows"))
-    views = views.select("doc", F.lit("合并资产负债表").alias("title"), F.lit("元").alias("unit"), "rows")
-    kept = views.select(F.to_json(F.struct("*")).alias("view"))
-    back = kept.select(F.from_json("view", VIEW).alias("v")).select("v.*")
+    back = pages.read_views(pages.kept_views(views.select("doc", F.lit("合并资产负债表").alias("title"), F.lit("元").alias("unit"), "rows")))
     return back.select("doc", "title", F.size("rows").alias("n"), F.array_join(F.transform("rows", lambda x: x["cells"][0]), ",").alias("cells"))
 
 
 def pruned_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of recorded rows only the columns that are mapped, tell the source, or are evidence."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.create_map(F.lit("total"), F.col("c_custkey").cast("string"), F.lit("noise"), F.lit("x"), F.lit("report_date"), F.lit("20231231")).alias("row"))
-    kept = F.map_filter("row", lambda k, _: k.isin("total", "report_date"))
-    return rows.select("key", F.array_join(F.map_keys(kept), ",").alias("columns"), kept["total"].alias("total"))
+    """Of recorded customers only the columns that are mapped, tell the source, or are evidence."""
+    payload = F.create_map(F.lit("total"), F.col("c_acctbal").cast("string"), F.lit("noise"), F.col("c_name"), F.lit("report_date"), F.col("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), intake.pruned(payload, ["total", "report_date"]).alias("kept"))
+    return rows.select("key", F.array_join(F.map_keys("kept"), ",").alias("columns"), F.col("kept")["report_date"].alias("report_date"))
 
 
 def rendered_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refused answers as JSON with fixed keys."""
-    rows = question_answers(spark, sf_dir).filter("refusal_code IS NOT NULL")
-    said = F.to_json(F.struct(F.lit(True).alias("refused"), F.col("refusal_code").alias("code"), F.coalesce("reason", F.lit("")).alias("detail")))
-    return rows.select("k", said.alias("refusal"))
+    return intent.rendered(question_answers(spark, sf_dir)).select("k", "refusal")
 
 
 def statement_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +144,7 @@ def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        condition_values, deferred_flags, company_mentions, question_answers, plain_near_misses, masked_texts, long_texts, cross_source_reasons,
+        condition_values, company_mentions, question_answers, plain_near_misses, masked_texts, long_texts, cross_source_reasons,
         kept_views, pruned_payloads, rendered_refusals, statement_mapping, extraction_steps, page_furniture,
     )
 }
@@ -179,10 +165,6 @@ f AS (SELECT a.*, mv.value, coalesce(CASE WHEN reason IN ('no_metric', 'near_mis
 ORACLES = {
     "condition_values": f"""{XY} SELECT k, CASE WHEN x IS NULL THEN NULL WHEN x <= 0 THEN true ELSE y END AS either, CASE WHEN x IS NOT NULL THEN false ELSE y END AS both,
 CASE WHEN x IS NULL THEN NULL WHEN x > 2 THEN false ELSE y IS NOT NULL END AS neither, CASE WHEN x IS NOT NULL THEN x <> 1.5 END AS null_test, CASE WHEN y IS NOT NULL THEN x >= -1 END AS mixed, CAST(NULL AS BOOLEAN) AS order_of_null FROM r""",
-    "deferred_flags": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{f}', {d})" for m, f, d in [
-        *((m, "restated", "false") for m in ("current_ratio", "debt_to_asset_ratio", "gross_profit_margin", "net_profit_attributable_excl_nonrecurring", "net_profit_margin_attributable", "net_working_capital", "ocf_to_net_profit_attributable", "period_expense_ratio", "quick_ratio", "return_on_total_assets", "revenue_growth_yoy", "roe_weighted_average", "late")),
-        ("minority_interest_share", "scope_change", "false"), ("operating_cash_flow_ratio", "period_length_mismatch", "false"), ("late", "changed", "true"),
-    ]) + ") v(metric_id, flag, deferred)",
     "company_mentions": f"""WITH {ASKED}
 SELECT k, CASE WHEN kind = 5 AND a <> b THEN a || ',' || b ELSE a END AS codes, CASE kind WHEN 2 THEN 'PREFIX' WHEN 3 THEN 'SUFFIX' END AS doubt FROM q WHERE kind BETWEEN 1 AND 5""",
     "question_answers": f"{ANSWERED} SELECT k, metric_id, entity, period, value, refusal_code, reason FROM f",
@@ -193,7 +175,7 @@ SELECT k AS doc_id, pos, CASE WHEN k % 7 = 0 THEN 'QUESTION' ELSE 'STATEMENT' EN
     "cross_source_reasons": f"""WITH r AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'ABSENT' WHEN k % 5 = 0 THEN 'SCOPE' WHEN k % 7 = 0 THEN 'PERIOD' WHEN k % 11 = 0 THEN 'CURRENCY' WHEN k % 13 = 0 THEN 'UNIT' WHEN k % 17 = 0 THEN 'OUR_VALUE' WHEN k % 19 = 0 THEN 'NOT_A_NUMBER' END AS reason {O})
 SELECT k AS key, CASE WHEN reason IS NULL THEN 'AGREE' ELSE 'INCOMPARABLE' END AS verdict, reason FROM r""",
     "kept_views": "SELECT l_orderkey AS doc, '合并资产负债表' AS title, count(*) AS n, string_agg(CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR), ',' ORDER BY 'line ' || l_linenumber, CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR)) AS cells FROM lineitem GROUP BY 1",
-    "pruned_payloads": "SELECT c_custkey AS key, 'total,report_date' AS columns, CAST(c_custkey AS VARCHAR) AS total FROM customer",
+    "pruned_payloads": "SELECT c_custkey AS key, 'total,report_date' AS columns, c_mktsegment AS report_date FROM customer",
     "rendered_refusals": f"""{ANSWERED} SELECT k, '{{"refused":true,"code":"' || refusal_code || '","detail":"' || coalesce(reason, '') || '"}}' AS refusal FROM f WHERE refusal_code IS NOT NULL""",
     "statement_mapping": "SELECT p_partkey AS field_id FROM part WHERE p_size % 2 = 0",
     "extraction_steps": "SELECT s_suppkey AS key, 'bs' AS step, 1 AS page FROM supplier UNION ALL SELECT s_suppkey, 'notes', NULL FROM supplier",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricspark.operators import evidence, judging, registry, review
+from metricspark.operators import evidence, judging, registry, review, rules
 from metricspark.plans.definitions import DEFINITIONS, Definition
 from metricspark.plans.metric_sql import READS, WITH
 from metricspark.sources.statements import FIELDS, statements, table
@@ -49,20 +49,37 @@ def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.resolved(names, registry.names(catalogue(spark)), faulty).select("k", "metric_id", "refusal_code")
 
 
+def whole_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as whole definitions: fields by the words of their names, faults by their types and sizes."""
+    number = "CAST(NULL AS ARRAY<STRING>)"
+    return table(spark, sf_dir, "part").selectExpr("*", "split(p_name, ' ')[0] AS a", "split(p_name, ' ')[1] AS b").selectExpr(
+        "concat(p_partkey, '.json') AS path", "concat('m', p_partkey) AS metric_id", "p_name AS display_name", "array(p_brand) AS aliases", "p_size AS version",
+        "IF(p_type = 'PROMO', concat('bs.', a, ' ** 2'), concat('bs.', a, ' / is.', b)) AS formula",
+        f"array(named_struct('id', concat('bs.', a), 'sign', 'plus', 'missing', 'null', 'kind', 'number', 'values', {number}), named_struct('id', concat('is.', b), 'sign', CAST(NULL AS STRING), 'missing', CAST(NULL AS STRING), 'kind', IF(p_type = 'SMALL', 'enum', 'number'), 'values', {number})) AS fields",
+        "array(named_struct('expr', concat('is_missing(bs.', a, ')'), 'reason', 'r'), named_struct('expr', concat('bs.', a, ' > ', IF(p_type = 'ECONOMY', '', CAST(p_size AS STRING))), 'reason', 'r')) AS conditions",
+        "array(named_struct('name', p_brand, 'trigger', CASE WHEN p_size < 10 THEN concat('comparison_period.version != ', p_size) WHEN p_size > 45 THEN concat('is.', a, ' ==') ELSE concat('is.', b, ' == ', p_size) END)) AS flags",
+        "array(named_struct('name', 's', 'version', '1')) AS basis", "named_struct('allow', true, 'note', 'n') AS derivation",
+        "array(named_struct('text', 't', 'enforced_by', IF(p_type = 'LARGE', 'nowhere', 'undefined_conditions[0]'), 'advisory', false)) AS pitfalls",
+        "IF(p_type = 'MEDIUM' AND p_size < 4, 'not to be read', NULL) AS parse_error",
+    )
+
+
 def declared_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.declared(catalogue(spark))
+    return registry.declared(whole_definitions(spark, sf_dir))
 
 
-def _mapped(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f.replace("_", ".", 1),) for f in FIELDS if not f.startswith("kpi")] + [("bs.goodwill",)], "field_id string")
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of large parts' names, and the second ones under another statement."""
+    p = table(spark, sf_dir, "part").filter("p_size > 25")
+    return p.selectExpr("explode(array(concat('bs.', split(p_name, ' ')[0]), concat('cfs.', split(p_name, ' ')[1]))) AS field_id")
 
 
 def mapping_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.differences(registry.declared(catalogue(spark)), _mapped(spark))
+    return registry.differences(registry.declared(whole_definitions(spark, sf_dir)), _mapped(spark, sf_dir))
 
 
 def fields_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.outside(_mapped(spark), registry.declared(catalogue(spark)))
+    return registry.outside(_mapped(spark, sf_dir), registry.declared(whole_definitions(spark, sf_dir)))
 
 
 def mapping_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +93,12 @@ def mapping_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.snapshot(registry.names(catalogue(spark)), "alias")
+    return registry.snapshot(registry.names(whole_definitions(spark, sf_dir)), "alias")
 
 
 def definition_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of all metrics as one map, shown as text."""
-    shown = F.array_join(F.transform(F.map_entries("versions"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return registry.versions(catalogue(spark)).select(shown.alias("versions"))
+    """The version of every definition; of several of one name, its highest."""
+    return registry.versions(whole_definitions(spark, sf_dir).withColumn("metric_id", F.replace("display_name", F.lit(" "), F.lit("_"))))
 
 
 def silent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,14 +120,18 @@ def short_field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of definitions that can't be read."""
-    bad = spark.createDataFrame(
-        [
-            ("a.json", None, None, None, None, None, None, None, None, None, None, None, "{oops"),
-            ("b.json", "b", None, [], 1, "is.a ** 2", [("f", None, None, "enum", [])], [("bs.x ==", "r"), ("is_missing(bs.x)", "r")], [("g", "bs.x >")], [], None, [("t", "nowhere", None), ("t", "undefined_conditions[0]", None)], None),
-        ],
-        f"path string, {registry.SCHEMA}, parse_error string",
-    )
-    return registry.text_findings(catalogue(spark).unionByName(bad))
+    return registry.text_findings(whole_definitions(spark, sf_dir))
+
+
+def checked_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that rules and readers find in definitions, in one call."""
+    terms = rules.Terms(("entity", "period_type"), ("annual",), ("flow",), ("positive", "negative"), ("Brand#1", "Brand#2"), ("Brand#3",))
+    return registry.all_findings(whole_definitions(spark, sf_dir), terms)
+
+
+def deferred_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of definitions that only two compared periods can decide."""
+    return registry.deferred_flags(whole_definitions(spark, sf_dir))
 
 
 def gated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +256,7 @@ def layer_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judging.reachable(spark)
+    return judging.reachable(judged_cases(spark, sf_dir))
 
 
 def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +364,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         name_collisions, resolved_names, declared_fields, mapping_differences, fields_outside, mapping_findings, registry_snapshot, definition_versions,
-        silent_changes, short_field_names, text_findings, gated_requests, incoherent_records, truncation_problems, evidence_gaps, answer_gaps,
+        silent_changes, short_field_names, text_findings, checked_catalogue, deferred_flags, gated_requests, incoherent_records, truncation_problems, evidence_gaps, answer_gaps,
         execution_hashes, shown_values, coerced_values, plain_names, merged_names, sourced_rows, source_coverage, entity_snapshot, derived_values,
         case_attribution, layer_usage, reachable_layers, case_summary, suite_gate, case_hints, claim_cases, freeze_problems, case_preconditions,
         baseline_judgements, packet_leaks, packet_order, review_packets, ranked_pitfalls, pitfall_limit, blocked_review, scanned_files,
@@ -364,24 +384,39 @@ j AS (SELECT *, CASE WHEN category = 'C1' THEN CASE WHEN code IS NOT NULL THEN '
 s AS (SELECT *, CASE WHEN void THEN 'VOIDED' WHEN category IN ('C4', 'C5') THEN 'NOT_RUN' WHEN kind IS NULL THEN 'PASS' ELSE 'FAIL' END AS status FROM j),
 a AS (SELECT *, CASE WHEN status = 'FAIL' THEN CASE WHEN kind <> 'REFUSED_BUT_SHOULD_ANSWER' THEN '口径层' WHEN code = 'UNAVAILABLE' THEN '检索层' WHEN code = 'RECONCILIATION_FAILED' THEN '检索层,计算层' ELSE '口径层' END END AS layers FROM s)"""
 BY_CATEGORY = """count(k) AS authored, count(*) FILTER (WHERE status = 'VOIDED') AS voided, count(*) FILTER (WHERE status IN ('PASS', 'FAIL')) AS executed, count(*) FILTER (WHERE status = 'PASS') AS passed"""
+FIELD_SETS = """WITH d AS (SELECT DISTINCT unnest(['bs.' || split_part(p_name, ' ', 1), 'is.' || split_part(p_name, ' ', 2)]) AS field_id FROM part),
+m AS (SELECT DISTINCT unnest(['bs.' || split_part(p_name, ' ', 1), 'cfs.' || split_part(p_name, ' ', 2)]) AS field_id FROM part WHERE p_size > 25)"""
+PARTS = """WITH p AS (SELECT *, 'm' || p_partkey AS metric_id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_type = 'MEDIUM' AND p_size < 4 AS broken FROM part), t AS (
+  SELECT metric_id, 'R0.YAML_UNPARSEABLE' AS code, '' AS place FROM p WHERE broken UNION ALL SELECT metric_id, 'R4.TRIGGER_UNPARSEABLE', p_brand FROM p WHERE NOT broken AND p_size > 45
+  UNION ALL SELECT metric_id, 'R6.ENUM_WITHOUT_VALUES', 'is.' || b FROM p WHERE p_type = 'SMALL' UNION ALL SELECT metric_id, 'R7.EXPR_UNPARSEABLE', 'bs.' || a || ' > ' FROM p WHERE p_type = 'ECONOMY'
+  UNION ALL SELECT metric_id, 'R8.ENFORCED_BY_UNRESOLVED', 'nowhere' FROM p WHERE p_type = 'LARGE' UNION ALL SELECT metric_id, 'FORMULA_UNPARSEABLE', '' FROM p WHERE p_type = 'PROMO'
+)"""
 ORACLES = {
     "name_collisions": """WITH d AS (SELECT 'm' || CASE WHEN p_partkey % 50 = 0 THEN 50 ELSE p_partkey END AS id, p_name, p_partkey % 97 = 0 AS other FROM part), n AS (SELECT DISTINCT id AS name, id FROM d UNION SELECT p_name, id FROM d UNION SELECT 'shared', id FROM d WHERE other)
 SELECT id AS name, 'DUPLICATE_ID' AS kind, id AS metric_ids FROM d GROUP BY id HAVING count(*) > 1 UNION ALL SELECT name, 'ALIAS_AMBIGUOUS', string_agg(DISTINCT id, ',' ORDER BY id) FROM n WHERE name <> '' GROUP BY name HAVING count(DISTINCT id) > 1""",
     "resolved_names": f"SELECT k, ['current_ratio', 'debt_to_asset_ratio', NULL, 'quick_ratio', NULL][k % 5 + 1] AS metric_id, [NULL, NULL, 'METRIC_NOT_DEFINED', 'DEFINITION_NONCONFORMANT', 'METRIC_NOT_DEFINED'][k % 5 + 1] AS refusal_code {O}",
-    "declared_fields": f"SELECT field_id FROM (VALUES {values(map(dotted, DECLARED))}) v(field_id)",
-    "mapping_differences": f"SELECT field_id, 'mapping' AS missing_in FROM (VALUES {values(map(dotted, [*FLAGGED, 'kpi_roe_weighted_average_disclosed']))}) v(field_id) UNION ALL SELECT 'bs.goodwill', 'definitions'",
-    "fields_outside": "SELECT 'bs.goodwill' AS field_id",
+    "declared_fields": "SELECT DISTINCT unnest(['bs.' || split_part(p_name, ' ', 1), 'is.' || split_part(p_name, ' ', 2)]) AS field_id FROM part",
+    "mapping_differences": f"""{FIELD_SETS} SELECT field_id, 'mapping' AS missing_in FROM (SELECT * FROM d EXCEPT SELECT * FROM m) UNION ALL SELECT field_id, 'definitions' FROM (SELECT * FROM m EXCEPT SELECT * FROM d)""",
+    "fields_outside": f"{FIELD_SETS} SELECT * FROM m EXCEPT SELECT * FROM d",
     "mapping_findings": """WITH m AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 8 = 0 THEN 'is.' ELSE 'bs.' END || 'f' || CASE WHEN p_partkey % 40 = 0 THEN 40 ELSE p_partkey END AS field_id, p_partkey % 4 AS kind, p_partkey % 3 <> 0 AS v, p_partkey % 4 = 0 AS r, p_partkey % 5 <> 0 AS s, p_partkey % 6 <> 0 AS h FROM part)
 SELECT field_id, c.code FROM m, (VALUES ('MISSING_KEY:variants'), ('MISSING_KEY:role'), ('MISSING_KEY:section'), ('MISSING_KEY:header'), ('FORBIDDEN_KEY:section'), ('FORBIDDEN_KEY:variants'), ('FORBIDDEN_KEY:role'), ('UNKNOWN_KIND'), ('VERSION_TOO_LOW'), ('WRONG_PREFIX')) c(code)
 WHERE CASE c.code WHEN 'MISSING_KEY:variants' THEN kind = 0 AND NOT v WHEN 'MISSING_KEY:role' THEN kind = 0 AND NOT r WHEN 'MISSING_KEY:section' THEN kind = 1 AND NOT s WHEN 'MISSING_KEY:header' THEN kind = 2 AND NOT h WHEN 'FORBIDDEN_KEY:section' THEN kind = 0 AND s
 WHEN 'FORBIDDEN_KEY:variants' THEN kind IN (1, 2) AND v WHEN 'FORBIDDEN_KEY:role' THEN kind IN (1, 2) AND r WHEN 'UNKNOWN_KIND' THEN kind = 3 WHEN 'VERSION_TOO_LOW' THEN k % 7 = 0 ELSE k % 8 = 0 END
 UNION ALL SELECT field_id, 'REPEATED_FIELD' FROM m GROUP BY 1 HAVING count(*) > 1""",
-    "registry_snapshot": f"SELECT {len(ALIASES)} AS n, '{','.join(ALIASES)}' AS names, sha256('[{','.join(chr(34) + a + chr(34) for a in ALIASES)}]') AS sha256",
-    "definition_versions": f"SELECT '{','.join(f'{m}=2' for m in sorted(READS))}' AS versions",
+    "registry_snapshot": """WITH n AS (SELECT DISTINCT unnest(['m' || p_partkey, p_name, p_brand]) AS x FROM part), d AS (SELECT sha256(x) AS d FROM n), a AS (SELECT left(d, 4) AS p, sha256(string_agg(d, '' ORDER BY d)) AS x FROM d GROUP BY 1), b AS (SELECT left(p, 2) AS p, sha256(string_agg(x, '' ORDER BY p)) AS x FROM a GROUP BY left(p, 2))
+SELECT (SELECT count(*) FROM n) AS n, sha256(string_agg(x, '' ORDER BY p)) AS sha256 FROM b""",
+    "definition_versions": "SELECT replace(p_name, ' ', '_') AS metric_id, max(p_size) AS version FROM part GROUP BY 1",
     "silent_changes": "SELECT 'm' || p_partkey AS metric_id FROM part WHERE p_partkey % 4 = 1",
     "short_field_names": """WITH p AS (SELECT p_partkey AS k, 'm' || p_partkey AS metric_id FROM part) SELECT metric_id, 'bs.total' AS field_id, CASE WHEN k % 3 = 0 THEN 'bs.total' ELSE 'total' END AS short FROM p
 UNION ALL SELECT metric_id, CASE WHEN k % 3 = 0 THEN 'is.total' ELSE 'is.cost' END, CASE WHEN k % 3 = 0 THEN 'is.total' ELSE 'cost' END FROM p UNION ALL SELECT metric_id, 'notes.x.y', 'y' FROM p""",
-    "text_findings": "SELECT * FROM (VALUES ('a.json', 'R0.YAML_UNPARSEABLE', ''), ('b', 'R4.TRIGGER_UNPARSEABLE', 'g'), ('b', 'R6.ENUM_WITHOUT_VALUES', 'f'), ('b', 'R7.EXPR_UNPARSEABLE', 'bs.x =='), ('b', 'R8.ENFORCED_BY_UNRESOLVED', 'nowhere'), ('b', 'FORMULA_UNPARSEABLE', '')) v(metric_id, code, place)",
+    "checked_catalogue": f"""{PARTS}, r AS (
+  SELECT metric_id, 'R2.BAD_SIGN_CONVENTION' AS code, 'bs.' || a AS place FROM p WHERE NOT broken UNION ALL SELECT metric_id, 'R2.NO_SIGN_CONVENTION', 'is.' || b FROM p WHERE NOT broken AND p_type <> 'PROMO'
+  UNION ALL SELECT metric_id, CASE WHEN p_brand = 'Brand#3' THEN 'R4.SYSTEM_SCOPE_FLAG_DECLARED' ELSE 'R4.FLAG_NOT_IN_VOCABULARY' END, p_brand FROM p WHERE NOT broken AND p_brand NOT IN ('Brand#1', 'Brand#2')
+  UNION ALL SELECT metric_id, 'R4.TRIGGER_UNDECLARED_FIELD', p_brand || ':is.' || a FROM p WHERE NOT broken AND p_size > 45 AND a <> b UNION ALL SELECT metric_id, 'R6.NO_MISSING_REPRESENTATION', 'is.' || b FROM p WHERE NOT broken
+  UNION ALL SELECT metric_id, 'R8.TOO_FEW_PITFALLS', '' FROM p WHERE NOT broken UNION ALL SELECT metric_id, 'R9.VERSION_TOO_LOW', '' FROM p WHERE NOT broken AND p_size < 2
+) SELECT * FROM r UNION ALL SELECT * FROM t""",
+    "deferred_flags": "SELECT 'm' || p_partkey AS metric_id, p_brand AS flag, p_size < 10 AS deferred FROM part",
+    "text_findings": f"{PARTS} SELECT metric_id, code, place FROM t",
     "gated_requests": f"""WITH r AS (SELECT k, ['', 'conformant', 'closed', 'namespace', 'declared', 'resolve', ''][k % 7 + 1] AS f, k % 3 = 2 AS other {O}), t AS (SELECT k, CASE WHEN f IN ('resolve', 'conformant') THEN f WHEN other THEN 'version' ELSE nullif(f, '') END AS f FROM r)
 SELECT k, CASE WHEN f IS NULL THEN 'passed' ELSE 'refused' END AS gate, f AS failed_check, CASE f WHEN 'resolve' THEN 'METRIC_NOT_DEFINED' WHEN 'conformant' THEN 'DEFINITION_NONCONFORMANT' WHEN 'version' THEN 'CROSS_VERSION_COMPARISON' WHEN 'closed' THEN 'UNEVALUABLE_CONDITION' WHEN 'namespace' THEN 'UNEVALUABLE_CONDITION' WHEN 'declared' THEN 'UNEVALUABLE_CONDITION' END AS refusal_code FROM t""",
     "incoherent_records": f"""WITH r AS (SELECT k AS key, ['GOT', 'ABSENT', 'UNKNOWN'][k % 3 + 1] AS r, ['V', 'A', NULL, 'E'][k % 4 + 1] AS s, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 0 ELSE 7 END AS v, ['S', 'P', 'R', 'S', 'S', 'S', 'P'][k % 7 + 1] AS status, k % 2 = 0 AS stats, k % 2 = 0 AS amount, k % 9 <> 0 AS basis {O})
@@ -407,7 +442,7 @@ SELECT count(DISTINCT s_nationkey) AS entities, count(DISTINCT s_name) AS name_c
     "derived_values": f"{WITH} SELECT suppkey, period, CASE WHEN kpi_roe_weighted_average_disclosed_state IS NULL THEN 0.5 ELSE CAST(kpi_roe_weighted_average_disclosed AS DOUBLE) END AS value FROM st",
     "case_attribution": f"{JUDGED} SELECT k, status, CASE WHEN status IN ('PASS', 'FAIL') THEN kind END AS kind, layers, false AS unmapped FROM a",
     "layer_usage": f"{JUDGED} SELECT l.layer, count(k) AS n FROM (VALUES ('意图层'), ('检索层'), ('口径层'), ('计算层'), ('表达层')) l(layer) LEFT JOIN a ON status = 'FAIL' AND contains(layers, l.layer) GROUP BY 1",
-    "reachable_layers": "SELECT * FROM (VALUES ('意图层', true), ('检索层', true), ('口径层', true), ('计算层', true), ('表达层', false)) v(layer, reachable)",
+    "reachable_layers": f"{JUDGED} SELECT l.layer, l.layer <> '表达层' AS reachable, count(k) > 0 AS reached FROM (VALUES ('意图层'), ('检索层'), ('口径层'), ('计算层'), ('表达层')) l(layer) LEFT JOIN a ON status = 'FAIL' AND contains(layers, l.layer) GROUP BY l.layer",
     "case_summary": f"{JUDGED}, g AS (SELECT category, {BY_CATEGORY} FROM a GROUP BY 1) SELECT *, authored - voided AS surviving, CASE WHEN executed = 0 THEN 'NOT_RUN' WHEN passed = executed THEN 'PASS' ELSE 'FAIL' END AS status FROM g",
     "suite_gate": f"""{JUDGED} SELECT count(*) AS authored, count(*) FILTER (WHERE status = 'VOIDED') AS voided, count(*) FILTER (WHERE status IN ('PASS', 'FAIL')) AS scored, count(*) FILTER (WHERE status = 'NOT_RUN') AS not_run, count(*) FILTER (WHERE status = 'PASS') AS passed,
 round(count(*) FILTER (WHERE status = 'VOIDED') / count(*), 4) AS void_ratio, count(*) FILTER (WHERE status = 'VOIDED') / count(*) <= 0.1 AS void_within, count(*) FILTER (WHERE category = 'C2' AND status = 'FAIL') = 0 AS refusal_gate FROM a""",

@@ -52,13 +52,13 @@ def covered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guessed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of parts as questions without a metric's name, and what a model of a few rules takes them to mean."""
+    """Names of parts as questions without a metric's name, and what a model of a few rules takes them to mean."""
 
     def ask(texts: list[str]) -> list[str | None]:
-        means = {"TIN": "leverage", "BRASS": " current  ratio ", "STEEL": "a name that nobody knows"}
+        means = {"gear": "leverage", "bolt": " current  ratio ", "ring": "a name that nobody knows"}
         return [next((said for word, said in means.items() if word in t.split()), None) for t in texts]
 
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat("p_type", F.lit(" of 000001 in 1996年")).alias("text"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" of 000001 in 1996年")).alias("text"))
     found = intent.intents(rows, text.aliases(spark), companies(spark, sf_dir), "k", ask=ask, model_limits={"batch": 16, "in_flight": 2})
     return found.select("k", "metric_id", "alias", "resolved_by", "entity", "period", "reason")
 
@@ -88,7 +88,7 @@ SELECT batch, field, CAST(value AS DOUBLE) AS value FROM r JOIN orders ON o_orde
 files AS (SELECT count(DISTINCT n_nationkey) FILTER (WHERE r_name <> 'AMERICA') AS "read", count(DISTINCT n_nationkey) FILTER (WHERE r_name = 'AMERICA') AS skipped FROM p JOIN n ON n_nationkey = c_nationkey)
 SELECT CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN 'synthetic' ELSE 'real' END AS nature, n_name AS fixture, code, CAST(year AS INTEGER) AS year, CASE WHEN r_name IN ('AFRICA', 'ASIA') THEN '' ELSE lower(n_name) END AS short_name, "read", skipped
 FROM p JOIN n ON n_nationkey = c_nationkey, files WHERE r_name <> 'AMERICA'""",
-    "guessed_names": """WITH p AS (SELECT p_partkey AS k, string_split(p_type, ' ') AS w FROM part), g AS (SELECT k, CASE WHEN list_contains(w, 'TIN') THEN 'debt_to_asset_ratio' WHEN list_contains(w, 'BRASS') THEN 'current_ratio' END AS metric_id FROM p)
+    "guessed_names": """WITH p AS (SELECT p_partkey AS k, string_split(p_name, ' ') AS w FROM part), g AS (SELECT k, CASE WHEN list_contains(w, 'gear') THEN 'debt_to_asset_ratio' WHEN list_contains(w, 'bolt') THEN 'current_ratio' END AS metric_id FROM p)
 SELECT k, metric_id, CASE metric_id WHEN 'debt_to_asset_ratio' THEN 'leverage' WHEN 'current_ratio' THEN 'current ratio' END AS alias, CASE WHEN metric_id IS NOT NULL THEN 'model' END AS resolved_by,
 CASE WHEN metric_id IS NOT NULL THEN '000001' END AS entity, CASE WHEN metric_id IS NOT NULL THEN 1996 END AS period, CASE WHEN metric_id IS NULL THEN 'no_metric' END AS reason FROM g""",
     "yaml_definitions": """SELECT p_partkey || '.yaml' AS path, CASE WHEN ok THEN 'part_' || p_partkey END AS metric_id, CASE WHEN ok THEN p_name END AS display_name, CASE WHEN ok THEN p_brand || ';' || p_type WHEN NOT broken THEN '' END AS aliases, CASE WHEN ok THEN p_size END AS version,

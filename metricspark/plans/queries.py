@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metricspark import storage
 from metricspark.operators import checks, evaluation, intent, layout, metrics, rules, text
 from metricspark.operators.expressions import readable_sql
 from metricspark.plans import answers, catalogue, files, more, reports, whole
@@ -161,9 +162,8 @@ def claim_texts(v: DataFrame) -> DataFrame:
 
 
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Dealt by what claims are joined on: one exchange, written once, serves the texts and the join.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = values(spark, sf_dir).repartition(parts, "entity", "period", "metric_id")
+    # The values are read several times, for the texts and to judge them.
+    v = storage.kept(values(spark, sf_dir), "values")
     texts = claim_texts(v)
     companies = table(spark, sf_dir, "supplier").select(entity(F.col("s_suppkey")).alias("code"))
     companies = companies.select(company_name(F.col("code")).alias("name"), "code")
@@ -202,8 +202,8 @@ def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that stand for one brand only."""
-    return evaluation.settled_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("code")))
+    """Orders, as names, whose lines come from one supplier only."""
+    return evaluation.settled_names(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_suppkey").alias("code")))
 
 
 def evidence_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +347,7 @@ SELECT doc_id, i - 1 AS pos, parts[i] AS segment FROM (SELECT doc_id, parts, unn
 first_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS context FROM conversations""",
     "first_source": """SELECT s_suppkey AS key, s_name AS name, 0 AS source FROM supplier UNION ALL
 SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
-    "settled_names": "SELECT p_name AS name, min(p_brand) AS code FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1",
+    "settled_names": "SELECT l_orderkey AS name, min(l_suppkey) AS code FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1",
     "evidence_completeness": """SELECT source, CAST(sum(f) AS BIGINT) AS filled, count(*) * 3 AS total, round(sum(f) / (count(*) * 3), 6) AS rate FROM (
 SELECT source, CASE WHEN text IS NULL OR trim(text, ' ') IN ('', 'UNKNOWN') THEN 0 ELSE 1 END + CASE WHEN lang IS NULL OR lang = 'en' OR trim(lang, ' ') IN ('', 'UNKNOWN') THEN 0 ELSE 1 END + CASE WHEN n_chars IS NULL THEN 0 ELSE 1 END AS f FROM documents) GROUP BY 1""",
     "evaluation_rollup": """SELECT c AS category, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed,

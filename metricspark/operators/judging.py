@@ -268,3 +268,18 @@ def scanned(files: DataFrame, patterns: dict[str, str] = SCANNED, data_prefix: s
     elsewhere = F.contains("content", F.lit("source_pdf_sha256:")) & ~F.startswith("path", F.lit(data_prefix))
     found.append(F.when(elsewhere, F.struct(F.lit("statement_elsewhere").alias("rule"), F.lit("").alias("detail"))))
     return rows.select("path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("path", "f.*")
+
+
+IGNORE = ".gitignore"
+
+
+def uncovered(files: DataFrame, required: list[str]) -> DataFrame:
+    """(path, rule, detail): entries that the ignore file must have, as whole lines but for blanks at their ends, and hasn't; all if there is no such file."""
+    lines = files.filter(F.col("path") == IGNORE).select(F.explode(F.split("content", r"\r?\n")).alias("line")).select(F.trim("line").alias("detail")).distinct()
+    wanted = files.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(required)], "detail string")
+    return wanted.join(lines, "detail", "left_anti").select(F.lit(IGNORE).alias("path"), F.lit("ignore_coverage_lost").alias("rule"), "detail")
+
+
+def scan(files: DataFrame, required: list[str], patterns: dict[str, str] = SCANNED, data_prefix: str = "data/") -> DataFrame:
+    """All findings of a repository's files in one call: ``scanned`` and ``uncovered``."""
+    return scanned(files, patterns, data_prefix).unionByName(uncovered(files, required))

@@ -360,6 +360,18 @@ def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.ordered(judging.scanned(rows))
 
 
+def scanned_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of a repository whose ignore file names the types of its largest parts; small ones are ignored."""
+    p = table(spark, sf_dir, "part")
+    files = p.select(
+        F.concat(F.when(F.col("p_size") > 25, "data/").otherwise("src/"), F.col("p_partkey").cast("string"), F.when(F.col("p_type") == "PROMO", ".pdf").otherwise(".md")).alias("path"),
+        F.concat("p_name", F.when(F.col("p_brand") == "Brand#1", F.concat(F.lit(" secret: "), F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(""), F.when(F.col("p_brand") == "Brand#2", " source_pdf_sha256: x").otherwise("")).alias("content"),
+        (F.col("p_size") < 5).alias("ignored"),
+    )
+    types = p.filter("p_size = 50 AND p_type < 'P'").agg(F.lit(".gitignore").alias("path"), F.array_join(F.collect_set(F.concat(F.lit(" "), "p_type")), "\n").alias("content"), F.lit(False).alias("ignored"))  # six types
+    return judging.scan(files.unionByName(types), ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "data/raw"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -367,7 +379,7 @@ QUERIES = {
         silent_changes, short_field_names, text_findings, checked_catalogue, deferred_flags, gated_requests, incoherent_records, truncation_problems, evidence_gaps, answer_gaps,
         execution_hashes, shown_values, coerced_values, plain_names, merged_names, sourced_rows, source_coverage, entity_snapshot, derived_values,
         case_attribution, layer_usage, reachable_layers, case_summary, suite_gate, case_hints, claim_cases, freeze_problems, case_preconditions,
-        baseline_judgements, packet_leaks, packet_order, review_packets, ranked_pitfalls, pitfall_limit, blocked_review, scanned_files,
+        baseline_judgements, packet_leaks, packet_order, review_packets, ranked_pitfalls, pitfall_limit, blocked_review, scanned_files, scanned_repository,
     )
 }
 
@@ -459,6 +471,10 @@ WHERE CASE p.problem WHEN 'MISSING:question' THEN k % 9 = 0 WHEN 'REPEATED_ID' T
     "ranked_pitfalls": "SELECT p_brand AS metric_id, row_number() OVER (ORDER BY round(count(*) FILTER (WHERE p_partkey % 3 = 0) / count(*), 6) DESC, p_brand) AS rank FROM part GROUP BY 1",
     "pitfall_limit": "SELECT round(count(*) FILTER (WHERE p_partkey % 2 = 0) / count(*), 6) AS advisory_ratio, round(count(*) FILTER (WHERE p_partkey % 2 = 0) / count(*), 6) > 0.5 AS fails FROM part",
     "blocked_review": "SELECT 'PASS' AS gate, 'not_blind,no_wrong_case' AS blocks, 'BLOCKED' AS final",
+    "scanned_repository": """WITH f AS (SELECT *, CASE WHEN p_size > 25 THEN 'data/' ELSE 'src/' END || p_partkey || CASE WHEN p_type = 'PROMO' THEN '.pdf' ELSE '.md' END AS path FROM part WHERE p_size >= 5)
+SELECT path, 'forbidden_type' AS rule, '.pdf' AS detail FROM f WHERE p_type = 'PROMO' UNION ALL SELECT path, 'secret', 'secret: ' || replace(p_name, ' ', '_') FROM f WHERE p_brand = 'Brand#1' AND length(p_name) >= 8
+UNION ALL SELECT path, 'statement_elsewhere', '' FROM f WHERE p_brand = 'Brand#2' AND p_size <= 25
+UNION ALL SELECT '.gitignore', 'ignore_coverage_lost', x FROM (SELECT unnest(['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD', 'data/raw']) AS x) WHERE x NOT IN (SELECT p_type FROM part WHERE p_size = 50 AND p_type < 'P')""",
     "scanned_files": """WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'data/' ELSE 'src/' END || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '.pdf' ELSE '.md' END AS path FROM part)
 SELECT path, r.rule, r.detail FROM f, (VALUES ('forbidden_type', '.pdf'), ('secret', 'api_key = abcdefgh1'), ('absolute_path', '/home/me'), ('statement_elsewhere', '')) r(rule, detail)
 WHERE (k % 10 <> 0 OR k % 4 = 0) AND CASE r.rule WHEN 'forbidden_type' THEN k % 6 = 0 WHEN 'secret' THEN k % 7 = 0 WHEN 'absolute_path' THEN k % 9 = 0 ELSE k % 5 = 0 AND k % 4 <> 0 END""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricspark.llm import encode, exact_dedup, hard_negatives, kmeans_tree, language, neighbours, packing, pii, quality, repair, set_join, token_counts, toxicity
@@ -25,6 +25,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Answers of a conversation fill a sequence before its tokens do.
+TALK = packing.Limits(tokens=2048, segments=64, loss=1024)
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: every assistant turn with the turn before it as its prompt, which bears no loss, packed under all three limits.
+
+    A turn is ``conv:turn``. A first turn and one after a null text have an empty prompt; rows of one turn come by role and text.
+    """
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("prompt"))
+    own = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    examples = turns.filter("role = 'assistant'").select(own.alias("doc_id"), "prompt", "text")
+    pieces = packing.pack(examples, tokenizer_path("word_bpe_49k.json"), TALK, prompt_col="prompt")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_loss")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document; null and empty texts have no ids. One row for each row, whatever its id."""
     rows = encode.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -222,6 +239,7 @@ LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN solv
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "packed_conversations": packed_conversations,
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_neighbours": op4_neighbours,

@@ -241,3 +241,32 @@ def test_damage_leaves_conversations_without_rows(spark, tmp_path):
     assert set(got) == {*dropped[:3], None, 9_999}
     none = hashlib.sha256(b"").hexdigest()
     assert all((got[c]["cost"], got[c]["audit"], got[c]["repaired_sha256"]) == (0, "", none) for c in dropped[:3])
+
+
+def test_conversations_are_packed_under_three_limits(spark):
+    """Every answer with the turn before it: whole, in sequences within all limits, of which the loss is the one that binds."""
+    from tokenizers import Tokenizer
+
+    from metricspark.llm.bpe import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = Q.packed_conversations(spark, MIDDLE).toPandas()
+    talk = pd.read_parquet(f"{MIDDLE}/conversations.parquet").sort_values(["conv_id", "turn"])
+    talk["prompt"] = talk.groupby("conv_id").text.shift()
+    want = {}
+    for r in talk[talk.role == "assistant"].itertuples():
+        prompt = t.encode(r.prompt or "", add_special_tokens=False).ids if isinstance(r.prompt, str) else []
+        want[f"{r.conv_id}:{r.turn}"] = (len(prompt), [*prompt, *t.encode(r.text or "", add_special_tokens=False).ids, 1])
+    assert set(rows.doc_id) == set(want)
+    for doc_id, own in rows.sort_values("start").groupby("doc_id"):
+        free, ids = want[doc_id]
+        at = 0
+        for r in own.itertuples():
+            piece = ids[at : at + r.length]
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(piece, dtype="<u4").tobytes())
+            assert r.n_loss == max(0, at + r.length - max(at + 1, free))
+            at += r.length
+        assert at == len(ids)
+    sums = rows.groupby("sequence_id").agg(tokens=("length", "sum"), loss=("n_loss", "sum"), n=("length", "size"))
+    assert sums.tokens.max() <= 2048 and sums.loss.max() <= 1024 and sums.n.max() <= 64
+    assert ((sums.loss > 1000) & (sums.tokens < 1800)).any()

@@ -133,7 +133,9 @@ def evaluated(statements: DataFrame, definitions: tuple[Definition, ...], keep:
     rows = statements.selectExpr(*keys, f"explode(array({row_struct(cells, flags)})) AS a")
     compiled = ", ".join(metric(d, Row(cells, flags, dict(d.missing))) for d in definitions)
     rows = rows.selectExpr(*keys, f"explode(array({compiled})) AS m").select(*keys, "m.*")
-    rows = rows.withColumn("number", F.expr(exact.value_of("numbers", "steps", "UNEVALUABLE_CONDITION"))).drop("numbers", "steps")
+    # Generated, so that no filter on a value is pushed below and works the number out for each use of it.
+    out = [c for c in rows.columns if c not in ("numbers", "steps")]
+    rows = rows.selectExpr(*out, f"explode(array({exact.value_of('numbers', 'steps', 'UNEVALUABLE_CONDITION')})) AS number")
     far = f"number.c <> 0 AND abs(length(CAST(abs(number.c) AS STRING)) + number.e) > {exact.FARTHEST}"
     rows = rows.withColumn("operand", F.expr(f"IF({far}, 'UNEVALUABLE_CONDITION', number.code)"))
     rows = rows.withColumn("value", F.expr(f"IF(operand IS NULL, {exact.shown('number')}, NULL)"))

@@ -86,6 +86,8 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.count_if(F.col("l_returnflag") == "R") * 3 > F.count(F.lit(1))).alias("restated"),
         )
     )
+    # The exchange that the window needs, in as many parts as the session says: rows are few, but all metrics come of each.
+    sums = sums.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "suppkey")
     # A supplier's years are few, so the window's groups are bounded.
     before = F.lag("revenue").over(Window.partitionBy("suppkey").orderBy("period"))
     supplier = table(spark, sf_dir, "supplier").select(

@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from metricspark.operators import metrics, registry
+from metricspark.operators import metrics, registry, rules
 from metricspark.plans.definitions import DEFINITIONS
 from metricspark.sources.statements import statements
 from metricspark.streaming.answers import answered, written
@@ -58,3 +59,11 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["entity", "period", "metric_id"]
     got, want = (d.select(*key, "value", "refusal_code", "condition_index").orderBy(*key).collect() for d in (spark.read.parquet(target), metrics.metric_values(whole, few)))
     assert got == want and len(got) == 210
+
+
+def test_definitions_are_read_in_many_tasks(spark):
+    """Definitions that lie in one part are dealt out before Python reads them, and give what they gave."""
+    rows = registry.rows(spark, DEFINITIONS).unionByName(registry.rows(spark, DEFINITIONS[:1]).withColumn("formula", F.lit("bs.x **"))).coalesce(1)
+    found = registry.text_findings(rows)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [r["code"] for r in found.collect()] == ["FORMULA_UNPARSEABLE"]

@@ -67,3 +67,10 @@ def test_definitions_are_read_in_many_tasks(spark):
     found = registry.text_findings(rows)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [r["code"] for r in found.collect()] == ["FORMULA_UNPARSEABLE"]
+
+
+def test_yaml_is_read_in_many_tasks(spark):
+    files = spark.createDataFrame([(f"{i}.yaml", f"metric_id: m{i}\nversion: {i}") for i in range(40)] + [("x.yaml", "a: [")], "path string, value string").coalesce(1)
+    rows = registry.parsed(files)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["path"]: (r["metric_id"], r["version"]) for r in rows.collect()} == {f"{i}.yaml": (f"m{i}", i) for i in range(40)} | {"x.yaml": (None, None)}

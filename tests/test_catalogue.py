@@ -74,3 +74,10 @@ def test_yaml_is_read_in_many_tasks(spark):
     rows = registry.parsed(files)
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {r["path"]: (r["metric_id"], r["version"]) for r in rows.collect()} == {f"{i}.yaml": (f"m{i}", i) for i in range(40)} | {"x.yaml": (None, None)}
+
+
+def test_a_whole_catalogue_is_checked_in_many_tasks(spark):
+    terms = rules.Terms(("entity",), ("annual",), ("flow",), ("positive",), (), ())
+    rows = registry.rows(spark, DEFINITIONS).coalesce(1)
+    plan = registry.all_findings(rows, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [metric_id") >= 3

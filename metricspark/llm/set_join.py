@@ -193,6 +193,7 @@ def paths(sets: DataFrame, p: Join, first: int, last: int) -> tuple[DataFrame, i
     # What small buckets hold is compared in one go at the end.
     leaves: DataFrame | None = None
     edges: DataFrame | None = None
+    whole: DataFrame | None = None
     splits, deep = 0, None
     for depth in range(p.depth + 1):
         sizes = cut(level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
@@ -202,8 +203,7 @@ def paths(sets: DataFrame, p: Join, first: int, last: int) -> tuple[DataFrame, i
         if depth == p.depth:
             # The last large buckets are compared whole, in pairs of bounded blocks.
             rest = join_salted(level, large, ["key"], "inner")
-            rest = blocks(rest.withColumn("n", F.ceil(F.col("size") / p.leaf)), "key", "n", "node")
-            few = few.unionByName(rest.select("key", "pair", "node", "sketch"))
+            whole = packed(rest.withColumn("n", F.ceil(F.col("size") / p.leaf)))
         leaves = few if leaves is None else leaves.unionByName(few)
         if depth == p.depth or large.isEmpty():
             break
@@ -235,8 +235,7 @@ def paths(sets: DataFrame, p: Join, first: int, last: int) -> tuple[DataFrame, i
         rest = cut(going.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / p.leaf).alias("n")))
         if (rest.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) <= p.whole:
             # What is left is compared whole: nothing more is lost.
-            every = blocks(join_salted(going, rest, ["key"], "inner"), "key", "n", "node")
-            leaves = leaves.unionByName(every.select("key", "pair", "node", "sketch"))
+            whole = packed(join_salted(going, rest, ["key"], "inner"))
             break
         if depth:
             again = going.select("node").distinct()
@@ -245,10 +244,32 @@ def paths(sets: DataFrame, p: Join, first: int, last: int) -> tuple[DataFrame, i
         level = cut(going.mapInArrow(lambda b: _descend(b, share, p.steps), "key long, node long, sketch binary"))
         splits = depth + 1
     near = by_group(leaves, ["key", "pair"], lambda _, t: _leaf(t, p.alike), "u long, v long")
+    if whole is not None:
+        near = near.unionByName(by_group(whole, ["key", "pair"], lambda _, t: _blocks(t, p.alike), "u long, v long"))
     out = cut((near if edges is None else near.unionByName(edges)).distinct())
     return out, splits, None if deep is None else cut(deep.distinct())
 
 
+def packed(members: DataFrame) -> DataFrame:
+    """(key, pair, nodes, sketches): each group's rows (key, node, sketch, n) as n blocks, one row each, for every pair of them.
+
+    All pairs of a group's rows meet in one pair of blocks, or in a block alone. A block is one row of
+    about a leaf's sets, so what is sent are as many rows as there are blocks squared, whatever they hold.
+    """
+    n = F.col("n").cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64(F.lit(33), F.col("node")), n).cast("int"))
+    held = F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("x")
+    rows = rows.groupBy("key", n.alias("n"), "block").agg(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    low, high = F.least("block", "other").cast("long"), F.greatest("block", "other").cast("long")
+    return rows.select("key", (low * F.lit(1 << 31) + high).alias("pair"), F.col("x.node").alias("nodes"), F.col("x.sketch").alias("sketches"))
+
+
+def _blocks(t: pa.Table, alike: int) -> pa.RecordBatch | None:
+    """Edges of one pair of packed blocks."""
+    flat = lambda c: pa.chunked_array([x.flatten() for x in t.column(c).chunks])
+    return _leaf(pa.table({"node": flat("nodes"), "sketch": flat("sketches")}), alike)
+
+
 def _leaf(t: pa.Table, alike: int) -> pa.RecordBatch | None:
     node = t.column("node").to_numpy()
     pairs = list(joined(sketch_rows(t.column("sketch")), alike))

@@ -276,3 +276,16 @@ def test_documents_of_frequent_passages(spark):
     for rows in got:
         assert want.sum() > 400 and (rows.n_links.to_numpy() <= want).all()
         assert rows.n_links.sum() >= 0.999 * want.sum()
+
+
+def test_blocks_that_meet_are_sent_as_rows_of_their_own(spark):
+    """A large bucket that is compared whole makes as many rows as it has pairs of blocks, not its sets times its blocks; every pair of sets meets."""
+    sets = spark.range(600).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.expr("CAST(id % 3 AS STRING)").cast("binary").alias("sketch"), F.lit(5).cast("long").alias("n"))
+    rows = set_join.packed(sets).collect()
+    assert len(rows) == 25 and len({r["pair"] for r in rows}) == 15
+    met = {}
+    for r in rows:
+        assert len(r["nodes"]) == len(r["sketches"])
+        met.setdefault(r["pair"], set()).update(r["nodes"])
+    assert sum(len({(a, b) for a in nodes for b in nodes if a < b}) for nodes in met.values()) >= 600 * 599 // 2
+    assert {(a, b) for nodes in met.values() for a in nodes for b in nodes if a < b} == {(a, b) for b in range(600) for a in range(b)}

@@ -176,3 +176,13 @@ common_pitfalls: [{text: t, enforced_by: source_fields.id}, {text: u, advisory_o
     (d,) = registry.compiled(registry.load(spark, str(tmp_path)))
     assert d.missing == (("bs.inventory", -1),) and d.conditions == ("is_missing(bs.inventory)", "") and d.flags == (("restated", "notes.restatement_flag == true"),)
     assert sorted(r["alias"] for r in registry.names(registry.load(spark, str(tmp_path))).collect()) == sorted(["ratio", "流动比率", "流动资产负债比", "current ratio"])
+
+
+def test_possible_names_do_not_grow_with_the_names(spark):
+    """Of 20,000 names of one alphabet a text gets its own and hardly another; names longer than the widest stretch are found too."""
+    names = spark.range(20_000).select(F.concat(F.lit("Co"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "ABCDEFGHIJ")).alias("name"), F.col("id").alias("code"))
+    long = spark.createDataFrame([("甲乙" * 60 + "丙", -1), ("甲乙" * 60 + "丁", -2)], "name string, code long")
+    rows = names.filter("code % 10 = 0").select(F.col("code").alias("key"), F.concat("name", F.lit(" 1996年 gross margin")).alias("text")).unionByName(long.select(F.col("code").alias("key"), F.concat(F.lit("x"), "name").alias("text")))
+    found = rows.join(lookup.candidates(rows, names.unionByName(long), ["code"]), "key")
+    counts = found.select("key", F.size("names").alias("n"), F.size(F.filter("names", lambda x: F.contains("text", x["name"]) & (x["code"] == F.col("key")))).alias("own")).collect()
+    assert len(counts) == 2002 and all(r["own"] == 1 for r in counts) and sum(r["n"] for r in counts) < 2 * 2002

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricspark.operators import evidence, exports, intent, judging, lookup, model, registry
+from metricspark.plans import answers
 
 NAMES = "alias string, metric_id string, display string"
 
@@ -186,3 +187,13 @@ def test_possible_names_do_not_grow_with_the_names(spark):
     found = rows.join(lookup.candidates(rows, names.unionByName(long), ["code"]), "key")
     counts = found.select("key", F.size("names").alias("n"), F.size(F.filter("names", lambda x: F.contains("text", x["name"]) & (x["code"] == F.col("key")))).alias("own")).collect()
     assert len(counts) == 2002 and all(r["own"] == 1 for r in counts) and sum(r["n"] for r in counts) < 2 * 2002
+
+
+def test_segments_of_claims_and_questions_are_written_once(spark):
+    """Plans of claims read the segments as they were written, and plans of questions read no orders again."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("000001 1996年 weather is 0.5").alias("text"))
+    none = spark.createDataFrame([], "entity string, period long, metric_id string, value decimal(38,10), refusal_code string")
+    judged = intent.claims(texts, none, spark.createDataFrame([("毛利率", "m", "毛利率")], NAMES), spark.createDataFrame([("甲", "000001")], "name string, code string"))
+    assert "Range (" not in plan(judged) and [r["why"] for r in judged.collect()] == ["no_metric"] * 3
+    assert "o_custkey" not in plan(answers.question_answers(spark, "/root/testdata/sf0.001"))

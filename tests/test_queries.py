@@ -238,3 +238,23 @@ def test_rules_of_an_empty_definition(spark):
         "R5.BASIS_NOT_STRUCTURED", "R7.NO_UNDEFINED_CONDITIONS", "R8.TOO_FEW_PITFALLS", "R9.VERSION_NOT_INT",
     ]
     assert rules.findings(spark.createDataFrame([], rules.SCHEMA), TERMS).count() == 0
+
+
+def test_tasks_of_whole_reports_hold_few_rows(spark):
+    """Rows that shrink in the shuffle are dealt by their number, and two titles at one place don't count each other's lines."""
+    from metricspark import storage
+    from metricspark.operators import extraction
+
+    kept = storage.kept(spark.range(3 * storage.ROWS + 1).select(F.lit("x").alias("t")), "lines")
+    assert storage.parts(kept) == max(4, spark.sparkContext.defaultParallelism) and storage.parts(kept.union(kept).union(kept)) >= 10
+    places = [(1, 1, 5.0, "a"), (1, 1, 5.0, "b"), (1, 1, 7.0, "c"), (1, 2, 1.0, "d"), (2, 1, 1.0, "e"), (None, 1, 1.0, "f")]
+    spans = pages.spans(spark.createDataFrame(places, "doc int, page int, y double, title string")).collect()
+    assert {r["title"]: (r["next_page"], r["next_y"]) for r in spans} == {"a": (1, 7.0), "b": (1, 7.0), "c": (2, 1.0), "d": (None, None), "e": (None, None)}
+
+    words = [(1, float(10 * k), 0.0, 20.0, "x") for k in range(3, 13)] + [(1, 20.0, 0.0, 40.0, t) for t in extraction.STATEMENTS[1:]]
+    words += [(1, 22.0, 0.0, 30.0, "单位:元"), (1, 22.5, 40.0, 70.0, "币种:人民币")] + [(1, 130.0, x, x + 20, t) for x, t in ((0.0, "项目"), (100.0, "2023年度"))]
+    rows = spark.createDataFrame([(1, *w) for w in words], "doc long, page long, top double, x0 double, x1 double, text string").replace(22.0, 24.0, "top").replace(22.5, 24.5, "top")
+    found = extraction.sheets(pages.lines(rows), pages.spans(pages.statement_anchors(rows)), spark.createDataFrame([(1, 2023)], "doc long, year long"), 3)
+    got = sorted((r["title"], r["problem"], r["y"]) for r in found.collect())
+    assert got == sorted([(extraction.STATEMENTS[0], "no_title", None), *((t, None, 130.0) for t in extraction.STATEMENTS[1:])])
+    assert found.rdd.getNumPartitions() == 3

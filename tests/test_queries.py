@@ -258,3 +258,26 @@ def test_tasks_of_whole_reports_hold_few_rows(spark):
     got = sorted((r["title"], r["problem"], r["y"]) for r in found.collect())
     assert got == sorted([(extraction.STATEMENTS[0], "no_title", None), *((t, None, 130.0) for t in extraction.STATEMENTS[1:])])
     assert found.rdd.getNumPartitions() == 3
+
+
+def test_words_of_a_page_are_not_shuffled_where_they_are_together(spark):
+    """Pages of words give the lines of the words; reports are printed from statements that were worked out once."""
+    from metricspark.plans import whole
+
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    words, reports, _ = whole.printed(spark, SMALL)
+    assert "Exchange" not in plan(pages.lines(words)) and "lineitem" not in plan(words) + plan(reports)
+    each = words.select("doc", "page", F.explode(F.shuffle("w")).alias("x")).select("doc", "page", "x.*")
+    got, want = (pages.lines(d).withColumn("words", F.to_json("words")) for d in (words, each))
+    assert got.count() > 1000 and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_sections_by_one_look(spark):
+    rows = [("九、a.b",), ("a.b",), ("九、axb",), ("九、九、a.b",), ("a.b\n",), ("二、 ​ a.b",), ("一、c",), (None,), ("x九、a.b",)]
+    lines = spark.createDataFrame(rows, "text string").select(F.lit(1).alias("doc"), F.lit(1).alias("page"), F.lit(1.0).alias("y"), "text")
+    got = sorted((r["title"], r["prefix"]) for r in pages.section_anchors(lines, ["a.b", "一、c"]).collect())
+    from metricspark.operators.numbers import visible
+
+    seen = [r["v"] for r in lines.select(visible(F.col("text")).alias("v")).collect()]
+    want = sorted([(t, p) for v in seen if v is not None for t in ("a.b", "一、c") for p in ("", "九、", "二、") if v == p + t])
+    assert got == want and ("a.b", "九、") in got and ("一、c", "") in got

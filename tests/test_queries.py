@@ -281,3 +281,18 @@ def test_sections_by_one_look(spark):
     seen = [r["v"] for r in lines.select(visible(F.col("text")).alias("v")).collect()]
     want = sorted([(t, p) for v in seen if v is not None for t in ("a.b", "一、c") for p in ("", "九、", "二、") if v == p + t])
     assert got == want and ("a.b", "九、") in got and ("一、c", "") in got
+
+
+def test_texts_are_shuffled_and_not_their_words(spark, tmp_path):
+    """Long texts, empty ones, nulls and an id that comes twice are laid out as word by word."""
+    long = " ".join(f"w{i}" for i in range(1234))
+    rows = [(1, long), (2, ""), (3, None), (4, " a  b "), (5, "x y"), (5, "p q r\ns"), (5, None), (None, "n"), (6, " ".join("abc"[i % 3] for i in range(400)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["word_lines"](spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    n = F.col("n")
+    said = spark.read.parquet(str(tmp_path / "documents.parquet")).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\s+")).alias("n", "text"))
+    placed = said.select("doc", (n / 400).cast("long").alias("page"), (n % 10 * 50.0).alias("x0"), (n % 10 * 50.0 + 40).alias("x1"), (F.floor(n % 400 / 10) * 12.0 + n % 3).cast("double").alias("top"), "text")
+    want = pages.lines(placed, between=" ").drop("words")
+    assert rows.count() == want.count() == 124 + 1 + 1 + 1 + 1 + 40 and rows.exceptAll(want).count() == 0 == want.exceptAll(rows).count()

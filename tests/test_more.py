@@ -4,7 +4,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from metricspark.operators import intake, numbers, review
+from metricspark.operators import intake, intent, numbers, review
+from metricspark.operators import text as text_operators
 
 VOTES = "status string, vote string"
 
@@ -59,3 +60,22 @@ def test_no_votes_and_no_cases(spark):
 def test_null_vote_agrees_with_nothing(spark):
     row = review.review_score(spark.createDataFrame([("PASS", None), ("FAIL", review.WRONG)], VOTES)).first()
     assert (row["n"], row["agreed"], row["wrong_agreed"]) == (2, 1, 1)
+
+
+def test_whole_part_of_a_long_number_is_no_code(spark):
+    text = "600519 2023 年 比率 125324.77，现金流 -123456.5 万元。见600519."
+    row = spark.createDataFrame([(text,)], "text string").select(numbers.stated(F.col("text")).alias("x"), numbers.codes(F.col("text")).alias("codes")).first()
+    assert [(x["value"], x["tolerance"], x["unit"]) for x in row["x"]] == [(Decimal("125324.77"), 0.005, ""), (Decimal("-1234565000"), 500.0, "万元")]
+    assert row["codes"] == ["600519"]
+
+
+def test_long_values_are_claimed_and_judged(spark):
+    names = spark.createDataFrame([("毛利率", "m", "毛利率")], "alias string, metric_id string, display string")
+    companies = spark.createDataFrame([("华鑫科技", "900001")], "name string, code string")
+    values = spark.sql("SELECT '900001' AS entity, 2023L AS period, 'm' AS metric_id, CAST(125324.7742635 AS DECIMAL(38,10)) AS value, CAST(NULL AS STRING) AS refusal_code")
+    texts = [(1, "900001 2023年 毛利率 125324.77"), (2, "华鑫科技 2023年 毛利率 125324.77"), (3, "900001 2023年；毛利率 125324.77"), (4, "900001 2023年 毛利率 125324.82")]
+    verdicts = intent.claims(spark.createDataFrame(texts, "doc_id int, text string"), values, names, companies)
+    got = [r["verdict"] for r in verdicts.orderBy("doc_id", "pos").collect()]
+    assert got == ["CONSISTENT", "CONSISTENT", "NOT_CHECKABLE", "CONSISTENT", "INCONSISTENT"]
+    counts = text_operators.verdict_counts(verdicts).first().asDict()
+    assert counts == {"consistent": 3, "inconsistent": 1, "ambiguous_basis": 0, "not_covered": 0, "not_checkable": 1}

@@ -2,10 +2,12 @@
 
 from decimal import Decimal
 
+import duckdb
 from pyspark.sql import functions as F
 
 from metricspark.operators import intake, intent, numbers, review
 from metricspark.operators import text as text_operators
+from metricspark.plans.queries import CLAIM_KINDS, ORACLES, QUERIES
 
 VOTES = "status string, vote string"
 
@@ -79,3 +81,29 @@ def test_long_values_are_claimed_and_judged(spark):
     assert got == ["CONSISTENT", "CONSISTENT", "NOT_CHECKABLE", "CONSISTENT", "INCONSISTENT"]
     counts = text_operators.verdict_counts(verdicts).first().asDict()
     assert counts == {"consistent": 3, "inconsistent": 1, "ambiguous_basis": 0, "not_covered": 0, "not_checkable": 1}
+
+
+def test_longer_codes_are_masked_where_asked_for(spark):
+    said = "1000123 2023 年 12.5% 与 1234567 万元"
+    t = F.col("t")
+    row = spark.createDataFrame([(said,)], "t string").select(
+        numbers.masked(t, numbers.LONG_CODE).alias("m"), numbers.codes(t, numbers.LONG_CODE).alias("c"), numbers.stated(t, numbers.LONG_CODE).alias("s"), numbers.stated(t).alias("plain")
+    ).first()
+    assert row["m"] == "　" * 7 + " " + "　" * 4 + " 　 12.5% 与 1234567 万元" and len(row["m"]) == len(said)
+    assert row["c"] == ["1000123", "1234567"] and [float(x["value"]) for x in row["s"]] == [0.125, 12345670000.0]
+    assert [float(x["value"]) for x in row["plain"]] == [1000123.0, 0.125, 12345670000.0]
+
+
+def test_claims_of_long_keys_and_values_are_those_of_sql(spark, tmp_path):
+    """Suppliers of all kinds with keys of up to eleven digits and profits near zero, so that a ratio has six digits before the point."""
+    keys = [first + i for first in (26, 1_000_012, 60_000_000_001) for i in range(CLAIM_KINDS)]
+    lines = [(k, price, discount, tax) for k in keys for price, discount, tax in ((100000.0, 0.05, 0.05), (10.0, 0.01, 0.0))]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE supplier AS SELECT unnest({keys})::BIGINT AS s_suppkey, 500.0::DOUBLE AS s_acctbal")
+    con.execute("CREATE TABLE lineitem (l_suppkey BIGINT, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR DEFAULT 'N', l_shipdate TIMESTAMP DEFAULT '1996-05-05')")
+    con.executemany("INSERT INTO lineitem (l_suppkey, l_extendedprice, l_discount, l_tax) VALUES (?, ?, ?, ?)", lines)
+    for t in ("supplier", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = QUERIES["claim_verdicts"](spark, str(tmp_path)).select("claim_id", "pos", "read_as", "verdict", "inherited")
+    want = con.execute(f"SELECT claim_id, pos, read_as, verdict, inherited FROM ({ORACLES['claim_verdicts']})").fetchall()
+    assert len(want) > 300 and sorted(tuple(r) for r in got.collect()) == sorted(want)
